@@ -32,11 +32,13 @@ def register(name: str, sql: str | None = None):
 
 
 def stable_round(c: Column) -> Column:
+    """Snap to the magnitude band's grid (see ``oracle.BANDS``)."""
     a = F.abs(c)
     out = None
-    for lim, d in O.BANDS:
-        out = F.when(a >= lim, F.round(c, d)) if out is None else out.when(a >= lim, F.round(c, d))
-    return out.otherwise(F.round(c, O.SMALL_DECIMALS))
+    for lim, g in O.BANDS:
+        v = F.round(c / F.lit(g), 0) * F.lit(g)
+        out = F.when(a >= F.lit(lim), v) if out is None else out.when(a >= F.lit(lim), v)
+    return out.otherwise(F.round(c / F.lit(O.TINY_STEP), 0) * F.lit(O.TINY_STEP))
 
 
 def finalize(df: DataFrame) -> DataFrame:

@@ -118,7 +118,8 @@ def events_history(spark, sf) -> DataFrame:
 EVENTS_SQL = f"""SELECT event_id AS SK_ID_PREV, user_id AS SK_ID_CURR, {days_sql('ts')} AS DAYS_EVENT,
   value, event_type FROM events"""
 
-# -- instalment payments: one line item = one instalment ----------------------
+# -- instalment payments: one line item = one instalment; a returned line
+#    counts as unpaid (payment 0), the ship date as the payment day ---------
 
 def installments(spark, sf) -> DataFrame:
     li = read(spark, sf, "lineitem")
@@ -127,13 +128,15 @@ def installments(spark, sf) -> DataFrame:
     return j.select(F.col("o_custkey").alias("SK_ID_CURR"),
                     F.col("l_linenumber").cast("bigint").alias("NUM_INSTALMENT_VERSION"),
                     F.col("l_extendedprice").alias("AMT_INSTALMENT"),
-                    (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("AMT_PAYMENT"),
+                    F.when(F.col("l_returnflag") == "R", F.lit(0.0))
+                    .otherwise(F.col("l_extendedprice")).alias("AMT_PAYMENT"),
                     days("o_orderdate").alias("DAYS_INSTALMENT"),
                     days("l_shipdate").alias("DAYS_ENTRY_PAYMENT"))
 
 
 INS_SQL = f"""SELECT o_custkey AS SK_ID_CURR, CAST(l_linenumber AS BIGINT) AS NUM_INSTALMENT_VERSION,
-  l_extendedprice AS AMT_INSTALMENT, l_extendedprice * (1 - l_discount) AS AMT_PAYMENT,
+  l_extendedprice AS AMT_INSTALMENT,
+  CASE WHEN l_returnflag = 'R' THEN 0.0 ELSE l_extendedprice END AS AMT_PAYMENT,
   {days_sql('o_orderdate')} AS DAYS_INSTALMENT, {days_sql('l_shipdate')} AS DAYS_ENTRY_PAYMENT
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 
@@ -161,3 +164,6 @@ PREV_SPEC = dict(sentinel_cols=[], ratios={"PRICE_PER_DAY": ("o_totalprice", "DA
                  num_aggs=PREV_NUM, status_col="o_orderstatus",
                  subsets=[("APPROVED_", "F"), ("REFUSED_", "P")])
 POS_NUM = {"DAYS_EVENT": ["max", "mean", "size"], "value": ["max", "mean"]}
+
+BRANDS = sorted(f"Brand#{i}" for i in range(1, 26))
+PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]

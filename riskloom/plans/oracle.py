@@ -10,13 +10,22 @@ sides (``riskloom.plans.catalog.finalize``).
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Mapping, Sequence
 
-# Stable rounding: a fixed number of decimals per magnitude band, the
-# same bands as the Spark side.
-BANDS = [(1e9, 0), (1e6, 3), (1e3, 6)]
-SMALL_DECIMALS = 9
+# Stable rounding for comparison. Floating results of two engines can
+# differ in the last bit (different addition order). Rounding to a
+# decimal grid does not remove that: decimal data gives exact results
+# such as x.xxxx5 that sit on a rounding boundary, where one bit decides.
+# Instead values snap to the nearest multiple of a step that is pi times
+# a power of ten, chosen by magnitude band (about 9 significant digits):
+# no terminating decimal lies on a half-step, and the band thresholds
+# and steps are literals, so both engines do the same IEEE operations.
+# Thresholds are pi times a power of ten too, so no decimal value sits
+# on a band edge.
+BANDS = [(math.pi * 10.0 ** e, math.pi * 10.0 ** (e - 9)) for e in range(12, -5, -1)]
+TINY_STEP = math.pi * 1e-16
 
 
 def q(name: str) -> str:
@@ -24,8 +33,9 @@ def q(name: str) -> str:
 
 
 def rnd(expr: str) -> str:
-    parts = " ".join(f"WHEN abs({expr}) >= {lim:g} THEN round({expr}, {d})" for lim, d in BANDS)
-    return f"CASE {parts} ELSE round({expr}, {SMALL_DECIMALS}) END"
+    parts = " ".join(f"WHEN abs({expr}) >= {lim!r} THEN round({expr} / {g!r}) * {g!r}"
+                     for lim, g in BANDS)
+    return f"CASE {parts} ELSE round({expr} / {TINY_STEP!r}) * {TINY_STEP!r} END"
 
 
 def final_select(inner: str, cols: Sequence[tuple[str, str]]) -> str:
@@ -45,8 +55,8 @@ def agg_sql(col: str, fn: str, typ: str) -> tuple[str, str]:
     if fn == "var":
         return f"VAR_SAMP({c})", "double"
     if fn == "sum":
-        return (f"CAST(COALESCE(SUM({c}), 0) AS BIGINT)", "bigint") if typ == "bigint" else \
-               (f"COALESCE(SUM({c}), 0)", "double")
+        return (f"CAST(COALESCE(SUM({c}), 0) AS BIGINT)", "bigint") if typ in ("bigint", "int") \
+            else (f"COALESCE(SUM({c}), 0)", "double")
     if fn == "size":
         return "COUNT(*)", "bigint"
     if fn == "nunique":
@@ -87,3 +97,18 @@ def group_sql(src: str, key: str, items, where: str | None = None) -> str:
 
 def sanitize(name: str) -> str:
     return re.sub(r"[^A-Za-z0-9_]+", "", name)
+
+
+def ieee_div_sql(a: str, b: str) -> str:
+    return (f"CASE WHEN {b} = 0 THEN CASE WHEN {a} > 0 THEN CAST('inf' AS DOUBLE) "
+            f"WHEN {a} < 0 THEN CAST('-inf' AS DOUBLE) END ELSE CAST({a} AS DOUBLE) / {b} END")
+
+
+def clamp_sql(x: str) -> str:
+    return f"CASE WHEN {x} > 0 THEN {x} ELSE 0 END"
+
+
+def flag_sql(col: str, value: str | None) -> str:
+    c = q(col)
+    cond = f"{c} IS NULL" if value is None else f"{c} IS NOT DISTINCT FROM '{value}'"
+    return f"CAST({cond} AS INTEGER)"

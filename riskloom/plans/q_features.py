@@ -64,3 +64,211 @@ FROM customer c LEFT JOIN ({inner}) f ON c.c_custkey = f.SK_ID_CURR"""
 def two_level_rollup(spark, sf):
     cust = D.read(spark, sf, "customer").select(F.col("c_custkey").alias("SK_ID_CURR"))
     return finalize(cust.join(bureau_features(spark, sf), "SK_ID_CURR", "left"))
+
+
+# -- SQL for the other child roll-ups ----------------------------------------
+
+PREV_TYPES = {"SK_ID_PREV": "bigint", "SK_ID_CURR": "bigint", "o_orderstatus": "string",
+              "o_orderpriority": "string", "o_totalprice": "double", "DAYS_DECISION": "bigint",
+              "PRICE_PER_DAY": "double"}
+EV_TYPES = {"SK_ID_PREV": "bigint", "SK_ID_CURR": "bigint", "DAYS_EVENT": "bigint",
+            "value": "double", "event_type": "string"}
+INS_TYPES = {"SK_ID_CURR": "bigint", "NUM_INSTALMENT_VERSION": "bigint", "AMT_INSTALMENT": "double",
+             "AMT_PAYMENT": "double", "DAYS_INSTALMENT": "bigint", "DAYS_ENTRY_PAYMENT": "bigint",
+             "PAYMENT_PERC": "double", "PAYMENT_DIFF": "double", "DPD": "bigint", "DBD": "bigint"}
+
+
+def prev_sql():
+    dom = D.DOMAINS
+    allp = O.spec_sql(D.PREV_NUM, PREV_TYPES, "PREV_")
+    allp += O.share_sql("o_orderstatus", dom["o_orderstatus"], "PREV_")
+    allp += O.share_sql("o_orderpriority", dom["o_orderpriority"], "PREV_")
+    appr = O.spec_sql(D.PREV_NUM, PREV_TYPES, "APPROVED_")
+    refu = O.spec_sql(D.PREV_NUM, PREV_TYPES, "REFUSED_")
+    sql = f"""WITH p0 AS ({D.PREV_SQL}),
+p AS (SELECT *, {O.ieee_div_sql('o_totalprice', 'DAYS_DECISION')} AS PRICE_PER_DAY FROM p0),
+allp AS ({O.group_sql('p', 'SK_ID_CURR', allp)}),
+appr AS ({O.group_sql('p', 'SK_ID_CURR', appr, "o_orderstatus = 'F'")}),
+refu AS ({O.group_sql('p', 'SK_ID_CURR', refu, "o_orderstatus = 'P'")})
+SELECT allp.*, {', '.join('appr.' + O.q(n) for _, n, _ in appr)}, {', '.join('refu.' + O.q(n) for _, n, _ in refu)}
+FROM allp LEFT JOIN appr ON allp.SK_ID_CURR = appr.SK_ID_CURR LEFT JOIN refu ON allp.SK_ID_CURR = refu.SK_ID_CURR"""
+    return sql, [("SK_ID_CURR", "bigint")] + [(n, t) for _, n, t in allp + appr + refu]
+
+
+def pos_sql():
+    items = O.spec_sql(D.POS_NUM, EV_TYPES, "POS_")
+    items += O.share_sql("event_type", D.DOMAINS["event_type"], "POS_")
+    items.append(("COUNT(*)", "POS_COUNT", "bigint"))
+    sql = f"WITH ev AS ({D.EVENTS_SQL}) {O.group_sql('ev', 'SK_ID_CURR', items)}"
+    return sql, [("SK_ID_CURR", "bigint")] + [(n, t) for _, n, t in items]
+
+
+def ins_sql():
+    items = O.spec_sql(C.INS_AGGS, INS_TYPES, "INSTAL_")
+    items.append(("COUNT(*)", "INSTAL_COUNT", "bigint"))
+    sql = f"""WITH i0 AS ({D.INS_SQL}),
+ins AS (SELECT *, {O.ieee_div_sql('AMT_PAYMENT', 'AMT_INSTALMENT')} AS PAYMENT_PERC,
+        AMT_INSTALMENT - AMT_PAYMENT AS PAYMENT_DIFF,
+        {O.clamp_sql('(DAYS_ENTRY_PAYMENT - DAYS_INSTALMENT)')} AS DPD,
+        {O.clamp_sql('(DAYS_INSTALMENT - DAYS_ENTRY_PAYMENT)')} AS DBD FROM i0)
+{O.group_sql('ins', 'SK_ID_CURR', items)}"""
+    return sql, [("SK_ID_CURR", "bigint")] + [(n, t) for _, n, t in items]
+
+
+def cc_sql():
+    vals = D.DOMAINS["event_type"]
+    flag_names = [f"event_type_{v}" for v in vals] + ["event_type_nan"]
+    flags = ", ".join(f"{O.flag_sql('event_type', v)} AS {O.q(n)}"
+                      for v, n in zip(list(vals) + [None], flag_names))
+    types = {"DAYS_EVENT": "bigint", "value": "double", **{n: "int" for n in flag_names}}
+    spec = {c: list(C.CC_FUNCS) for c in ["DAYS_EVENT", "value"] + flag_names}
+    items = O.spec_sql(spec, types, "CC_") + [("COUNT(*)", "CC_COUNT", "bigint")]
+    sql = f"""WITH ev AS ({D.EVENTS_SQL}),
+cc AS (SELECT SK_ID_CURR, DAYS_EVENT, value, {flags} FROM ev)
+{O.group_sql('cc', 'SK_ID_CURR', items)}"""
+    return sql, [("SK_ID_CURR", "bigint")] + [(n, t) for _, n, t in items]
+
+
+def app_sql():
+    sql = f"""WITH u AS ({D.APP_TRAIN_SQL} UNION ALL {D.APP_TEST_SQL}),
+f AS (SELECT * FROM u WHERE c_mktsegment IS DISTINCT FROM 'XNA'),
+first_seen AS (SELECT c_mktsegment AS v, MIN(SK_ID_CURR) AS o FROM f
+               WHERE c_mktsegment IS NOT NULL GROUP BY c_mktsegment),
+codes AS (SELECT v, row_number() OVER (ORDER BY o) - 1 AS code FROM first_seen)
+SELECT f.SK_ID_CURR, COALESCE(codes.code, -1) AS c_mktsegment, f.c_nationkey, f.c_acctbal, f.TARGET,
+  {O.ieee_div_sql('f.c_acctbal', 'f.c_nationkey')} AS ACCTBAL_PER_NATION
+FROM f LEFT JOIN codes ON f.c_mktsegment = codes.v"""
+    cols = [("SK_ID_CURR", "bigint"), ("c_mktsegment", "bigint"), ("c_nationkey", "bigint"),
+            ("c_acctbal", "double"), ("TARGET", "double"), ("ACCTBAL_PER_NATION", "double")]
+    return sql, cols
+
+
+# -- Spark side of the roll-ups ----------------------------------------------
+
+def app_features(spark, sf):
+    return C.application_features(D.app_train(spark, sf), D.app_test(spark, sf), **D.APP_SPEC)
+
+
+def prev_features(spark, sf):
+    return C.previous_applications(D.previous(spark, sf), **D.PREV_SPEC)
+
+
+def pos_features(spark, sf):
+    return C.pos_cash(D.events_history(spark, sf), aggs=D.POS_NUM)
+
+
+def ins_features(spark, sf):
+    return C.installments_payments(D.installments(spark, sf))
+
+
+def cc_features(spark, sf):
+    return C.credit_card_balance(D.events_history(spark, sf))
+
+
+def _plain(sqlcols):
+    sql, cols = sqlcols
+    return O.final_select(sql, cols)
+
+
+register("app_features", _plain(app_sql()))(lambda spark, sf: finalize(app_features(spark, sf)))
+register("bureau_features", _plain(bureau_sql()))(lambda spark, sf: finalize(bureau_features(spark, sf)))
+register("prev_features", _plain(prev_sql()))(lambda spark, sf: finalize(prev_features(spark, sf)))
+register("pos_features", _plain(pos_sql()))(lambda spark, sf: finalize(pos_features(spark, sf)))
+register("payment_style_features", _plain(ins_sql()))(lambda spark, sf: finalize(ins_features(spark, sf)))
+register("card_features", _plain(cc_sql()))(lambda spark, sf: finalize(cc_features(spark, sf)))
+
+
+# -- C7: the full feature table ----------------------------------------------
+
+def _feature_table_sql():
+    parts = [("app", app_sql()), ("bur", bureau_sql()), ("prv", prev_sql()), ("pos", pos_sql()),
+             ("ins", ins_sql()), ("cc", cc_sql())]
+    ctes = ",\n".join(f"{a} AS ({s})" for a, (s, _) in parts)
+    sel, cols = [], []
+    for a, (_, cs) in parts:
+        for n, t in cs:
+            if n == "SK_ID_CURR" and a != "app":
+                continue
+            sel.append(f"{a}.{O.q(n)} AS {O.q(O.sanitize(n))}")
+            cols.append((O.sanitize(n), t))
+    joins = " ".join(f"LEFT JOIN {a} ON app.SK_ID_CURR = {a}.SK_ID_CURR" for a, _ in parts[1:])
+    return O.final_select(f"WITH {ctes}\nSELECT {', '.join(sel)} FROM app {joins}", cols)
+
+
+def feature_table(spark, sf):
+    parts = [bureau_features(spark, sf), prev_features(spark, sf), pos_features(spark, sf),
+             ins_features(spark, sf), cc_features(spark, sf)]
+    return C.feature_table(app_features(spark, sf), parts)
+
+
+register("feature_table", _feature_table_sql())(lambda spark, sf: finalize(feature_table(spark, sf)))
+
+
+# -- single operators ---------------------------------------------------------
+
+def _subset_sql():
+    spec = {"o_totalprice": ["min", "max", "mean", "var", "sum", "size"], "DAYS_ORDER": ["sum", "nunique"]}
+    items = O.spec_sql(spec, BUREAU_TYPES, "ACTIVE_")
+    sql = f"""WITH bureau AS ({D.BUREAU_SQL}),
+keys AS (SELECT DISTINCT SK_ID_CURR FROM bureau WHERE SK_ID_CURR IS NOT NULL),
+act AS ({O.group_sql('bureau', 'SK_ID_CURR', items, "o_orderstatus = 'O'")})
+SELECT keys.SK_ID_CURR, {', '.join('act.' + O.q(n) for _, n, _ in items)}
+FROM keys LEFT JOIN act ON keys.SK_ID_CURR = act.SK_ID_CURR"""
+    return O.final_select(sql, [("SK_ID_CURR", "bigint")] + [(n, t) for _, n, t in items])
+
+
+@register("subset_agg", _subset_sql())
+def subset_agg(spark, sf):
+    from riskloom.operators.aggspec import aggregate, compile_spec
+    b = D.bureau(spark, sf)
+    spec = {"o_totalprice": ["min", "max", "mean", "var", "sum", "size"], "DAYS_ORDER": ["sum", "nunique"]}
+    return finalize(aggregate(b, "SK_ID_CURR",
+                              compile_spec(b.schema, spec, "ACTIVE_", F.col("o_orderstatus") == "O")))
+
+
+def _share_sql():
+    items = O.share_sql("o_orderstatus", D.DOMAINS["o_orderstatus"], "BURO_")
+    items += O.share_sql("o_orderpriority", D.DOMAINS["o_orderpriority"], "BURO_")
+    sql = f"WITH bureau AS ({D.BUREAU_SQL}) {O.group_sql('bureau', 'SK_ID_CURR', items)}"
+    return O.final_select(sql, [("SK_ID_CURR", "bigint")] + [(n, t) for _, n, t in items])
+
+
+@register("category_share", _share_sql())
+def category_share(spark, sf):
+    from riskloom.operators.aggspec import aggregate, share_exprs
+    from riskloom.operators.encode import discover_domains
+    b = D.bureau(spark, sf)
+    doms = discover_domains(b, ["o_orderstatus", "o_orderpriority"])
+    exprs = [e for c in ("o_orderstatus", "o_orderpriority") for e in share_exprs(c, doms[c], "BURO_")]
+    return finalize(aggregate(b, "SK_ID_CURR", exprs))
+
+
+LI_A2_SQL = """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity, l_extendedprice,
+  l_discount, l_tax, l_returnflag, l_linestatus FROM lineitem"""
+
+
+def _all_column_sql():
+    flags, types, names = [], {}, []
+    for c in ("l_returnflag", "l_linestatus"):
+        for v in list(D.DOMAINS[c]) + [None]:
+            n = f"{c}_{v if v is not None else 'nan'}"
+            flags.append(f"{O.flag_sql(c, v)} AS {O.q(n)}")
+            types[n] = "int"
+            names.append(n)
+    num = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    types.update({c: "double" for c in num})
+    spec = {c: list(C.CC_FUNCS) for c in num + names}
+    items = O.spec_sql(spec, types, "LI_") + [("COUNT(*)", "LI_COUNT", "bigint")]
+    sql = f"""WITH li AS ({LI_A2_SQL}),
+x AS (SELECT l_orderkey, {', '.join(num)}, {', '.join(flags)} FROM li)
+{O.group_sql('x', 'l_orderkey', items)}"""
+    return O.final_select(sql, [("l_orderkey", "bigint")] + [(n, t) for _, n, t in items])
+
+
+@register("all_column_agg", _all_column_sql())
+def all_column_agg(spark, sf):
+    li = D.read(spark, sf, "lineitem").select(
+        "l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_quantity",
+        "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    return finalize(C.credit_card_balance(li, curr_key="l_orderkey", drop=["l_linenumber"],
+                                          prefix="LI_", count_name="LI_COUNT"))
