@@ -51,3 +51,4 @@ def finalize(df: DataFrame) -> DataFrame:
 # Query modules register themselves on import.
 from riskloom.plans import q_features  # noqa: E402,F401
 from riskloom.plans import q_operators  # noqa: E402,F401
+from riskloom.plans import q_eval  # noqa: E402,F401
