@@ -44,12 +44,12 @@ class PrepModel:
         return out
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
-        rows = [(c, self.mean[c], self.lo[c], self.hi[c]) for c in self.features]
-        return spark.createDataFrame(rows, "feature string, mean double, min double, max double")
+        rows = [(i, c, self.mean[c], self.lo[c], self.hi[c]) for i, c in enumerate(self.features)]
+        return spark.createDataFrame(rows, "position int, feature string, mean double, min double, max double")
 
     @classmethod
     def from_frame(cls, df: DataFrame) -> "PrepModel":
-        rows = df.collect()
+        rows = sorted(df.collect(), key=lambda r: r["position"])
         return cls([r["feature"] for r in rows], {r["feature"]: r["mean"] for r in rows},
                    {r["feature"]: r["min"] for r in rows}, {r["feature"]: r["max"] for r in rows})
 

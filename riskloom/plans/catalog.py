@@ -53,3 +53,4 @@ from riskloom.plans import q_features  # noqa: E402,F401
 from riskloom.plans import q_operators  # noqa: E402,F401
 from riskloom.plans import q_eval  # noqa: E402,F401
 from riskloom.plans import q_smote  # noqa: E402,F401
+from riskloom.plans import q_model  # noqa: E402,F401
