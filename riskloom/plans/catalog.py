@@ -32,13 +32,13 @@ def register(name: str, sql: str | None = None):
 
 
 def stable_round(c: Column) -> Column:
-    """Snap to the magnitude band's grid (see ``oracle.BANDS``)."""
-    a = F.abs(c)
-    out = None
-    for lim, g in O.BANDS:
-        v = F.round(c / F.lit(g), 0) * F.lit(g)
-        out = F.when(a >= F.lit(lim), v) if out is None else out.when(a >= F.lit(lim), v)
-    return out.otherwise(F.round(c / F.lit(O.TINY_STEP), 0) * F.lit(O.TINY_STEP))
+    """Snap to the magnitude band's grid (see ``oracle.rnd``)."""
+    import math
+    band = F.least(F.lit(O.E_MAX), F.greatest(F.lit(O.E_MIN),
+                   F.floor(F.log10(F.abs(c) / F.lit(math.pi))).cast("int")))
+    step = F.element_at(F.array(*[F.lit(g) for g in O.STEPS]), band - F.lit(O.E_MIN) + 1)
+    return F.when((c == 0) | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), c) \
+        .otherwise(F.round(c / step, 0) * step)
 
 
 def finalize(df: DataFrame) -> DataFrame:
@@ -46,11 +46,3 @@ def finalize(df: DataFrame) -> DataFrame:
     return df.select(*[stable_round(qcol(f.name)).alias(f.name)
                        if isinstance(f.dataType, (DoubleType, FloatType)) else qcol(f.name)
                        for f in df.schema.fields])
-
-
-# Query modules register themselves on import.
-from riskloom.plans import q_features  # noqa: E402,F401
-from riskloom.plans import q_operators  # noqa: E402,F401
-from riskloom.plans import q_eval  # noqa: E402,F401
-from riskloom.plans import q_smote  # noqa: E402,F401
-from riskloom.plans import q_model  # noqa: E402,F401

@@ -22,10 +22,11 @@ from collections.abc import Mapping, Sequence
 # a power of ten, chosen by magnitude band (about 9 significant digits):
 # no terminating decimal lies on a half-step, and the band thresholds
 # and steps are literals, so both engines do the same IEEE operations.
-# Thresholds are pi times a power of ten too, so no decimal value sits
+# Band edges are pi times a power of ten too, so no decimal value sits
 # on a band edge.
-BANDS = [(math.pi * 10.0 ** e, math.pi * 10.0 ** (e - 9)) for e in range(12, -5, -1)]
-TINY_STEP = math.pi * 1e-16
+E_MIN, E_MAX = -5, 12
+# step for band e (e = E_MIN is the catch-all for tiny values)
+STEPS = [math.pi * (1e-16 if e == E_MIN else 10.0 ** (e - 9)) for e in range(E_MIN, E_MAX + 1)]
 
 
 def q(name: str) -> str:
@@ -33,9 +34,13 @@ def q(name: str) -> str:
 
 
 def rnd(expr: str) -> str:
-    parts = " ".join(f"WHEN abs({expr}) >= {lim!r} THEN round({expr} / {g!r}) * {g!r}"
-                     for lim, g in BANDS)
-    return f"CASE {parts} ELSE round({expr} / {TINY_STEP!r}) * {TINY_STEP!r} END"
+    """Band e = floor(log10(|x| / pi)) clamped to [E_MIN, E_MAX]; the step
+    comes from a literal list, so no power is computed at run time."""
+    steps = "[" + ", ".join(repr(g) for g in STEPS) + "]"
+    band = f"least({E_MAX}, greatest({E_MIN}, CAST(floor(log10(abs({expr}) / {math.pi!r})) AS INTEGER)))"
+    step = f"({steps})[{band} - ({E_MIN}) + 1]"
+    return (f"CASE WHEN {expr} = 0 OR isinf({expr}) OR isnan({expr}) THEN {expr} "
+            f"ELSE round({expr} / {step}) * {step} END")
 
 
 def final_select(inner: str, cols: Sequence[tuple[str, str]]) -> str:
