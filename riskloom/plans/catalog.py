@@ -36,9 +36,11 @@ def stable_round(c: Column) -> Column:
     import math
     band = F.least(F.lit(O.E_MAX), F.greatest(F.lit(O.E_MIN),
                    F.floor(F.log10(F.abs(c) / F.lit(math.pi))).cast("int")))
-    step = F.element_at(F.array(*[F.lit(g) for g in O.STEPS]), band - F.lit(O.E_MIN) + 1)
+    pi = F.lit(math.pi)
+    step = F.when(band >= 9, pi * F.pow(F.lit(10.0), band - 9)) \
+        .otherwise(pi / F.pow(F.lit(10.0), F.lit(9) - band))
     return F.when((c == 0) | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), c) \
-        .otherwise(F.round(c / step, 0) * step)
+        .otherwise(F.rint(c / step) * step)
 
 
 def finalize(df: DataFrame) -> DataFrame:

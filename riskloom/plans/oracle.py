@@ -25,22 +25,22 @@ from collections.abc import Mapping, Sequence
 # Band edges are pi times a power of ten too, so no decimal value sits
 # on a band edge.
 E_MIN, E_MAX = -5, 12
-# step for band e (e = E_MIN is the catch-all for tiny values)
-STEPS = [math.pi * (1e-16 if e == E_MIN else 10.0 ** (e - 9)) for e in range(E_MIN, E_MAX + 1)]
 
 
 def q(name: str) -> str:
+    """Double-quoted SQL identifier."""
     return '"' + name.replace('"', '""') + '"'
 
 
 def rnd(expr: str) -> str:
-    """Band e = floor(log10(|x| / pi)) clamped to [E_MIN, E_MAX]; the step
-    comes from a literal list, so no power is computed at run time."""
-    steps = "[" + ", ".join(repr(g) for g in STEPS) + "]"
+    """Band e = floor(log10(|x| / pi)) clamped to [E_MIN, E_MAX]; step
+    pi * 10**(e - 9), computed as pi times or divided by an integer power
+    of ten (exact in both engines)."""
     band = f"least({E_MAX}, greatest({E_MIN}, CAST(floor(log10(abs({expr}) / {math.pi!r})) AS INTEGER)))"
-    step = f"({steps})[{band} - ({E_MIN}) + 1]"
+    step = (f"(CASE WHEN {band} >= 9 THEN {math.pi!r} * pow(10.0, {band} - 9) "
+            f"ELSE {math.pi!r} / pow(10.0, 9 - {band}) END)")
     return (f"CASE WHEN {expr} = 0 OR isinf({expr}) OR isnan({expr}) THEN {expr} "
-            f"ELSE round({expr} / {step}) * {step} END")
+            f"ELSE round_even({expr} / {step}, 0) * {step} END")
 
 
 def final_select(inner: str, cols: Sequence[tuple[str, str]]) -> str:
