@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.exprs import portable_hash, qcol
 from riskloom.operators.rank import global_position
+from riskloom.session import checkpoint_dir
 
 HASH_RANGE = 2 ** 32
 
@@ -56,6 +57,7 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5, n_proj: int = 4, s
         bucket_rows: int | None = None) -> DataFrame:
     """Exact k nearest neighbours within ``df``: (id, nbr_id, rank, dist)."""
     bucket_rows = bucket_rows or max(8, 4 * k)
+    checkpoint_dir(df.sparkSession)
     pts = df.select(qcol(id_col).alias("id"), qcol(vec_col).cast("array<double>").alias("v"))
     first = pts.select(F.size("v").alias("d")).first()
     if first is None:
@@ -75,7 +77,8 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5, n_proj: int = 4, s
     nb = len(splits) - 1
     pts = Bucketizer(splits=splits, inputCol="p0", outputCol="bf").transform(pts) \
         .withColumn("b", F.col("bf").cast("int")).drop("bf")
-    pts = pts.persist()
+    # reused by both passes: cut the lineage in the shared checkpoint folder
+    pts = pts.checkpoint(eager=True)
     ys = pts.select(F.col("id").alias("nbr_id"), F.col("v").alias("nv"), F.col("b").alias("jb"),
                     *[F.col(f"p{j}").alias(f"q{j}") for j in range(n_proj)])
 
