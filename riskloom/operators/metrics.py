@@ -61,7 +61,7 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", by=None,
          .agg(F.count_if(y == 1).alias("_pos"), F.count_if(y == 0).alias("_neg")))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     qs = d.approxQuantile("_s", probs, 1.0 / (4 * n_buckets)) if n_buckets > 1 else []
-    splits = sorted({q for q in qs if q is not None})
+    splits = sorted({q for q in qs if q is not None}) or [0.0]   # at least one inner split
     splits = [float("-inf")] + splits + [float("inf")]
     d = Bucketizer(splits=splits, inputCol="_s", outputCol="_b").transform(d)
     totals = d.groupBy(*keys, "_b").agg(F.sum("_neg").alias("_bn"))

@@ -73,7 +73,8 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5, n_proj: int = 4, s
     n_buckets = max(1, min(1 << 16, n // bucket_rows))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     qs = pts.approxQuantile("p0", probs, 1.0 / (4 * n_buckets)) if probs else []
-    splits = [-math.inf] + sorted(set(qs)) + [math.inf]
+    inner = sorted(set(qs)) or [0.0]   # Bucketizer needs at least one inner split
+    splits = [-math.inf] + inner + [math.inf]
     nb = len(splits) - 1
     pts = Bucketizer(splits=splits, inputCol="p0", outputCol="bf").transform(pts) \
         .withColumn("b", F.col("bf").cast("int")).drop("bf")
