@@ -79,3 +79,9 @@ def sanitize_names(df: DataFrame, pattern: re.Pattern = NAME_PATTERN) -> DataFra
 
 def add_fold_tag(df: DataFrame, fold: int, name: str = "fold") -> DataFrame:
     return df.withColumn(name, F.lit(fold))
+
+
+def preview(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
+    """First ``n`` rows in a stated order (T3, ``head``): Spark rows have
+    no order of their own, so the order is an argument."""
+    return df.orderBy(*[qcol(c) for c in order]).limit(n)
