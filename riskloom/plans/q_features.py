@@ -196,9 +196,27 @@ def _feature_table_sql():
 
 
 def feature_table(spark, sf):
-    parts = [bureau_features(spark, sf), prev_features(spark, sf), pos_features(spark, sf),
-             ins_features(spark, sf), cc_features(spark, sf)]
-    return C.feature_table(app_features(spark, sf), parts)
+    """C7 on the driver tables. The categories of every source come from
+    one job (orders and events serve two roles each but are scanned once)."""
+    from riskloom.operators.assemble import union_by_name
+    from riskloom.operators.encode import discover_domains_many
+    train, test = D.app_train(spark, sf), D.app_test(spark, sf)
+    bu, bb, ev = D.bureau(spark, sf), D.bureau_balance(spark, sf), D.events_history(spark, sf)
+    doms = discover_domains_many([
+        ("app", union_by_name([train, test]), ["c_mktsegment"], "SK_ID_CURR"),
+        ("bureau", bu, ["o_orderstatus", "o_orderpriority"], None),
+        ("bb", bb, ["l_returnflag", "l_linestatus"], None),
+        ("events", ev, ["event_type"], None),
+    ])
+    app = C.application_features(train, test, categories=doms["app"], **D.APP_SPEC)
+    parts = [
+        C.bureau_and_balance(bu, bb, categories={**doms["bureau"], **doms["bb"]}, **D.BUREAU_SPEC),
+        C.previous_applications(D.previous(spark, sf), categories=doms["bureau"], **D.PREV_SPEC),
+        C.pos_cash(ev, aggs=D.POS_NUM, categories=doms["events"]),
+        ins_features(spark, sf),
+        C.credit_card_balance(ev, categories=doms["events"]),
+    ]
+    return C.feature_table(app, parts)
 
 
 register("feature_table", _feature_table_sql())(lambda spark, sf: finalize(feature_table(spark, sf)))
