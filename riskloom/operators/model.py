@@ -153,7 +153,9 @@ def cv_train(df: DataFrame, key: str, features, label: str = "TARGET", k: int =
             train = PR.min_max_scale(train, pm, keep=[key, label])
             valid = PR.min_max_scale(valid, pm, keep=[key, label, "fold"])
         if variant == "smote":
-            train = _oversample(train, key, fs, label, smote_k, seed + fold, draw_back)
+            # resampled rows come from joins and windows: write them once so
+            # the booster's passes (and a lost executor) do not recompute them
+            train = _oversample(train, key, fs, label, smote_k, seed + fold, draw_back).checkpoint(eager=True)
         weight = None
         if variant == "weighted":
             train = train.withColumn("_w", F.when(F.col(label) == 1, F.lit(pos_weight)).otherwise(F.lit(neg_weight)))

@@ -59,17 +59,16 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5, n_proj: int = 4, s
     bucket_rows = bucket_rows or max(8, 4 * k)
     checkpoint_dir(df.sparkSession)
     pts = df.select(qcol(id_col).alias("id"), qcol(vec_col).cast("array<double>").alias("v"))
-    first = pts.select(F.size("v").alias("d")).first()
-    if first is None:
+    stats = pts.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    n, dim = stats["n"], stats["d"]
+    if not n:
         return pts.select("id", F.col("id").alias("nbr_id"), F.lit(0).alias("rank"),
                           F.lit(0.0).alias("dist")).limit(0)
-    dim = first["d"]
     rng = np.random.default_rng(seed)
     dirs = rng.normal(size=(n_proj, dim))
     dirs /= np.linalg.norm(dirs, axis=1, keepdims=True)
     pts = pts.withColumns({f"p{j}": _dot(F.col("v"), F.array(*[F.lit(float(x)) for x in dirs[j]]))
                            for j in range(n_proj)})
-    n = pts.count()
     n_buckets = max(1, min(1 << 16, n // bucket_rows))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     qs = pts.approxQuantile("p0", probs, 1.0 / (4 * n_buckets)) if probs else []

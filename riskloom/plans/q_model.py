@@ -32,7 +32,7 @@ def _matrix(spark, sf):
 
 def _cv(spark, sf, variant):
     df, feats = _matrix(spark, sf)
-    return cv_train(df, "SK_ID_CURR", feats, "TARGET", variant=variant, params=QUERY_PARAMS)
+    return cv_train(df, "SK_ID_CURR", feats, "TARGET", variant=variant, params=QUERY_PARAMS, parallelism=5)
 
 
 @register("gbt_cv")
@@ -70,6 +70,14 @@ def gbt_evaluation(spark, sf):
     return per_fold.unionByName(total)
 
 
+@register("gbt_history")
+def gbt_history(spark, sf):
+    """Per-iteration loss on the training and validation rows of each fold (M8)."""
+    df, feats = _matrix(spark, sf)
+    res = cv_train(df, "SK_ID_CURR", feats, "TARGET", params=QUERY_PARAMS, parallelism=5, history=True)
+    return res.history
+
+
 @register("model_roundtrip")
 def model_roundtrip(spark, sf):
     """Fit, save to the shared folder, load, score: the loaded model's

@@ -25,3 +25,19 @@ def test_cv_variants(spark):
         assert metrics[variant]["auc"].first().auc > 0.5
     table = compare(metrics).collect()
     assert {r.metric for r in table} == {"AUC", "accuracy"}
+
+
+def test_persist_run(spark):
+    import uuid
+    from riskloom.plans.evaluate import persist_run
+    from riskloom.sources import store
+    df = _data(spark)
+    res = cv_train(df, "k", ["x1", "x2"], "TARGET", k=2, params=GBTParams(max_iter=2, max_depth=2), history=True)
+    assert res.history.where("split = 'valid'").count() == 2 * 2
+    run_dir = store.scratch_path(spark, "run")
+    persist_run(spark, res, evaluate(res, "k"), run_dir, run_id=uuid.uuid4().hex)
+    m = {r.metric: r.value for r in store.read_metrics(spark, run_dir + "/metrics").collect()}
+    assert set(m) == {"AUC", "Accuracy"}
+    loaded = store.load_gbt(run_dir + "/model")
+    assert loaded.getNumTrees == res.models[-1].getNumTrees
+    assert store.load_prep(spark, run_dir + "/preprocessing").features == res.preps[-1].features
