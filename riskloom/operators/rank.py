@@ -7,8 +7,9 @@ would pull every row into one task; instead:
 1. bucket = high bits of the hash (buckets are contiguous hash ranges),
 2. row count per bucket (a partial aggregate, at most 2**bits rows),
 3. running total over the bucket counts (tiny) -> bucket offsets,
-4. offsets joined back by broadcast (its size is bounded by 2**bits
-   times the number of ``by`` groups), row_number within each bucket.
+4. offsets joined back on the bucket (at most 2**bits rows per ``by``
+   group; the join shares its partitioning with the window), and
+   row_number within each bucket.
 
 The result equals a global ``row_number() over (order by hash, key)``.
 """
@@ -54,7 +55,10 @@ def global_position(df: DataFrame, key: str, seed=0, by: str | None = None,
     w = Window.partitionBy(*part).orderBy("_rl_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*grp, F.coalesce(F.sum("_rl_n").over(w), F.lit(0)).alias("_rl_off"))
     wi = Window.partitionBy(*grp).orderBy("_rl_h", qcol(key))
-    out = (d.join(F.broadcast(offsets), grp)
+    # No broadcast hint: the window below hash-partitions on the same
+    # columns, so a shuffled join costs no extra exchange; AQE still
+    # broadcasts the offsets when they are measured small.
+    out = (d.join(offsets, grp)
            .withColumn(name, (F.col("_rl_off") + F.row_number().over(wi) - 1).cast("bigint")))
     return out.drop("_rl_h", "_rl_b", "_rl_off")
 

@@ -42,6 +42,7 @@ from riskloom.operators.rank import global_position
 from riskloom.session import checkpoint_dir
 
 HASH_RANGE = 2 ** 32
+COPY_CHUNK = 100_000   # synthetic copies of one row generated in one task at most
 
 
 def _dot(v, u):
@@ -143,8 +144,19 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5,
     base, extra = divmod(n_syn, m)
     pos = global_position(mins, "id", seed=seed, name="pos")
     copies = (pos.withColumn("n_copies", F.lit(base) + (F.col("pos") < extra).cast("int"))
-              .where(F.col("n_copies") > 0)
-              .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))))
+              .where(F.col("n_copies") > 0))
+    if base + 1 > COPY_CHUNK:
+        # extreme imbalance: one row makes many copies; cut them into chunks
+        # spread over tasks before generating them
+        copies = (copies.withColumn("chunk", F.explode(F.sequence(
+                      F.lit(0), F.floor((F.col("n_copies") - 1) / COPY_CHUNK).cast("int"))))
+                  .repartition("id", "chunk")
+                  .withColumn("copy", F.explode(F.sequence(
+                      F.col("chunk") * COPY_CHUNK + 1,
+                      F.least(F.col("n_copies"), (F.col("chunk") + 1) * COPY_CHUNK))))
+                  .drop("chunk"))
+    else:
+        copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     picks = (copies
              .withColumn("rank", (portable_hash("id", "copy", seed=seed) % k_eff + 1).cast("int"))
              .withColumn("gap", portable_hash("id", "copy", seed=seed + 1).cast("double") / float(HASH_RANGE)))

@@ -1,7 +1,7 @@
 """Composite feature pipelines: one wide row per applicant.
 
 Each pipeline takes DataFrames (not paths) and a spec, so it runs on
-the Home Credit tables with the default specs below and on any other
+the reference's credit tables with the default specs below and on any other
 parent / child / grandchild schema with specs of its own (see
 ``riskloom.plans.driver``).
 

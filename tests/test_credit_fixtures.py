@@ -1,4 +1,4 @@
-"""Home Credit-shaped fixtures, a few hand-written rows per table,
+"""Fixtures shaped like the reference's credit tables, a few hand-written rows per table,
 covering the cases listed in FIXTURES.md."""
 
 import math

@@ -45,3 +45,15 @@ def test_smote_counts_and_segments(spark):
         assert np.allclose(np.array(r.vector), x + r.gap * (n - x))
     again = sorted((r.row_key, tuple(r.vector)) for r in syn.collect())
     assert again == sorted((r.row_key, tuple(r.vector)) for r in rows)   # repeatable
+
+
+def test_smote_chunked_copies_equal_plain(spark, monkeypatch):
+    import riskloom.operators.smote as S
+    rng = np.random.default_rng(2)
+    X = rng.normal(size=(40, 2))
+    y = np.array([1] * 3 + [0] * 37)
+    df = _frame(spark, X, np.arange(40), y)
+    plain = sorted((r.row_key, r.nbr_id, r.gap) for r in smote(df, "id", "v", "y", k=2, minority=1).collect())
+    monkeypatch.setattr(S, "COPY_CHUNK", 4)
+    chunked = sorted((r.row_key, r.nbr_id, r.gap) for r in smote(df, "id", "v", "y", k=2, minority=1).collect())
+    assert len(plain) == 34 and plain == chunked
