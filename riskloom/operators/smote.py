@@ -12,11 +12,16 @@ increases distance, so |p(x) - p(y)| <= d(x, y).
 3. Pass 2: only points whose first-pass window does not cover
    [p(x) - r(x), p(x) + r(x)] look further: they meet the points of the
    other buckets in that band that are within r(x) on every projection.
+4. In both passes candidate pairs are cut to the k best per (point,
+   bucket) inside the join task, so no pair list is ever shuffled or
+   gathered per point.
 
 Every point closer than r(x) lies in the band, so the result is the
 exact k nearest neighbours (ties by id). Work per point is a few buckets
-plus its band, not the whole class. Many identical vectors still meet
-each other (their band has width 0 but holds them all).
+plus its band. In data of high intrinsic dimension the band can cover
+most buckets: distance work then grows with the square of the class
+size, as for any exact method, but the shuffled rows stay at k per
+point and bucket.
 
 SMOTE
 -----
@@ -57,7 +62,7 @@ def _dist(a, b):
 def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5, n_proj: int = 4, seed: int = 7,
         bucket_rows: int | None = None) -> DataFrame:
     """Exact k nearest neighbours within ``df``: (id, nbr_id, rank, dist)."""
-    bucket_rows = bucket_rows or max(8, 4 * k)
+    bucket_rows = bucket_rows or max(64, 8 * k)
     checkpoint_dir(df.sparkSession)
     pts = df.select(qcol(id_col).alias("id"), qcol(vec_col).cast("array<double>").alias("v"))
     stats = pts.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
@@ -85,10 +90,9 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5, n_proj: int = 4, s
 
     # pass 1: own and adjacent buckets
     xs = pts.withColumn("jb", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)))
-    c1 = (xs.join(ys, "jb").where(F.col("nbr_id") != F.col("id"))
-          .select("id", "nbr_id", _dist(F.col("v"), F.col("nv")).alias("dist")))
+    top1 = _bucket_topk(xs, ys, F.lit(True), k)
     w = Window.partitionBy("id").orderBy("dist", "nbr_id")
-    top1 = c1.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    top1 = top1.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
     # bound r(x) and the part of the band pass 1 did not cover
     bound = top1.groupBy("id").agg(F.max("dist").alias("r"), F.count(F.lit(1)).alias("cnt"))
@@ -105,13 +109,29 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5, n_proj: int = 4, s
     far = (need.withColumn("jb", F.explode(F.sequence(F.col("blo").cast("int"), F.col("bhi").cast("int"))))
            .where((F.col("jb") < F.col("b") - 1) | (F.col("jb") > F.col("b") + 1)))
     band = reduce_and([F.abs(F.col(f"p{j}") - F.col(f"q{j}")) <= F.col("r") for j in range(n_proj)])
-    c2 = (far.join(ys, "jb").where((F.col("nbr_id") != F.col("id")) & band)
-          .select("id", "nbr_id", _dist(F.col("v"), F.col("nv")).alias("dist")))
-    cand = top1.select("id", "nbr_id", "dist").unionByName(c2)
+    top2 = _bucket_topk(far, ys, band, k)
+    cand = top1.select("id", "nbr_id", "dist").unionByName(top2)
     return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("id", "nbr_id", F.col("rank").cast("int").alias("rank"), "dist"))
 
 
+def _bucket_topk(xs: DataFrame, ys: DataFrame, cond, k: int) -> DataFrame:
+    """For each (query point, bucket): the k nearest points of the bucket.
+
+    The join is shuffled on the bucket (no broadcast), and the top-k
+    aggregate groups by (point, bucket), which that partitioning already
+    satisfies: candidate pairs are reduced inside the join task and never
+    shuffled; only k rows per point and bucket leave it. A group holds at
+    most one bucket of candidates.
+    """
+    pairs = (xs.join(ys.hint("shuffle_hash"), "jb")
+             .where((F.col("nbr_id") != F.col("id")) & cond)
+             .select("id", "jb", F.struct(_dist(F.col("v"), F.col("nv")).alias("dist"),
+                                          F.col("nbr_id").alias("nbr_id")).alias("c")))
+    best = pairs.groupBy("id", "jb").agg(F.slice(F.array_sort(F.collect_list("c")), 1, k).alias("top"))
+    return best.select("id", F.inline("top"))
+
+
 def reduce_and(conds):
     out = conds[0]
     for c in conds[1:]:
