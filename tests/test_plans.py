@@ -53,4 +53,4 @@ def test_knn_pairs_reduced_before_shuffle(spark):
             j = next(n for n, x in enumerate(below) if "ShuffledHashJoin" in x)
             assert not any("Exchange" in x for x in below[:j])
             seen += 1
-    assert seen == 2
+    assert seen >= 2
