@@ -91,5 +91,6 @@ def top_features(importances: DataFrame, k: int = 10) -> tuple[DataFrame, DataFr
     """
     mean = importances.groupBy("feature").agg(F.avg("importance").alias("mean_importance"))
     top = mean.orderBy(F.desc("mean_importance"), F.asc("feature")).limit(k)
-    rows = importances.join(F.broadcast(top.select("feature")), "feature", "left_semi")
+    rows = (importances.join(F.broadcast(top.select("feature")), "feature", "left_semi")
+            .orderBy(F.desc("importance"), "feature", "fold"))   # sorted for output (k * folds rows)
     return top, rows

@@ -24,6 +24,24 @@ DEFAULT_CONF = {
 }
 
 
+# Settings for a large cluster (not applied by get_spark; pass them to the
+# session builder or spark-submit). Sizes follow the shuffle volume of the
+# widest roll-up: start with many partitions and let AQE coalesce them to
+# the advisory size; split skewed join partitions; keep the broadcast
+# threshold modest since roll-ups are wide rows.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.codegen.maxFields": "1000",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
 def get_spark(master: str = "local[8]", shuffle_partitions: int = 8,
               app_name: str = "riskloom", extra: dict | None = None) -> SparkSession:
     """Session for local runs and tests (cluster jobs use their own)."""
