@@ -1,0 +1,3 @@
+"""DataFrame -> DataFrame operators (aggregation specs, encoding,
+joins, profiling, ranking, sampling, preparation, metrics, SMOTE,
+model training)."""

@@ -50,14 +50,16 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", by=None,
        rows per group, broadcast back), plus a running sum within each
        range.
 
-    Returns one row (per ``by`` group) with column ``auc``; NULL when a
-    group has only one class.
+    Rows with a missing score or label are left out. Returns one row
+    (per ``by`` group) with column ``auc``; NULL when a group has only
+    one class.
     """
     from pyspark.ml.feature import Bucketizer
 
     keys = _by(by)
     y = qcol(label).cast("int")
-    d = (df.groupBy(*keys, qcol(score).cast("double").alias("_s"))
+    src = df.where(qcol(score).isNotNull() & ~F.isnan(qcol(score).cast("double")) & qcol(label).isNotNull())
+    d = (src.groupBy(*keys, qcol(score).cast("double").alias("_s"))
          .agg(F.count_if(y == 1).alias("_pos"), F.count_if(y == 0).alias("_neg")))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     qs = d.approxQuantile("_s", probs, 1.0 / (4 * n_buckets)) if n_buckets > 1 else []

@@ -64,7 +64,8 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5, n_proj: int = 4, s
     """Exact k nearest neighbours within ``df``: (id, nbr_id, rank, dist)."""
     bucket_rows = bucket_rows or max(64, 8 * k)
     checkpoint_dir(df.sparkSession)
-    pts = df.select(qcol(id_col).alias("id"), qcol(vec_col).cast("array<double>").alias("v"))
+    pts = df.select(qcol(id_col).alias("id"), qcol(vec_col).cast("array<double>").alias("v")) \
+        .where(F.col("v").isNotNull() & F.col("id").isNotNull())
     stats = pts.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
     n, dim = stats["n"], stats["d"]
     if not n:

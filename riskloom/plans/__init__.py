@@ -1,0 +1 @@
+"""Composite pipelines and the registered query catalog."""

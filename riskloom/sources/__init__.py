@@ -1,0 +1,2 @@
+"""Sources and sinks: CSV scan / sink with null tokens, model,
+preprocessing and metric stores."""

@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+Every source of the workload is a finite table and every step is a
+batch computation (no watermarks, windows over event time, state or
+late data), so no Structured Streaming operator is built.
+"""

@@ -64,3 +64,9 @@ def test_prep_constant_column_and_all_null(spark):
     assert all(out[k].const == 0.0 for k in out)
     assert out[2].x == 0.5 and out[1].x == 0.0 and out[3].x == 1.0
     assert out[1].r == 1.0 and out[3].r == 0.0
+
+
+def test_auc_skips_missing(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.1), (1, None), (None, 0.5), (0, float("nan"))],
+                               "label int, score double")
+    assert M.roc_auc(df, "label", "score").first().auc == 1.0
