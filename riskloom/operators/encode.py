@@ -27,9 +27,15 @@ def string_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
             if isinstance(f.dataType, StringType) and f.name not in set(exclude)]
 
 
+def _order_col(order_by) -> Column:
+    if order_by is None:
+        return F.lit(0)
+    return order_by if isinstance(order_by, Column) else qcol(order_by)
+
+
 def discover_domains(df: DataFrame, cols: Sequence[str],
                      max_values: int = DEFAULT_MAX_VALUES,
-                     order_by: str | None = None) -> dict[str, list[str]]:
+                     order_by: str | Column | None = None) -> dict[str, list[str]]:
     """Distinct non-null values per column, in one job.
 
     Values are sorted (pandas ``get_dummies`` order), or, with
@@ -40,7 +46,7 @@ def discover_domains(df: DataFrame, cols: Sequence[str],
     cols = list(cols)
     if not cols:
         return {}
-    order = qcol(order_by) if order_by else F.lit(0)
+    order = _order_col(order_by)
     pairs = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("k"), qcol(c).cast("string").alias("v"), order.alias("o"))
         for c in cols])))
@@ -99,7 +105,7 @@ def factorize_expr(col: str, values: Sequence[str]) -> Column:
     return F.coalesce(F.try_element_at(m, qcol(col).cast("string")), F.lit(-1)).cast("bigint")
 
 
-def factorize(df: DataFrame, cols: Sequence[str], order_by: str | None = None,
+def factorize(df: DataFrame, cols: Sequence[str], order_by: str | Column | None = None,
               categories: Mapping[str, Sequence[str]] | None = None,
               max_values: int = DEFAULT_MAX_VALUES) -> DataFrame:
     """Replace each column with its integer code (pandas ``factorize``).
@@ -119,7 +125,8 @@ def discover_domains_many(parts, max_values: int = DEFAULT_MAX_VALUES) -> dict[s
     """Domains of several tables in one Spark job.
 
     ``parts`` is a list of ``(name, df, cols, order_by)``; ``order_by`` is
-    None (sorted values) or a numeric column (first appearance). Returns
+    None (sorted values) or a numeric column or expression (first
+    appearance). Returns
     ``{name: {col: values}}``. The tables' (column, value) pairs are
     de-duplicated by partial aggregation before one shuffle, so a plan
     that needs the categories of five tables scans each of them once
@@ -129,7 +136,7 @@ def discover_domains_many(parts, max_values: int = DEFAULT_MAX_VALUES) -> dict[s
     for i, (name, df, cols, order_by) in enumerate(parts):
         if not cols:
             continue
-        o = qcol(order_by).cast("bigint") if order_by else F.lit(0).cast("bigint")
+        o = _order_col(order_by).cast("bigint")
         frames.append(df.select(F.inline(F.array(*[
             F.struct(F.lit(f"{i}\x1f{c}").alias("k"), qcol(c).cast("string").alias("v"), o.alias("o"))
             for c in cols]))))

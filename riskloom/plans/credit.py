@@ -103,6 +103,15 @@ CC_FUNCS = ["min", "max", "mean", "sum", "var"]
 # ---------------------------------------------------------------------------
 
 
+SOURCE_COL = "_rl_source"
+
+
+def app_order_key(key: str = "SK_ID_CURR"):
+    """Numeric form of (source, key) for one-job domain discovery; keys
+    must stay below 2**40."""
+    return (F.col(SOURCE_COL).cast("bigint") * F.lit(1 << 40) + qcol(key)).cast("bigint")
+
+
 def _cap(df: DataFrame, num_rows: int | None) -> DataFrame:
     """Row cap for debug runs (the reference's ``nrows``)."""
     return df if num_rows is None else df.limit(num_rows)
@@ -120,11 +129,16 @@ def application_features(train: DataFrame, test: DataFrame | None = None, *,
     """C1 (``application_train_test``): union train and test, drop the
     excluded value keeping missing ones, factorize the binary columns,
     one-hot the other string columns, sentinel -> NULL, ratio features."""
-    parts = [_cap(train, num_rows)] + ([_cap(test, num_rows)] if test is not None else [])
+    parts = [_cap(train, num_rows).withColumn(SOURCE_COL, F.lit(0))]
+    if test is not None:
+        parts.append(_cap(test, num_rows).withColumn(SOURCE_COL, F.lit(1)))
     df = union_by_name(parts)
     if drop_equal:
         df = df.where(not_equal_keep_null(drop_equal[0], drop_equal[1]))
-    df = factorize(df, list(factorize_cols), order_by=order_by, categories=categories)
+    # first appearance in the reference's row order: train rows, then test
+    # rows, each by ``order_by``
+    order = F.struct(F.col(SOURCE_COL), qcol(order_by)) if order_by else None
+    df = factorize(df, list(factorize_cols), order_by=order, categories=categories).drop(SOURCE_COL)
     df, _ = one_hot(df, None, nan_as_category, categories)
     df = df.withColumns({c: sentinel_null(c, sentinel) for c in sentinel_cols})
     return df.withColumns({name: ieee_div(a, b) for name, (a, b) in ratios.items()})

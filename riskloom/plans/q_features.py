@@ -130,9 +130,9 @@ cc AS (SELECT SK_ID_CURR, DAYS_EVENT, value, {flags} FROM ev)
 
 
 def app_sql():
-    sql = f"""WITH u AS ({D.APP_TRAIN_SQL} UNION ALL {D.APP_TEST_SQL}),
+    sql = f"""WITH u AS (SELECT *, 0 AS src FROM ({D.APP_TRAIN_SQL}) a UNION ALL SELECT *, 1 AS src FROM ({D.APP_TEST_SQL}) b),
 f AS (SELECT * FROM u WHERE c_mktsegment IS DISTINCT FROM 'XNA'),
-first_seen AS (SELECT c_mktsegment AS v, MIN(SK_ID_CURR) AS o FROM f
+first_seen AS (SELECT c_mktsegment AS v, MIN(src * 1099511627776 + SK_ID_CURR) AS o FROM f
                WHERE c_mktsegment IS NOT NULL GROUP BY c_mktsegment),
 codes AS (SELECT v, row_number() OVER (ORDER BY o) - 1 AS code FROM first_seen)
 SELECT f.SK_ID_CURR, COALESCE(codes.code, -1) AS c_mktsegment, f.c_nationkey, f.c_acctbal, f.TARGET,
@@ -202,8 +202,9 @@ def feature_table(spark, sf):
     from riskloom.operators.encode import discover_domains_many
     train, test = D.app_train(spark, sf), D.app_test(spark, sf)
     bu, bb, ev = D.bureau(spark, sf), D.bureau_balance(spark, sf), D.events_history(spark, sf)
+    both = union_by_name([train.withColumn(C.SOURCE_COL, F.lit(0)), test.withColumn(C.SOURCE_COL, F.lit(1))])
     doms = discover_domains_many([
-        ("app", union_by_name([train, test]), ["c_mktsegment"], "SK_ID_CURR"),
+        ("app", both, ["c_mktsegment"], C.app_order_key("SK_ID_CURR")),
         ("bureau", bu, ["o_orderstatus", "o_orderpriority"], None),
         ("bb", bb, ["l_returnflag", "l_linestatus"], None),
         ("events", ev, ["event_type"], None),

@@ -148,3 +148,12 @@ def test_csv_null_tokens(spark, tmp_path):
     df = read_csv(spark, str(p), "k bigint, s string, x double")
     rows = {r.k: (r.s, r.x) for r in df.collect()}
     assert rows == {1: (None, 1.5), 2: (None, None), 3: (None, None), 4: ("ok", None), 5: (None, 2.0)}
+
+
+def test_factorize_train_rows_before_test_rows(spark):
+    s = "SK_ID_CURR bigint, CODE_GENDER string, FLAG_OWN_CAR string, FLAG_OWN_REALTY string"
+    train = spark.createDataFrame([(5, "M", "N", "Y")], s)
+    test = spark.createDataFrame([(1, "F", "Y", "Y")], s)
+    out = {r.SK_ID_CURR: r.CODE_GENDER for r in C.application_features(
+        train, test, sentinel_cols=[], ratios={}).collect()}
+    assert out == {5: 0, 1: 1}   # by key alone F would come first
