@@ -37,8 +37,9 @@ def stable_round(c: Column) -> Column:
     band = F.least(F.lit(O.E_MAX), F.greatest(F.lit(O.E_MIN),
                    F.floor(F.log10(F.abs(c) / F.lit(math.pi))).cast("int")))
     pi = F.lit(math.pi)
-    step = F.when(band >= 9, pi * F.pow(F.lit(10.0), band - 9)) \
-        .otherwise(pi / F.pow(F.lit(10.0), F.lit(9) - band))
+    d = O.DIGITS
+    step = F.when(band >= d, pi * F.pow(F.lit(10.0), band - d)) \
+        .otherwise(pi / F.pow(F.lit(10.0), F.lit(d) - band))
     return F.when((c == 0) | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), c) \
         .otherwise(F.rint(c / step) * step)
 

@@ -19,12 +19,13 @@ from collections.abc import Mapping, Sequence
 # decimal grid does not remove that: decimal data gives exact results
 # such as x.xxxx5 that sit on a rounding boundary, where one bit decides.
 # Instead values snap to the nearest multiple of a step that is pi times
-# a power of ten, chosen by magnitude band (about 9 significant digits):
+# a power of ten, chosen by magnitude band (about 7 significant digits):
 # no terminating decimal lies on a half-step, and the band thresholds
 # and steps are literals, so both engines do the same IEEE operations.
 # Band edges are pi times a power of ten too, so no decimal value sits
 # on a band edge.
 E_MIN, E_MAX = -5, 12
+DIGITS = 7   # step = pi * 10**(band - DIGITS): about 7 significant digits
 
 
 def q(name: str) -> str:
@@ -34,11 +35,11 @@ def q(name: str) -> str:
 
 def rnd(expr: str) -> str:
     """Band e = floor(log10(|x| / pi)) clamped to [E_MIN, E_MAX]; step
-    pi * 10**(e - 9), computed as pi times or divided by an integer power
-    of ten (exact in both engines)."""
+    pi * 10**(e - DIGITS), computed as pi times or divided by an integer
+    power of ten (exact in both engines)."""
     band = f"least({E_MAX}, greatest({E_MIN}, CAST(floor(log10(abs({expr}) / {math.pi!r})) AS INTEGER)))"
-    step = (f"(CASE WHEN {band} >= 9 THEN {math.pi!r} * pow(10.0, {band} - 9) "
-            f"ELSE {math.pi!r} / pow(10.0, 9 - {band}) END)")
+    step = (f"(CASE WHEN {band} >= {DIGITS} THEN {math.pi!r} * pow(10.0, {band} - {DIGITS}) "
+            f"ELSE {math.pi!r} / pow(10.0, {DIGITS} - {band}) END)")
     return (f"CASE WHEN {expr} = 0 OR isinf({expr}) OR isnan({expr}) THEN {expr} "
             f"ELSE round_even({expr} / {step}, 0) * {step} END")
 
