@@ -47,8 +47,8 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", by=None,
        distinct scores, so ranges hold similar row counts even when the
        scores crowd together,
     3. running negatives over the range totals (at most ``n_buckets``
-       rows per group, broadcast back), plus a running sum within each
-       range.
+       rows per group, joined back on the range), plus a running sum
+       within each range.
 
     Rows with a missing score or label are left out. Returns one row
     (per ``by`` group) with column ``auc``; NULL when a group has only
@@ -70,7 +70,9 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", by=None,
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_b", F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_off"))
     wi = Window.partitionBy(*keys, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    below = (d.join(F.broadcast(offsets), keys + ["_b"])
+    # joined on (group, range) like the window below partitions, so the
+    # join adds no exchange; AQE broadcasts the offsets when small
+    below = (d.join(offsets, keys + ["_b"])
              .withColumn("_below", F.col("_off") + F.coalesce(F.sum("_neg").over(wi), F.lit(0))))
     num = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0))
     npos, nneg = F.sum("_pos"), F.sum("_neg")

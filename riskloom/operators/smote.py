@@ -120,17 +120,18 @@ def _bucket_topk(xs: DataFrame, ys: DataFrame, cond, k: int) -> DataFrame:
     """For each (query point, bucket): the k nearest points of the bucket.
 
     The join is shuffled on the bucket (no broadcast), and the top-k
-    aggregate groups by (point, bucket), which that partitioning already
-    satisfies: candidate pairs are reduced inside the join task and never
-    shuffled; only k rows per point and bucket leave it. A group holds at
-    most one bucket of candidates.
+    window partitions by (point, bucket), which that partitioning already
+    satisfies: candidate pairs are cut inside the join task and never
+    shuffled; only k rows per point and bucket leave it. The window sorts
+    externally, so a bucket crowded with identical vectors spills instead
+    of being held in memory.
     """
     pairs = (xs.join(ys.hint("shuffle_hash"), "jb")
              .where((F.col("nbr_id") != F.col("id")) & cond)
-             .select("id", "jb", F.struct(_dist(F.col("v"), F.col("nv")).alias("dist"),
-                                          F.col("nbr_id").alias("nbr_id")).alias("c")))
-    best = pairs.groupBy("id", "jb").agg(F.slice(F.array_sort(F.collect_list("c")), 1, k).alias("top"))
-    return best.select("id", F.inline("top"))
+             .select("id", "jb", "nbr_id", _dist(F.col("v"), F.col("nv")).alias("dist")))
+    wb = Window.partitionBy("id", "jb").orderBy("dist", "nbr_id")
+    return (pairs.withColumn("_r", F.row_number().over(wb)).where(F.col("_r") <= k)
+            .select("id", "nbr_id", "dist"))
 
 
 def reduce_and(conds):

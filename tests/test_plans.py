@@ -47,8 +47,8 @@ def test_knn_pairs_reduced_before_shuffle(spark):
     lines = plan.splitlines()
     seen = 0
     for i, l in enumerate(lines):
-        if "partial_collect_list" in l:
-            # the partial top-k sits on the shuffled join, with no exchange between
+        if "WindowGroupLimit [id" in l and ", jb" in l:
+            # the per-(point, bucket) top-k sits on the shuffled join, no exchange between
             below = lines[i + 1:]
             j = next(n for n, x in enumerate(below) if "ShuffledHashJoin" in x)
             assert not any("Exchange" in x for x in below[:j])
