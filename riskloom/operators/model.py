@@ -160,8 +160,16 @@ def cv_train(df: DataFrame, key: str, features, label: str = "TARGET", k: int =
         if variant == "weighted":
             train = train.withColumn("_w", F.when(F.col(label) == 1, F.lit(pos_weight)).otherwise(F.lit(neg_weight)))
             weight = "_w"
-        est = params.estimator(label_col=label, weight_col=weight)
-        model = est.fit(_assemble(train, fs))
+        fit_rows, val_col = train, None
+        if params.validation_tol is not None:
+            # early stop on the fold's validation rows (the reference's eval set)
+            val_col = "_is_valid"
+            vrows = valid.select(*train.columns if weight is None else [c for c in train.columns if c != weight])
+            if weight is not None:
+                vrows = vrows.withColumn(weight, F.lit(1.0))
+            fit_rows = train.withColumn(val_col, F.lit(False)).unionByName(vrows.withColumn(val_col, F.lit(True)))
+        est = params.estimator(label_col=label, weight_col=weight, validation_col=val_col)
+        model = est.fit(_assemble(fit_rows, fs))
         scored = model.transform(_assemble(valid, fs))
         pred = scored.select(qcol(key), qcol(label), F.lit(fold).alias("fold"),
                              vector_to_array("probability")[1].alias("score"), F.col("prediction"))

@@ -41,3 +41,11 @@ def test_persist_run(spark):
     loaded = store.load_gbt(run_dir + "/model")
     assert loaded.getNumTrees == res.models[-1].getNumTrees
     assert store.load_prep(spark, run_dir + "/preprocessing").features == res.preps[-1].features
+
+
+def test_early_stop_on_validation_fold(spark):
+    df = _data(spark)
+    p = GBTParams(max_iter=30, max_depth=2, validation_tol=0.5)
+    res = cv_train(df, "k", ["x1", "x2"], "TARGET", k=2, params=p, parallelism=2)
+    assert res.predictions.count() == 400
+    assert all(m.getNumTrees < 30 for m in res.models)
