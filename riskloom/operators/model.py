@@ -86,7 +86,7 @@ class CVResult:
     importances: DataFrame          # feature, importance, fold
     models: list = field(default_factory=list)
     preps: list = field(default_factory=list)
-    history: DataFrame | None = None   # fold, iteration, split, loss
+    history: DataFrame | None = None   # fold, split, iteration, loss, auc
 
 
 def _assemble(df: DataFrame, features) -> DataFrame:
@@ -100,6 +100,34 @@ def _importance_frame(spark, model, features, fold):
                                  "feature string, importance double, fold int")
 
 
+def iteration_auc(model, assembled: DataFrame, label: str, every: int = 1) -> DataFrame:
+    """AUC after each boosting iteration (M8, the reference's eval metric).
+
+    The margin after i trees is the weighted sum of the first i trees'
+    predictions (probability is a monotone function of it, so the AUC is
+    the same). Each tree adds one prediction column; the margins of all
+    iterations are stacked and one distributed AUC is computed grouped by
+    iteration. ``every`` keeps every n-th iteration only.
+    """
+    cur, cols = assembled.select(qcol(label), "features"), []
+    for i, tree in enumerate(model.trees):
+        t = tree.copy()
+        t.setPredictionCol(f"_tree{i}")
+        cur = t.transform(cur)
+        cols.append(f"_tree{i}")
+    weights = model.treeWeights
+    margins, acc = [], None
+    for i, c in enumerate(cols):
+        term = F.col(c) * F.lit(float(weights[i]))
+        acc = term if acc is None else acc + term
+        if (i + 1) % every == 0 or i + 1 == len(cols):
+            margins.append(F.struct(F.lit(i + 1).alias("iteration"), acc.alias("score")))
+    long = cur.select(qcol(label), F.explode(F.array(*margins)).alias("_m")) \
+        .select(qcol(label), "_m.iteration", "_m.score")
+    from riskloom.operators.metrics import roc_auc
+    return roc_auc(long, label, "score", by="iteration")
+
+
 def _oversample(train: DataFrame, key: str, features, label: str, k: int, seed: int,
                 draw_back: bool) -> DataFrame:
     """SMOTE on the training rows (features as one vector), optionally
@@ -175,11 +203,15 @@ def cv_train(df: DataFrame, key: str, features, label: str = "TARGET", k: int =
                              vector_to_array("probability")[1].alias("score"), F.col("prediction"))
         hist = None
         if history:
-            rows = []
+            rows, aucs = [], []
             for split, d in (("train", train), ("valid", valid)):
-                for it, loss in enumerate(model.evaluateEachIteration(_assemble(d, fs))):
+                x = _assemble(d, fs)
+                for it, loss in enumerate(model.evaluateEachIteration(x)):
                     rows.append((fold, it + 1, split, float(loss)))
-            hist = spark.createDataFrame(rows, "fold int, iteration int, split string, loss double")
+                aucs.append(iteration_auc(model, x, label).withColumn("fold", F.lit(fold))
+                            .withColumn("split", F.lit(split)))
+            losses = spark.createDataFrame(rows, "fold int, iteration int, split string, loss double")
+            hist = losses.join(union_by_name(aucs), ["fold", "split", "iteration"], "left")
         return pred, _importance_frame(spark, model, fs, fold), model, pm, hist
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:

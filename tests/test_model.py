@@ -34,6 +34,8 @@ def test_persist_run(spark):
     df = _data(spark)
     res = cv_train(df, "k", ["x1", "x2"], "TARGET", k=2, params=GBTParams(max_iter=2, max_depth=2), history=True)
     assert res.history.where("split = 'valid'").count() == 2 * 2
+    h = res.history.collect()
+    assert all(r.auc is None or 0.0 <= r.auc <= 1.0 for r in h) and any(r.auc is not None for r in h)
     run_dir = store.scratch_path(spark, "run")
     persist_run(spark, res, evaluate(res, "k"), run_dir, run_id=uuid.uuid4().hex)
     m = {r.metric: r.value for r in store.read_metrics(spark, run_dir + "/metrics").collect()}
@@ -49,3 +51,16 @@ def test_early_stop_on_validation_fold(spark):
     res = cv_train(df, "k", ["x1", "x2"], "TARGET", k=2, params=p, parallelism=2)
     assert res.predictions.count() == 400
     assert all(m.getNumTrees < 30 for m in res.models)
+
+
+def test_iteration_auc_last_equals_model_auc(spark):
+    from riskloom.operators import metrics as M
+    from riskloom.operators.model import _assemble, iteration_auc
+    df = _data(spark)
+    m = GBTParams(max_iter=4, max_depth=2).estimator(label_col="TARGET").fit(_assemble(df, ["x1", "x2"]))
+    x = _assemble(df, ["x1", "x2"])
+    per_it = {r.iteration: r.auc for r in iteration_auc(m, x, "TARGET").collect()}
+    assert sorted(per_it) == [1, 2, 3, 4]
+    from pyspark.ml.functions import vector_to_array
+    p = m.transform(x).withColumn("score", vector_to_array("probability")[1])
+    assert abs(per_it[4] - M.roc_auc(p, "TARGET", "score").first().auc) < 1e-12
