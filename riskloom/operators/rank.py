@@ -38,14 +38,15 @@ def bucket_bits_for(n_rows: int) -> int:
 
 def global_position(df: DataFrame, key: str, seed=0, by: str | None = None,
                     name: str = "pos", bucket_bits: int | None = None,
-                    hash_col: Column | None = None) -> DataFrame:
+                    hash_col: Column | None = None, n_rows: int | None = None) -> DataFrame:
     """Add ``name`` = exact 0-based position in hash order (within ``by``).
 
     ``key`` must be unique (within ``by``) for the order to be total.
-    ``bucket_bits`` None sizes the buckets from a row count.
+    ``bucket_bits`` None sizes the buckets from ``n_rows`` (counted when
+    not given).
     """
     if bucket_bits is None:
-        bucket_bits = bucket_bits_for(df.count())
+        bucket_bits = bucket_bits_for(df.count() if n_rows is None else n_rows)
     h = hash_col if hash_col is not None else portable_hash(key, seed=seed)
     part = [by] if by else []
     d = (df.withColumn("_rl_h", h)

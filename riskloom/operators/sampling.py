@@ -21,9 +21,11 @@ def hash_sample(df: DataFrame, key: str, fraction: float, seed=0) -> DataFrame:
     return df.where(portable_hash(key, seed=seed) < F.lit(int(fraction * HASH_RANGE)))
 
 
-def exact_sample(df: DataFrame, key: str, n: int, seed=0, bucket_bits=None) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows (R2): the first n in hash order."""
-    pos = global_position(df, key, seed, name="_rl_pos", bucket_bits=bucket_bits)
+def exact_sample(df: DataFrame, key: str, n: int, seed=0, bucket_bits=None,
+                 n_rows: int | None = None) -> DataFrame:
+    """Exactly ``min(n, rows)`` rows (R2): the first n in hash order.
+    ``n_rows`` (the input's row count, if known) saves a counting job."""
+    pos = global_position(df, key, seed, name="_rl_pos", bucket_bits=bucket_bits, n_rows=n_rows)
     return pos.where(F.col("_rl_pos") < n).drop("_rl_pos")
 
 

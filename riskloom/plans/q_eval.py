@@ -117,7 +117,8 @@ WHERE pos < (SELECT COUNT(*) FROM orders) // 10""")
 def exact_sample(spark, sf):
     """Exactly a tenth of the rows (count // 10), chosen by hash order."""
     o = D.read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return S.exact_sample(o, "o_orderkey", o.count() // 10, seed=42)
+    n = o.count()
+    return S.exact_sample(o, "o_orderkey", n // 10, seed=42, n_rows=n)
 
 
 @register("kfold", f"""SELECT c_custkey, CAST(({_pos_sql('customer', 'c_custkey', 1001)}) % 5 AS INTEGER) AS fold
