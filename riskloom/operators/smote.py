@@ -17,7 +17,16 @@ increases distance, so |p(x) - p(y)| <= d(x, y).
    gathered per point.
 
 Every point closer than r(x) lies in the band, so the result is the
-exact k nearest neighbours (ties by id). Work per point is a few buckets
+exact k nearest neighbours (ties by id).
+
+Repeated vectors are folded first: the search runs over distinct vectors,
+each carrying its k+1 smallest ids (a row_number limit that Spark applies
+before the shuffle as well as after it). A point's neighbours are then the
+other ids of its own vector at distance 0, followed by the k smallest ids
+of each of its vector's k nearest distinct vectors, sorted by (distance,
+id) inside the row. At most k distinct vectors can contribute to a
+point's k nearest ids, so this is exact; and one vector repeated on a
+third of the rows never fills a bucket with equal projections. Work per point is a few buckets
 plus its band. In data of high intrinsic dimension the band can cover
 most buckets: distance work then grows with the square of the class
 size, as for any exact method, but the shuffled rows stay at k per
@@ -62,15 +71,38 @@ def _dist(a, b):
 def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5, n_proj: int = 4, seed: int = 7,
         bucket_rows: int | None = None) -> DataFrame:
     """Exact k nearest neighbours within ``df``: (id, nbr_id, rank, dist)."""
-    bucket_rows = bucket_rows or max(64, 8 * k)
     checkpoint_dir(df.sparkSession)
     pts = df.select(qcol(id_col).alias("id"), qcol(vec_col).cast("array<double>").alias("v")) \
         .where(F.col("v").isNotNull() & F.col("id").isNotNull())
+    # distinct vectors with their k+1 smallest ids
+    first_ids = Window.partitionBy("v").orderBy("id")
+    uniq = (pts.withColumn("_r", F.row_number().over(first_ids)).where(F.col("_r") <= k + 1)
+            .groupBy("v").agg(F.min("id").alias("uid"), F.array_sort(F.collect_list("id")).alias("ids")))
+    uniq = uniq.checkpoint(eager=True)
+    near = _knn_distinct(uniq.select(F.col("uid").alias("id"), "v"), k, n_proj, seed, bucket_rows)
+    pair = lambda d, i: F.struct(d.alias("dist"), i.alias("nbr_id"))
+    far = (near.join(uniq.select(F.col("uid").alias("nbr_id"), F.slice("ids", 1, k).alias("nids")), "nbr_id")
+           .groupBy(F.col("id").alias("uid"))
+           .agg(F.flatten(F.collect_list(F.transform("nids", lambda i: pair(F.col("dist"), i)))).alias("far")))
+    own = F.transform("ids", lambda i: pair(F.lit(0.0), i))
+    cand = uniq.join(far, "uid", "left").select(
+        "v", F.concat(own, F.coalesce(F.col("far"), F.slice(own, 1, 0))).alias("cand"))
+    # per point: drop itself, order by (dist, id) inside the row, keep k
+    top = pts.join(cand, "v").select("id", F.slice(F.array_sort(
+        F.filter("cand", lambda c: c["nbr_id"] != F.col("id"))), 1, k).alias("top"))
+    return top.select("id", F.posexplode("top").alias("pos", "c")).select(
+        "id", F.col("c.nbr_id").alias("nbr_id"), (F.col("pos") + 1).cast("int").alias("rank"),
+        F.col("c.dist").alias("dist"))
+
+
+def _knn_distinct(pts: DataFrame, k: int, n_proj: int, seed: int, bucket_rows: int | None) -> DataFrame:
+    """Filter-and-refine kNN over (id, v) rows whose vectors are distinct
+    (a checkpointed table: it is read by several jobs)."""
+    bucket_rows = bucket_rows or max(64, 8 * k)
     stats = pts.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
     n, dim = stats["n"], stats["d"]
     if not n:
-        return pts.select("id", F.col("id").alias("nbr_id"), F.lit(0).alias("rank"),
-                          F.lit(0.0).alias("dist")).limit(0)
+        return pts.select("id", F.col("id").alias("nbr_id"), F.lit(0.0).alias("dist")).limit(0)
     rng = np.random.default_rng(seed)
     dirs = rng.normal(size=(n_proj, dim))
     dirs /= np.linalg.norm(dirs, axis=1, keepdims=True)
@@ -84,8 +116,8 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5, n_proj: int = 4, s
     nb = len(splits) - 1
     pts = Bucketizer(splits=splits, inputCol="p0", outputCol="bf").transform(pts) \
         .withColumn("b", F.col("bf").cast("int")).drop("bf")
-    # reused by both passes: cut the lineage in the shared checkpoint folder
-    pts = pts.checkpoint(eager=True)
+    # the input is checkpointed by the caller; projections and bucket
+    # numbers are cheap expressions over it, recomputed by each pass
     ys = pts.select(F.col("id").alias("nbr_id"), F.col("v").alias("nv"), F.col("b").alias("jb"),
                     *[F.col(f"p{j}").alias(f"q{j}") for j in range(n_proj)])
 
@@ -113,7 +145,7 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5, n_proj: int = 4, s
     top2 = _bucket_topk(far, ys, band, k)
     cand = top1.select("id", "nbr_id", "dist").unionByName(top2)
     return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("id", "nbr_id", F.col("rank").cast("int").alias("rank"), "dist"))
+            .select("id", "nbr_id", "dist"))
 
 
 def _bucket_topk(xs: DataFrame, ys: DataFrame, cond, k: int) -> DataFrame:

@@ -30,6 +30,23 @@ def test_knn_exact_uniform_and_clustered(spark):
     assert got == brute_knn(ids, X, 4)
 
 
+def test_knn_exact_with_repeated_vectors(spark):
+    # one vector on a third of the rows, small repeated groups, and equal
+    # distances between distinct vectors (ties broken by id)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 3))
+    X = np.vstack([np.tile(base[0], (30, 1)), np.repeat(base[1:6], 3, axis=0), base[6:],
+                   np.array([[10.0, 0, 0], [12.0, 0, 0], [11.0, 1.0, 0], [11.0, -1.0, 0], [11.0, 0, 0]])])
+    ids = rng.permutation(np.arange(1000, 1000 + len(X)))
+    df = _frame(spark, X, ids)
+    got, dists = {}, {}
+    for r in knn(df, "id", "v", k=5, bucket_rows=8).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.nbr_id)
+        dists.setdefault(r.id, []).append(r.dist)
+    assert got == brute_knn(ids, X, 5)
+    assert all(d == sorted(d) for d in dists.values())
+
+
 def test_smote_counts_and_segments(spark):
     rng = np.random.default_rng(1)
     X = rng.normal(size=(60, 3))
