@@ -71,7 +71,10 @@ class GBTParams:
         kw = dict(featuresCol=features_col, labelCol=label_col, stepSize=self.step_size,
                   maxIter=self.max_iter, maxDepth=self.max_depth,
                   featureSubsetStrategy=self.feature_subset, subsamplingRate=self.subsampling_rate,
-                  minInfoGain=self.min_info_gain, maxBins=self.max_bins, seed=self.seed)
+                  minInfoGain=self.min_info_gain, maxBins=self.max_bins, seed=self.seed,
+                  # the boosting state is checkpointed to the shared folder every
+                  # 10 trees, so a lost executor never replays the whole ensemble
+                  checkpointInterval=10)
         if weight_col:
             kw["weightCol"] = weight_col
         if validation_col and self.validation_tol is not None:
