@@ -74,35 +74,43 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5, n_proj: int = 4, s
     checkpoint_dir(df.sparkSession)
     pts = df.select(qcol(id_col).alias("id"), qcol(vec_col).cast("array<double>").alias("v")) \
         .where(F.col("v").isNotNull() & F.col("id").isNotNull())
-    # distinct vectors with their k+1 smallest ids
-    first_ids = Window.partitionBy("v").orderBy("id")
+    # distinct vectors with their k+1 smallest ids; a 64-bit hash leads the
+    # key so sorts and hash tables compare whole arrays only on a collision
+    pts = pts.withColumn("h", F.xxhash64("v"))
+    first_ids = Window.partitionBy("h", "v").orderBy("id")
     uniq = (pts.withColumn("_r", F.row_number().over(first_ids)).where(F.col("_r") <= k + 1)
-            .groupBy("v").agg(F.min("id").alias("uid"), F.array_sort(F.collect_list("id")).alias("ids")))
+            .groupBy("h", "v").agg(F.min("id").alias("uid"), F.array_sort(F.collect_list("id")).alias("ids")))
     uniq = uniq.checkpoint(eager=True)
-    near = _knn_distinct(uniq.select(F.col("uid").alias("id"), "v"), k, n_proj, seed, bucket_rows)
+    stats = uniq.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d"),
+                     F.max(F.size("ids")).alias("m")).first()
+    near = _knn_distinct(uniq.select(F.col("uid").alias("id"), "v"), k, n_proj, seed, bucket_rows,
+                         stats["n"], stats["d"])
+    if not stats["n"] or stats["m"] == 1:
+        return near   # no vector repeats: the distinct search already is the answer
     pair = lambda d, i: F.struct(d.alias("dist"), i.alias("nbr_id"))
     far = (near.join(uniq.select(F.col("uid").alias("nbr_id"), F.slice("ids", 1, k).alias("nids")), "nbr_id")
            .groupBy(F.col("id").alias("uid"))
            .agg(F.flatten(F.collect_list(F.transform("nids", lambda i: pair(F.col("dist"), i)))).alias("far")))
     own = F.transform("ids", lambda i: pair(F.lit(0.0), i))
     cand = uniq.join(far, "uid", "left").select(
-        "v", F.concat(own, F.coalesce(F.col("far"), F.slice(own, 1, 0))).alias("cand"))
+        "h", "v", F.concat(own, F.coalesce(F.col("far"), F.slice(own, 1, 0))).alias("cand"))
     # per point: drop itself, order by (dist, id) inside the row, keep k
-    top = pts.join(cand, "v").select("id", F.slice(F.array_sort(
+    top = pts.join(cand, ["h", "v"]).select("id", F.slice(F.array_sort(
         F.filter("cand", lambda c: c["nbr_id"] != F.col("id"))), 1, k).alias("top"))
     return top.select("id", F.posexplode("top").alias("pos", "c")).select(
         "id", F.col("c.nbr_id").alias("nbr_id"), (F.col("pos") + 1).cast("int").alias("rank"),
         F.col("c.dist").alias("dist"))
 
 
-def _knn_distinct(pts: DataFrame, k: int, n_proj: int, seed: int, bucket_rows: int | None) -> DataFrame:
-    """Filter-and-refine kNN over (id, v) rows whose vectors are distinct
-    (a checkpointed table: it is read by several jobs)."""
+def _knn_distinct(pts: DataFrame, k: int, n_proj: int, seed: int, bucket_rows: int | None,
+                  n: int, dim: int) -> DataFrame:
+    """Filter-and-refine kNN over ``n`` (id, v) rows of dimension ``dim``
+    whose vectors are distinct (a checkpointed table: it is read by
+    several jobs). Returns the k best (id, nbr_id, rank, dist) per id."""
     bucket_rows = bucket_rows or max(64, 8 * k)
-    stats = pts.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
-    n, dim = stats["n"], stats["d"]
     if not n:
-        return pts.select("id", F.col("id").alias("nbr_id"), F.lit(0.0).alias("dist")).limit(0)
+        return pts.select("id", F.col("id").alias("nbr_id"), F.lit(0).alias("rank"),
+                          F.lit(0.0).alias("dist")).limit(0)
     rng = np.random.default_rng(seed)
     dirs = rng.normal(size=(n_proj, dim))
     dirs /= np.linalg.norm(dirs, axis=1, keepdims=True)
@@ -145,7 +153,7 @@ def _knn_distinct(pts: DataFrame, k: int, n_proj: int, seed: int, bucket_rows: i
     top2 = _bucket_topk(far, ys, band, k)
     cand = top1.select("id", "nbr_id", "dist").unionByName(top2)
     return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("id", "nbr_id", "dist"))
+            .select("id", "nbr_id", F.col("rank").cast("int").alias("rank"), "dist"))
 
 
 def _bucket_topk(xs: DataFrame, ys: DataFrame, cond, k: int) -> DataFrame:
