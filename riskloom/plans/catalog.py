@@ -9,6 +9,8 @@ order of floating-point additions cannot change a compared value.
 
 from __future__ import annotations
 
+import contextvars
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,12 +24,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+# Table readers shared while one query builds its plan (nested query
+# calls included): each table's files are listed and its footers read
+# once per build, not once per branch. The scope ends with the build, so
+# a later call sees the files as they are then.
+_READ_SCOPE: contextvars.ContextVar[dict | None] = contextvars.ContextVar("read_scope", default=None)
+
+
+def read_scope() -> dict | None:
+    return _READ_SCOPE.get()
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def build(spark, sf):
+            if _READ_SCOPE.get() is not None:
+                return fn(spark, sf)
+            token = _READ_SCOPE.set({})
+            try:
+                return fn(spark, sf)
+            finally:
+                _READ_SCOPE.reset(token)
+        QUERIES[name] = build
         if sql is not None:
             ORACLE[name] = sql
-        return fn
+        return build
     return deco
 
 

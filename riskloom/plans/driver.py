@@ -36,7 +36,15 @@ DOMAINS = {
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    from riskloom.plans.catalog import read_scope
+    path = f"{sf_dir}/{name}.parquet"
+    scope = read_scope()
+    if scope is None:
+        return spark.read.parquet(path)
+    key = (id(spark), path)
+    if key not in scope:
+        scope[key] = spark.read.parquet(path)
+    return scope[key]
 
 
 def days(col: str):
