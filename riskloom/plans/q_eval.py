@@ -209,15 +209,16 @@ def _compare_sql():
 @register("model_compare", _compare_sql())
 def model_compare(spark, sf):
     """Metric x variant table (AUC and accuracy of three scores)."""
-    s = _scored(spark, sf).cache()
-    rows = []
-    for name in SCORES:
-        rows.append(M.roc_auc(s, "label", f"score_{name}").select(
-            F.lit("AUC").alias("metric"), F.lit(name).alias("variant"), F.col("auc").alias("value")))
-        rows.append(M.accuracy(s, "label", f"pred_{name}").select(
-            F.lit("accuracy").alias("metric"), F.lit(name).alias("variant"), F.col("accuracy").alias("value")))
-    from riskloom.operators.assemble import union_by_name
-    return finalize(M.model_compare(union_by_name(rows), list(SCORES)))
+    # one row per (line, variant): every metric is one grouped pass over
+    # the scored rows instead of one pass per variant
+    s = _scored(spark, sf).select("label", F.inline(F.array(*[
+        F.struct(F.lit(n).alias("variant"), F.col(f"score_{n}").cast("double").alias("score"),
+                 F.col(f"pred_{n}").alias("pred")) for n in SCORES])))
+    auc = M.roc_auc(s, "label", "score", by="variant").select(
+        F.lit("AUC").alias("metric"), "variant", F.col("auc").alias("value"))
+    acc = M.accuracy(s, "label", "pred", by="variant").select(
+        F.lit("accuracy").alias("metric"), "variant", F.col("accuracy").alias("value"))
+    return finalize(M.model_compare(auc.unionByName(acc), list(SCORES)))
 
 
 IMP_SQL = f"""SELECT 'supp_' || CAST(l_suppkey AS VARCHAR) AS feature,
