@@ -59,11 +59,29 @@ HASH_RANGE = 2 ** 32
 COPY_CHUNK = 100_000   # synthetic copies of one row generated in one task at most
 
 
+# Widest vector whose pair distance is written out term by term. The
+# unrolled sum stays in whole-stage generated code; the lambda form
+# (zip_with / aggregate) is evaluated row by row, about 15x slower on
+# 64-wide vectors. Both add the terms in the same order, so the values
+# are identical. Only the per-pair distance is unrolled: projections run
+# once per point, and a larger plan costs fixed optimizer time.
+UNROLL_MAX = 1024
+
+
 def _dot(v, u):
-    return F.aggregate(F.zip_with(v, u, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+    """v . u for a direction ``u`` given as a list of floats (once per point)."""
+    lits = F.array(*[F.lit(float(c)) for c in u])
+    return F.aggregate(F.zip_with(v, lits, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def _dist(a, b):
+def _dist(a, b, dim: int | None = None):
+    """Euclidean distance; ``dim`` set means every vector has that length."""
+    if dim is not None and dim <= UNROLL_MAX:
+        acc = F.lit(0.0)
+        for i in range(1, dim + 1):
+            t = F.try_element_at(a, F.lit(i)) - F.try_element_at(b, F.lit(i))
+            acc = acc + t * t
+        return F.sqrt(acc)
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)),
                               F.lit(0.0), lambda acc, x: acc + x))
 
@@ -82,9 +100,9 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5, n_proj: int = 4, s
             .groupBy("h", "v").agg(F.min("id").alias("uid"), F.array_sort(F.collect_list("id")).alias("ids")))
     uniq = uniq.checkpoint(eager=True)
     stats = uniq.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d"),
-                     F.max(F.size("ids")).alias("m")).first()
+                     F.min(F.size("v")).alias("d0"), F.max(F.size("ids")).alias("m")).first()
     near = _knn_distinct(uniq.select(F.col("uid").alias("id"), "v"), k, n_proj, seed, bucket_rows,
-                         stats["n"], stats["d"])
+                         stats["n"], stats["d"], uniform=stats["d0"] == stats["d"])
     if not stats["n"] or stats["m"] == 1:
         return near   # no vector repeats: the distinct search already is the answer
     pair = lambda d, i: F.struct(d.alias("dist"), i.alias("nbr_id"))
@@ -103,7 +121,7 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5, n_proj: int = 4, s
 
 
 def _knn_distinct(pts: DataFrame, k: int, n_proj: int, seed: int, bucket_rows: int | None,
-                  n: int, dim: int) -> DataFrame:
+                  n: int, dim: int, uniform: bool = False) -> DataFrame:
     """Filter-and-refine kNN over ``n`` (id, v) rows of dimension ``dim``
     whose vectors are distinct (a checkpointed table: it is read by
     several jobs). Returns the k best (id, nbr_id, rank, dist) per id."""
@@ -114,8 +132,8 @@ def _knn_distinct(pts: DataFrame, k: int, n_proj: int, seed: int, bucket_rows: i
     rng = np.random.default_rng(seed)
     dirs = rng.normal(size=(n_proj, dim))
     dirs /= np.linalg.norm(dirs, axis=1, keepdims=True)
-    pts = pts.withColumns({f"p{j}": _dot(F.col("v"), F.array(*[F.lit(float(x)) for x in dirs[j]]))
-                           for j in range(n_proj)})
+    fixed = dim if uniform else None
+    pts = pts.withColumns({f"p{j}": _dot(F.col("v"), dirs[j].tolist()) for j in range(n_proj)})
     n_buckets = max(1, min(1 << 16, n // bucket_rows))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     qs = pts.approxQuantile("p0", probs, 1.0 / (4 * n_buckets)) if probs else []
@@ -131,7 +149,7 @@ def _knn_distinct(pts: DataFrame, k: int, n_proj: int, seed: int, bucket_rows: i
 
     # pass 1: own and adjacent buckets
     xs = pts.withColumn("jb", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)))
-    top1 = _bucket_topk(xs, ys, F.lit(True), k)
+    top1 = _bucket_topk(xs, ys, F.lit(True), k, fixed)
     w = Window.partitionBy("id").orderBy("dist", "nbr_id")
     top1 = top1.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -150,13 +168,13 @@ def _knn_distinct(pts: DataFrame, k: int, n_proj: int, seed: int, bucket_rows: i
     far = (need.withColumn("jb", F.explode(F.sequence(F.col("blo").cast("int"), F.col("bhi").cast("int"))))
            .where((F.col("jb") < F.col("b") - 1) | (F.col("jb") > F.col("b") + 1)))
     band = reduce_and([F.abs(F.col(f"p{j}") - F.col(f"q{j}")) <= F.col("r") for j in range(n_proj)])
-    top2 = _bucket_topk(far, ys, band, k)
+    top2 = _bucket_topk(far, ys, band, k, fixed)
     cand = top1.select("id", "nbr_id", "dist").unionByName(top2)
     return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("id", "nbr_id", F.col("rank").cast("int").alias("rank"), "dist"))
 
 
-def _bucket_topk(xs: DataFrame, ys: DataFrame, cond, k: int) -> DataFrame:
+def _bucket_topk(xs: DataFrame, ys: DataFrame, cond, k: int, dim: int | None = None) -> DataFrame:
     """For each (query point, bucket): the k nearest points of the bucket.
 
     The join is shuffled on the bucket (no broadcast), and the top-k
@@ -168,7 +186,7 @@ def _bucket_topk(xs: DataFrame, ys: DataFrame, cond, k: int) -> DataFrame:
     """
     pairs = (xs.join(ys.hint("shuffle_hash"), "jb")
              .where((F.col("nbr_id") != F.col("id")) & cond)
-             .select("id", "jb", "nbr_id", _dist(F.col("v"), F.col("nv")).alias("dist")))
+             .select("id", "jb", "nbr_id", _dist(F.col("v"), F.col("nv"), dim).alias("dist")))
     wb = Window.partitionBy("id", "jb").orderBy("dist", "nbr_id")
     return (pairs.withColumn("_r", F.row_number().over(wb)).where(F.col("_r") <= k)
             .select("id", "nbr_id", "dist"))
@@ -189,7 +207,10 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5,
     label, vector (array<double>). Union them with the input for the
     resampled table.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(qcol(label_col)).count().collect()}
+    per_label = df.groupBy(qcol(label_col)).agg(
+        F.count(F.lit(1)), F.max(F.size(qcol(vec_col))), F.min(F.size(qcol(vec_col)))).collect()
+    counts = {r[0]: r[1] for r in per_label}
+    sizes = {r[0]: (r[3], r[2]) for r in per_label}
     if minority is None:
         minority = min(counts, key=lambda c: (counts[c], str(c)))
     m = counts.get(minority, 0)
@@ -223,9 +244,15 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5,
              .withColumn("rank", (portable_hash("id", "copy", seed=seed) % k_eff + 1).cast("int"))
              .withColumn("gap", portable_hash("id", "copy", seed=seed + 1).cast("double") / float(HASH_RANGE)))
     nbrs = mins.select(F.col("id").alias("nbr_id"), F.col("v").alias("nv"))
+    lo, hi = sizes.get(minority, (None, None))
+    if lo is not None and lo == hi and hi <= UNROLL_MAX:
+        at = lambda c, i: F.try_element_at(F.col(c), F.lit(i))
+        vector = F.array(*[at("v", i) + F.col("gap") * (at("nv", i) - at("v", i)) for i in range(1, hi + 1)])
+    else:
+        vector = F.zip_with("v", "nv", lambda a, b: a + F.col("gap") * (b - a))
     out = (picks.join(nn.select("id", "rank", "nbr_id"), ["id", "rank"])
            .join(nbrs, "nbr_id")
-           .withColumn("vector", F.zip_with("v", "nv", lambda a, b: a + F.col("gap") * (b - a))))
+           .withColumn("vector", vector))
     return out.select(F.concat_ws(":", F.col("id").cast("string"), F.col("copy").cast("string")).alias("row_key"),
                       F.col("id").alias("parent_id"), F.col("copy").cast("int").alias("copy"), "nbr_id", "gap",
                       F.lit(minority).alias("label"), "vector")
