@@ -64,8 +64,13 @@ COPY_CHUNK = 100_000   # synthetic copies of one row generated in one task at mo
 # (zip_with / aggregate) is evaluated row by row, about 15x slower on
 # 64-wide vectors. Both add the terms in the same order, so the values
 # are identical. Only the per-pair distance is unrolled: projections run
-# once per point, and a larger plan costs fixed optimizer time.
+# once per point. Compiling the wide expression is a fixed cost (about
+# 1 s at 64 terms, 4 s at ~150), so it is done only when the work pays
+# for it: from UNROLL_MIN_POINTS distinct vectors (each meets a few
+# hundred candidates), or UNROLL_MIN_ROWS synthetic SMOTE rows.
 UNROLL_MAX = 1024
+UNROLL_MIN_POINTS = 10_000
+UNROLL_MIN_ROWS = 100_000
 
 
 def _dot(v, u):
@@ -132,7 +137,7 @@ def _knn_distinct(pts: DataFrame, k: int, n_proj: int, seed: int, bucket_rows: i
     rng = np.random.default_rng(seed)
     dirs = rng.normal(size=(n_proj, dim))
     dirs /= np.linalg.norm(dirs, axis=1, keepdims=True)
-    fixed = dim if uniform else None
+    fixed = dim if uniform and n >= UNROLL_MIN_POINTS else None
     pts = pts.withColumns({f"p{j}": _dot(F.col("v"), dirs[j].tolist()) for j in range(n_proj)})
     n_buckets = max(1, min(1 << 16, n // bucket_rows))
     probs = [i / n_buckets for i in range(1, n_buckets)]
@@ -245,7 +250,7 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5,
              .withColumn("gap", portable_hash("id", "copy", seed=seed + 1).cast("double") / float(HASH_RANGE)))
     nbrs = mins.select(F.col("id").alias("nbr_id"), F.col("v").alias("nv"))
     lo, hi = sizes.get(minority, (None, None))
-    if lo is not None and lo == hi and hi <= UNROLL_MAX:
+    if lo is not None and lo == hi and hi <= UNROLL_MAX and n_syn >= UNROLL_MIN_ROWS:
         at = lambda c, i: F.try_element_at(F.col(c), F.lit(i))
         vector = F.array(*[at("v", i) + F.col("gap") * (at("nv", i) - at("v", i)) for i in range(1, hi + 1)])
     else:

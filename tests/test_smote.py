@@ -74,3 +74,19 @@ def test_smote_chunked_copies_equal_plain(spark, monkeypatch):
     monkeypatch.setattr(S, "COPY_CHUNK", 4)
     chunked = sorted((r.row_key, r.nbr_id, r.gap) for r in smote(df, "id", "v", "y", k=2, minority=1).collect())
     assert len(plain) == 34 and plain == chunked
+
+
+def test_unrolled_distance_equals_lambda_form(spark, monkeypatch):
+    import riskloom.operators.smote as S
+    rng = np.random.default_rng(5)
+    X = np.vstack([rng.normal(size=(50, 4)), np.tile(rng.normal(size=4), (8, 1))])
+    ids = np.arange(len(X))
+    y = np.array([1] * 6 + [0] * 48 + [1] * 4)   # 10 minority rows, 38 synthetic
+    df = _frame(spark, X, ids, y)
+    lam = sorted(tuple(r) for r in knn(df, "id", "v", k=3, bucket_rows=8).collect())
+    syn_lam = sorted((r.row_key, tuple(r.vector)) for r in smote(df, "id", "v", "y", k=3, minority=1).collect())
+    monkeypatch.setattr(S, "UNROLL_MIN_POINTS", 0)
+    monkeypatch.setattr(S, "UNROLL_MIN_ROWS", 0)
+    assert sorted(tuple(r) for r in knn(df, "id", "v", k=3, bucket_rows=8).collect()) == lam
+    syn = sorted((r.row_key, tuple(r.vector)) for r in smote(df, "id", "v", "y", k=3, minority=1).collect())
+    assert len(syn) == 38 and syn == syn_lam
