@@ -56,8 +56,10 @@ def register(name: str, sql: str | None = None):
 def stable_round(c: Column) -> Column:
     """Snap to the magnitude band's grid (see ``oracle.rnd``)."""
     import math
-    band = F.least(F.lit(O.E_MAX), F.greatest(F.lit(O.E_MIN),
-                   F.floor(F.log10(F.abs(c) / F.lit(math.pi))).cast("int")))
+    # floor() is a bigint already; no narrowing cast, so no per-column
+    # overflow-check code (wide outputs stay within a 64 KB method)
+    band = F.least(F.lit(O.E_MAX).cast("bigint"), F.greatest(F.lit(O.E_MIN).cast("bigint"),
+                   F.floor(F.log10(F.abs(c) / F.lit(math.pi)))))
     pi = F.lit(math.pi)
     d = O.DIGITS
     step = F.when(band >= d, pi * F.pow(F.lit(10.0), band - d)) \
