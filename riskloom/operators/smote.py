@@ -17,7 +17,13 @@ increases distance, so |p(x) - p(y)| <= d(x, y).
    gathered per point.
 
 Every point closer than r(x) lies in the band, so the result is the
-exact k nearest neighbours (ties by id).
+exact k nearest neighbours (ties by id). Work per point is a few buckets
+plus its band. In data of high intrinsic dimension the band can cover
+most buckets: distance work then grows with the square of the class
+size, as for any exact method, but the shuffled rows stay at k per
+point and bucket. The bucket count is capped at 65 536 (the split list
+goes through the driver and into the plan), so beyond about 4M distinct
+vectors the buckets grow instead.
 
 Repeated vectors are folded first: the search runs over distinct vectors,
 each carrying its k+1 smallest ids (a row_number limit that Spark applies
@@ -26,11 +32,7 @@ other ids of its own vector at distance 0, followed by the k smallest ids
 of each of its vector's k nearest distinct vectors, sorted by (distance,
 id) inside the row. At most k distinct vectors can contribute to a
 point's k nearest ids, so this is exact; and one vector repeated on a
-third of the rows never fills a bucket with equal projections. Work per point is a few buckets
-plus its band. In data of high intrinsic dimension the band can cover
-most buckets: distance work then grows with the square of the class
-size, as for any exact method, but the shuffled rows stay at k per
-point and bucket.
+third of the rows never fills a bucket with equal projections.
 
 SMOTE
 -----
