@@ -232,7 +232,7 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5,
                            F.lit(minority).alias("label"), F.col("v").alias("vector")).limit(0)
     nn = knn(mins, "id", "v", k_eff, seed=seed + 7)
     base, extra = divmod(n_syn, m)
-    pos = global_position(mins, "id", seed=seed, name="pos")
+    pos = global_position(mins, "id", seed=seed, name="pos", n_rows=m)
     copies = (pos.withColumn("n_copies", F.lit(base) + (F.col("pos") < extra).cast("int"))
               .where(F.col("n_copies") > 0))
     if base + 1 > COPY_CHUNK:
