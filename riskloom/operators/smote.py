@@ -99,13 +99,8 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5, n_proj: int = 4, s
     checkpoint_dir(df.sparkSession)
     pts = df.select(qcol(id_col).alias("id"), qcol(vec_col).cast("array<double>").alias("v")) \
         .where(F.col("v").isNotNull() & F.col("id").isNotNull())
-    # distinct vectors with their k+1 smallest ids; a 64-bit hash leads the
-    # key so sorts and hash tables compare whole arrays only on a collision
     pts = pts.withColumn("h", F.xxhash64("v"))
-    first_ids = Window.partitionBy("h", "v").orderBy("id")
-    uniq = (pts.withColumn("_r", F.row_number().over(first_ids)).where(F.col("_r") <= k + 1)
-            .groupBy("h", "v").agg(F.min("id").alias("uid"), F.array_sort(F.collect_list("id")).alias("ids")))
-    uniq = uniq.checkpoint(eager=True)
+    uniq = distinct_vectors(pts, k + 1).checkpoint(eager=True)
     stats = uniq.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d"),
                      F.min(F.size("v")).alias("d0"), F.max(F.size("ids")).alias("m")).first()
     near = _knn_distinct(uniq.select(F.col("uid").alias("id"), "v"), k, n_proj, seed, bucket_rows,
@@ -127,6 +122,19 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5, n_proj: int = 4, s
         F.col("c.dist").alias("dist"))
 
 
+def distinct_vectors(pts: DataFrame, n_ids: int) -> DataFrame:
+    """(h, v, uid, ids): each distinct vector with its ``n_ids`` smallest ids.
+
+    ``pts`` has (id, v, h = hash of v); the hash leads the key so sorts and
+    hash tables compare whole arrays only on a collision. The row_number
+    limit is planned as a partial WindowGroupLimit before the shuffle, so a
+    vector repeated on many rows sends at most ``n_ids`` ids per map task.
+    """
+    first_ids = Window.partitionBy("h", "v").orderBy("id")
+    return (pts.withColumn("_r", F.row_number().over(first_ids)).where(F.col("_r") <= n_ids)
+            .groupBy("h", "v").agg(F.min("id").alias("uid"), F.array_sort(F.collect_list("id")).alias("ids")))
+
+
 def _knn_distinct(pts: DataFrame, k: int, n_proj: int, seed: int, bucket_rows: int | None,
                   n: int, dim: int, uniform: bool = False) -> DataFrame:
     """Filter-and-refine kNN over ``n`` (id, v) rows of dimension ``dim``

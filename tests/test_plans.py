@@ -54,3 +54,20 @@ def test_knn_pairs_reduced_before_shuffle(spark):
             assert not any("Exchange" in x for x in below[:j])
             seen += 1
     assert seen >= 2
+
+
+def test_knn_repeated_vector_limit_runs_before_shuffle(spark):
+    # a vector repeated on most rows must not reach one task whole: the
+    # k+1 smallest ids per vector are cut map-side before the exchange
+    from pyspark.sql import functions as F
+    from riskloom.operators.smote import distinct_vectors
+    pts = spark.createDataFrame([(i, [1.0, 2.0] if i % 3 else [float(i), 0.0]) for i in range(60)],
+                                "id bigint, v array<double>").withColumn("h", F.xxhash64("v"))
+    out = distinct_vectors(pts, 6)
+    plan = _plan(out, "simple")
+    lines = plan.splitlines()
+    partial = [i for i, l in enumerate(lines) if "WindowGroupLimit" in l and "Partial" in l]
+    exch = [i for i, l in enumerate(lines) if "Exchange hashpartitioning(h#" in l]
+    assert partial and exch and max(partial) > min(exch)   # listed below (= before) the exchange
+    rows = {r.uid: r.ids for r in out.collect()}
+    assert rows[1] == [1, 2, 4, 5, 7, 8]                     # the hot vector keeps its 6 smallest ids
