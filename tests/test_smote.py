@@ -90,3 +90,24 @@ def test_unrolled_distance_equals_lambda_form(spark, monkeypatch):
     assert sorted(tuple(r) for r in knn(df, "id", "v", k=3, bucket_rows=8).collect()) == lam
     syn = sorted((r.row_key, tuple(r.vector)) for r in smote(df, "id", "v", "y", k=3, minority=1).collect())
     assert len(syn) == 38 and syn == syn_lam
+
+
+def test_knn_matches_brute_force_on_random_repeats(spark):
+    # integer grid points drawn from a small pool: many repeated vectors and
+    # many exact distance ties, which the fold and the (dist, id) order must
+    # resolve exactly as brute force does
+    from hypothesis import given, settings, HealthCheck, strategies as st
+
+    @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.integers(0, 10_000), st.integers(8, 40), st.integers(1, 4))
+    def check(seed, n, k):
+        rng = np.random.default_rng(seed)
+        pool = rng.integers(-3, 4, size=(max(2, n // 4), 3)).astype(float)
+        X = pool[rng.integers(0, len(pool), size=n)]
+        ids = rng.permutation(np.arange(100, 100 + n))
+        got = {}
+        for r in knn(_frame(spark, X, ids), "id", "v", k=k, bucket_rows=4).orderBy("id", "rank").collect():
+            got.setdefault(r.id, []).append(r.nbr_id)
+        assert got == brute_knn(ids, X, k)
+
+    check()
