@@ -142,7 +142,10 @@ def _oversample(train: DataFrame, key: str, features, label: str, k: int, seed:
                      F.col("label").cast("int").alias("_y"), F.col("vector").alias("_v"))
     both = vec.unionByName(syn)
     if draw_back:
-        both = exact_sample(both, "_rk", train.count(), seed=42)
+        n = train.count()
+        # n_rows only sizes the hash buckets (positions are exact for any
+        # size); SMOTE at most doubles the rows, so no job recounts them
+        both = exact_sample(both, "_rk", n, seed=42, n_rows=2 * n)
     return both.select(F.col("_rk").alias(key), F.col("_y").cast("double").alias(label),
                        *[F.col("_v")[i].alias(c) for i, c in enumerate(features)])
 
