@@ -3,13 +3,15 @@ parameters, to its whole table and derives the contract's columns."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskloom.llm import exact_dedup, lm_score, near_dup, packing, token_count
-from riskloom.llm.common import fold_of, read_table
+from riskloom.llm import exact_dedup, lm_score, near_dup, packing, quality, token_count, toxicity
+from riskloom.llm.common import fold_of, read_table, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -17,7 +19,12 @@ ORACLE: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def keep(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -60,3 +67,20 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(read_table(spark, sf_dir, "documents"),
                                     public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
+@register("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return judged(toxicity.score(docs, toxicity.fit(docs, labels.where(fold_of() != 0))), 0.5)
+
+
+@register("op10_quality")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return judged(quality.score(docs, quality.fit(docs, labels.where(fold_of() != 0))), 0.3)
+
+
+def judged(scored: DataFrame, cut: float) -> DataFrame:
+    return scored.select("doc_id", (fold_of() == 0).alias("held_out"), "score",
+                         (F.col("score") >= cut).cast("int").alias("predicted"))
