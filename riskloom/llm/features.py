@@ -17,7 +17,7 @@ UPPER, LOWERCASE, DIGIT = byte_set(range(65, 91)), byte_set(range(97, 123)), byt
 HIGH = byte_set(range(128, 256))
 STOP = byte_set(b".,;:")
 CALL = byte_set(b"!?")
-MARK = byte_set(b"#$%&*@^~|<>=+_\\/{}[]")
+MARK = byte_set(b"#$%&*^~|<>\\{}[]")
 LETTER = UPPER | LOWERCASE | HIGH
 
 
@@ -81,7 +81,7 @@ def shape_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         share(per_document(MARK[data], offsets), chars), share(per_document(CALL[data], offsets), chars),
         share(per_document(STOP[data], offsets), chars),
         of_words((upper >= 2) & (upper >= 0.9 * letters)), of_words(marks > 0), of_words(calls > 0),
-        of_words(letters == 0), of_words((marks >= 3) & (letters > 0)), of_words(stops > 0),
+        of_words(letters + inside(DIGIT[data]) == 0), of_words((marks >= 3) & (letters > 0)), of_words(stops > 0),
         of_words(length > 25), of_words(same),
         share(np.log1p(kinds), np.log1p(words)), share(most, words),
         1 - share(line_kinds, lines), np.log1p(share(words, lines)),
@@ -89,7 +89,7 @@ def shape_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 SHAPE = ["log_words", "log_word_length", "upper", "digit", "mark", "call", "stop", "caps_words", "mark_words",
-         "call_words", "no_letter_words", "marked_words", "stop_words", "long_words", "repeats",
+         "call_words", "bare_words", "marked_words", "stop_words", "long_words", "repeats",
          "distinct", "top_word", "repeated_lines", "log_line_words"]
 
 
