@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import exact_dedup, lm_score, near_dup, packing, quality, token_count, toxicity
+from riskloom.llm import exact_dedup, lm_score, near_dup, packing, pii, quality, token_count, toxicity
 from riskloom.llm.common import fold_of, read_table, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def judged(scored: DataFrame, cut: float) -> DataFrame:
     return scored.select("doc_id", (fold_of() == 0).alias("held_out"), "score",
                          (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+@register("op2_pii")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = pii.detect(docs, pii.fit(docs))
+    of = lambda i: lambda s: s["kind"] == i
+    count = [F.size(F.filter("base", of(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return held.select("doc_id", *count, F.sha2(pii.listed("base"), 256).alias("base_sha256"),
+                       pii.listed("spans").alias("spans"))
