@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import exact_dedup, lm_score, near_dup, packing, pii, quality, token_count, toxicity
+from riskloom.llm import exact_dedup, fingerprint, lm_score, near_dup, packing, pii, quality, token_count, toxicity
 from riskloom.llm.common import fold_of, read_table, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = [F.size(F.filter("base", of(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
     return held.select("doc_id", *count, F.sha2(pii.listed("base"), 256).alias("base_sha256"),
                        pii.listed("spans").alias("spans"))
+
+
+@register("op9_fingerprint")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.fingerprints(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint",
+                        "edited_fingerprint", "near_edited", "near_next")
