@@ -162,9 +162,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write a small ``df`` as a table in the shared checkpoint folder and read it
-    back: unlike after ``checkpoint`` the planner then knows its size."""
+def materialized(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet in the shared checkpoint folder and read it back: unlike
+    after ``checkpoint`` the planner then knows its size."""
     import uuid
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
@@ -174,6 +174,10 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: for small tables that joins may broadcast once their size is known
+stored = materialized
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package once per context, as ``--py-files`` would, so
     Python workers can import it wherever the driver was started."""

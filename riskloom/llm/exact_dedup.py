@@ -156,14 +156,14 @@ def drop_copies(docs: DataFrame, shards: int | None = None) -> DataFrame:
                     .select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct())
     twice = stored(hashed.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
                    .count().where("count > 1").drop("count"))
-    named = docs.withColumn("_text_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    named = docs.withColumn("__text_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
 
     def pick(df, other, how):
         return df.join(other, df["doc_id"].eqNullSafe(other["_id"])
-                       & (df["_text_sha"] == other["_sha"]), how)
+                       & (df["__text_sha"] == other["_sha"]), how)
 
     rows = pick(named, losers, "left_anti")
     if not twice.isEmpty():
-        once = pick(rows, twice, "left_semi").dropDuplicates(["doc_id", "_text_sha"])
+        once = pick(rows, twice, "left_semi").dropDuplicates(["doc_id", "__text_sha"])
         rows = pick(rows, twice, "left_anti").unionByName(once)
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import exact_dedup, fingerprint, lm_score, near_dup, packing, pii, quality, token_count, toxicity
+from riskloom.llm import exact_dedup, fingerprint, lm_score, near_dup, packing, pii, quality, sp_nbest, token_count, toxicity
 from riskloom.llm.common import fold_of, read_table, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,9 +91,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held = pii.detect(docs, pii.fit(docs))
     of = lambda i: lambda s: s["kind"] == i
-    count = [F.size(F.filter("base", of(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
-    return held.select("doc_id", *count, F.sha2(pii.listed("base"), 256).alias("base_sha256"),
-                       pii.listed("spans").alias("spans"))
+    count = [F.size(F.filter(pii.BASE_SPANS, of(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return held.select("doc_id", *count, F.sha2(pii.listed(pii.BASE_SPANS), 256).alias("base_sha256"),
+                       pii.listed(pii.ALL_SPANS).alias("spans"))
 
 
 @register("op9_fingerprint")
@@ -101,3 +101,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprint.fingerprints(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint",
                         "edited_fingerprint", "near_edited", "near_next")
+
+
+@register("op3_sp_nbest")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_nbest.n_best(read_table(spark, sf_dir, "documents"),
+                           public_tokenizers.path("piece_bpe_32k.model"), n=4)
