@@ -177,6 +177,11 @@ def hexed(cells: Column) -> Column:
         digits(c["n"].cast("long"), 2), digits(c["d"], 16), digits(c["k"], 16))), ".")
 
 
+def constant(numbers: list[int]) -> Column:
+    """An array of whole numbers, folded into one literal."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<int>")
+
+
 def with_next(docs: DataFrame, columns: list[str], ranges: int | None = None) -> DataFrame:
     """``docs`` (doc_id, tie and ``columns``) with next_<column> of the document that
     follows in descending order of doc_id, the first one after the last."""
@@ -196,7 +201,7 @@ def with_next(docs: DataFrame, columns: list[str], ranges: int | None = None) ->
         seen += counts.get(i, 0)
     used = sorted({bucket_of[i] for i in counts})
     after = dict(zip(used, [*used[1:], *used[:1]]))
-    dealt = docs.withColumn("range", F.element_at(F.array(*map(F.lit, bucket_of)), cell + 1))
+    dealt = docs.withColumn("range", constant(bucket_of)[cell])
     # first row of each range: at most one id a range, so a bounded broadcast
     best = dealt.groupBy("range").agg(F.max(F.struct("doc_id", (-F.col("tie")).alias("tie"))).alias("top"))
     best = stored(best.select(F.col("range").alias("_range"), F.col("top.doc_id").alias("_id"),
@@ -204,7 +209,7 @@ def with_next(docs: DataFrame, columns: list[str], ranges: int | None = None) ->
     heads = dealt.join(F.broadcast(best), F.col("doc_id").eqNullSafe(F.col("_id"))
                        & (F.col("tie") == F.col("_tie")) & (F.col("range") == F.col("_range")))
     before = {v: k for k, v in after.items()}
-    back = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map()
+    back = constant([before.get(i, -1) for i in range(max(used, default=0) + 1)])
     heads = stored(heads.select(back[F.col("range")].alias("_before"),
                                 *[F.col(c).alias(f"head_{c}") for c in columns])
                    .dropDuplicates(["_before"]))
