@@ -1,25 +1,27 @@
 """Categorical encoding: domain discovery, one-hot flags, factorize codes.
 
 The one-hot output schema depends on the data (one column per value),
-so the category list must be known before the plan is built. One
-Spark job collects the domains of all categorical columns at once; it
-refuses columns with more than ``max_values`` distinct values instead
-of pulling an unbounded set to the driver. Callers that already know
-the categories pass ``categories=`` and no job runs.
+so the category list must be known before the plan is built. One Spark
+job collects the domains of all categorical columns at once; the caller
+states how many output columns a variable may have (``max_values``) and
+a wider one raises, or passes ``categories=`` and no job runs.
+
+Factorize has no such limit: its codes are a table (value, code), written
+once and joined back, so any number of values works and none of them
+passes through the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from riskloom.functions.exprs import qcol
-
-DEFAULT_MAX_VALUES = 1000
-
+from riskloom.session import checkpoint_dir
+from riskloom.sources.store import stored
 
 def string_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     """Columns the reference treats as categorical (pandas ``object``)."""
@@ -33,8 +35,7 @@ def _order_col(order_by) -> Column:
     return order_by if isinstance(order_by, Column) else qcol(order_by)
 
 
-def discover_domains(df: DataFrame, cols: Sequence[str],
-                     max_values: int = DEFAULT_MAX_VALUES,
+def discover_domains(df: DataFrame, cols: Sequence[str], max_values: int,
                      order_by: str | Column | None = None) -> dict[str, list[str]]:
     """Distinct non-null values per column, in one job.
 
@@ -74,7 +75,7 @@ def one_hot_exprs(col: str, values: Sequence[str], nan_as_category: bool) -> lis
 
 def one_hot(df: DataFrame, cols: Sequence[str] | None = None, nan_as_category: bool = True,
             categories: Mapping[str, Sequence[str]] | None = None,
-            max_values: int = DEFAULT_MAX_VALUES) -> tuple[DataFrame, list[str]]:
+            max_values: int | None = None) -> tuple[DataFrame, list[str]]:
     """Replace each categorical column with 0/1 flags ``col_value``.
 
     Values sorted; with ``nan_as_category`` an extra ``col_nan`` flag is
@@ -86,6 +87,8 @@ def one_hot(df: DataFrame, cols: Sequence[str] | None = None, nan_as_category: b
     doms = dict(categories or {})
     missing = [c for c in cols if c not in doms]
     if missing:
+        if max_values is None:
+            raise ValueError(f"pass categories= or max_values= for {missing}")
         doms.update(discover_domains(df, missing, max_values))
     flags, new = [], []
     for c in cols:
@@ -105,57 +108,82 @@ def factorize_expr(col: str, values: Sequence[str]) -> Column:
     return F.coalesce(F.try_element_at(m, qcol(col).cast("string")), F.lit(-1)).cast("bigint")
 
 
+def code_tables(df: DataFrame, cols: Sequence[str], order_by: str | Column | None = None) -> DataFrame:
+    """(k, v, code): the distinct non-missing values of each column, numbered from 0 by
+    first appearance (``order_by``) and value.
+
+    Values are dealt into ranges of that order; each range is numbered on its own and
+    shifted by the size of the ranges before it, so no task sees all values.
+    """
+    checkpoint_dir(df.sparkSession)
+    pairs = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("k"), qcol(c).cast("string").alias("v"), _order_col(order_by).alias("o"))
+        for c in cols])))
+    dom = pairs.where(F.col("v").isNotNull()).groupBy("k", "v").agg(F.min("o").alias("o"))
+    ranged = (dom.repartitionByRange("k", "o", "v").withColumn("r", F.spark_partition_id())
+              .checkpoint(eager=True))
+    before = Window.partitionBy("k").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    shift = (ranged.groupBy("k", "r").agg(F.count(F.lit(1)).alias("n"))
+             .select("k", "r", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift")))
+    inside = Window.partitionBy("k", "r").orderBy("o", "v")
+    return (ranged.join(shift, ["k", "r"])
+            .select("k", "v", (F.col("shift") + F.row_number().over(inside) - 1).cast("bigint").alias("code")))
+
+
 def factorize(df: DataFrame, cols: Sequence[str], order_by: str | Column | None = None,
-              categories: Mapping[str, Sequence[str]] | None = None,
-              max_values: int = DEFAULT_MAX_VALUES) -> DataFrame:
+              categories: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Replace each column with its integer code (pandas ``factorize``).
 
-    Codes follow first appearance by ``order_by`` (the reference's row
-    order), or sorted value order when it is None. Missing -> -1. The
-    code table is a literal map in the plan: no join, no shuffle.
+    Codes follow first appearance by ``order_by`` (the reference's row order), or
+    sorted value order when it is None. Missing -> -1. Columns in ``categories`` are
+    coded by a literal map; the others by a table written to the shared folder, whose
+    known size lets the planner broadcast it or not.
     """
     doms = dict(categories or {})
-    missing = [c for c in cols if c not in doms]
-    if missing:
-        doms.update(discover_domains(df, missing, max_values, order_by=order_by))
-    return df.withColumns({c: factorize_expr(c, doms[c]) for c in cols})
+    known = [c for c in cols if c in doms]
+    rest = [c for c in cols if c not in doms]
+    out = df.withColumns({c: factorize_expr(c, doms[c]) for c in known}) if known else df
+    if not rest:
+        return out
+    codes = stored(code_tables(df, rest, order_by))
+    for i, c in enumerate(rest):
+        mine = codes.where(F.col("k") == c).select(F.col("v").alias(f"_rl_v{i}"), F.col("code").alias(f"_rl_c{i}"))
+        out = out.join(mine, qcol(c).cast("string") == F.col(f"_rl_v{i}"), "left")
+    coded = {c: F.coalesce(F.col(f"_rl_c{i}"), F.lit(-1)).cast("bigint") for i, c in enumerate(rest)}
+    return out.withColumns(coded).select(*[qcol(c) for c in df.columns])
 
 
-def discover_domains_many(parts, max_values: int = DEFAULT_MAX_VALUES) -> dict[str, dict[str, list[str]]]:
+def discover_domains_many(parts, max_values: int) -> dict[str, dict[str, list[str]]]:
     """Domains of several tables in one Spark job.
 
-    ``parts`` is a list of ``(name, df, cols, order_by)``; ``order_by`` is
-    None (sorted values) or a numeric column or expression (first
-    appearance). Returns
-    ``{name: {col: values}}``. The tables' (column, value) pairs are
+    ``parts`` is a list of ``(name, df, cols)``. Returns ``{name: {col: values}}``
+    with sorted values. The tables' (column, value) pairs are
     de-duplicated by partial aggregation before one shuffle, so a plan
     that needs the categories of five tables scans each of them once
     instead of running five jobs.
     """
     frames = []
-    for i, (name, df, cols, order_by) in enumerate(parts):
+    for i, (name, df, cols) in enumerate(parts):
         if not cols:
             continue
-        o = _order_col(order_by).cast("bigint")
         frames.append(df.select(F.inline(F.array(*[
-            F.struct(F.lit(f"{i}\x1f{c}").alias("k"), qcol(c).cast("string").alias("v"), o.alias("o"))
-            for c in cols]))))
-    out: dict[str, dict[str, list]] = {name: {c: [] for c in cols} for name, _, cols, _ in parts}
+            F.struct(F.lit(f"{i}\x1f{c}").alias("k"), qcol(c).cast("string").alias("v")) for c in cols]))))
+    out: dict[str, dict[str, list]] = {name: {c: [] for c in cols} for name, _, cols in parts}
     if not frames:
         return out
     pairs = frames[0]
     for f in frames[1:]:
         pairs = pairs.unionByName(f)
-    dom = pairs.where(F.col("v").isNotNull()).groupBy("k", "v").agg(F.min("o").alias("o"))
+    dom = pairs.where(F.col("v").isNotNull()).distinct()
     cap = max_values * sum(len(p[2]) for p in parts)
     rows = dom.limit(cap + 1).collect()
     names = [p[0] for p in parts]
     for r in rows:
         idx, col = r["k"].split("\x1f", 1)
-        out[names[int(idx)]][col].append((r["o"], r["v"]))
+        out[names[int(idx)]][col].append(r["v"])
     for name, cols in out.items():
         for c, vs in cols.items():
             if len(vs) > max_values:
                 raise ValueError(f"{name}.{c} has more than {max_values} distinct values")
-            cols[c] = [v for _, v in sorted(vs)]
+            cols[c] = sorted(vs)
     return out

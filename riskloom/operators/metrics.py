@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.exprs import qcol
+from riskloom.session import checkpoint_dir
 
 
 def _by(by):
@@ -34,50 +35,47 @@ def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction"
     return df.groupBy(*_by(by)).agg(F.avg(hit).alias("accuracy"))
 
 
-def roc_auc(df: DataFrame, label: str = "label", score: str = "score", by=None,
-            n_buckets: int = 1000) -> DataFrame:
+def roc_auc(df: DataFrame, label: str = "label", score: str = "score", by=None) -> DataFrame:
     """Exact ROC AUC (ties count one half), distributed.
 
     AUC = sum over distinct scores s of pos(s) * (neg(< s) + neg(s) / 2),
     divided by P * N. ``neg(< s)`` needs a running total in score order;
     instead of one global window:
 
-    1. collapse to one row per distinct score (partial aggregate),
-    2. cut the scores into ranges at approximate quantiles of the
-       distinct scores, so ranges hold similar row counts even when the
-       scores crowd together,
-    3. running negatives over the range totals (at most ``n_buckets``
-       rows per group, joined back on the range), plus a running sum
-       within each range.
+    1. collapse to one row per (group, score) (partial aggregate),
+    2. deal these rows into ranges of (group, score), as many as there are
+       shuffle partitions, and write them once to the shared folder,
+    3. running negatives over the ranges of a group, joined back on the
+       range, plus a running sum within each range.
 
-    Rows with a missing score or label are left out. Returns one row
+    Rows with a missing score or label are left out; infinite scores are
+    scores like any other, and a NULL group is a group. Returns one row
     (per ``by`` group) with column ``auc``; NULL when a group has only
     one class.
     """
-    from pyspark.ml.feature import Bucketizer
-
+    checkpoint_dir(df.sparkSession)
     keys = _by(by)
     y = qcol(label).cast("int")
     src = df.where(qcol(score).isNotNull() & ~F.isnan(qcol(score).cast("double")) & qcol(label).isNotNull())
-    d = (src.groupBy(*keys, qcol(score).cast("double").alias("_s"))
+    # one struct of the group's columns: equal to itself also where a field is NULL
+    group = F.struct(*[qcol(k).alias(k) for k in keys], F.lit(0).alias("_all"))
+    d = (src.groupBy(group.alias("_g"), qcol(score).cast("double").alias("_s"))
          .agg(F.count_if(y == 1).alias("_pos"), F.count_if(y == 0).alias("_neg")))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    qs = d.approxQuantile("_s", probs, 1.0 / (4 * n_buckets)) if n_buckets > 1 else []
-    splits = sorted({q for q in qs if q is not None}) or [0.0]   # at least one inner split
-    splits = [float("-inf")] + splits + [float("inf")]
-    d = Bucketizer(splits=splits, inputCol="_s", outputCol="_b").transform(d)
-    totals = d.groupBy(*keys, "_b").agg(F.sum("_neg").alias("_bn"))
-    wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_b", F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_off"))
-    wi = Window.partitionBy(*keys, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.repartitionByRange("_g", "_s").withColumn("_b", F.spark_partition_id()).checkpoint(eager=True)
+    totals = d.groupBy("_g", "_b").agg(F.sum("_neg").alias("_bn"))
+    wb = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_g", "_b", F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_off"))
+    wi = Window.partitionBy("_g", "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     # joined on (group, range) like the window below partitions, so the
     # join adds no exchange; AQE broadcasts the offsets when small
-    below = (d.join(offsets, keys + ["_b"])
+    below = (d.join(offsets, ["_g", "_b"])
              .withColumn("_below", F.col("_off") + F.coalesce(F.sum("_neg").over(wi), F.lit(0))))
     num = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0))
     npos, nneg = F.sum("_pos"), F.sum("_neg")
-    return below.groupBy(*keys).agg(
-        F.when((npos > 0) & (nneg > 0), num / (npos.cast("double") * nneg)).alias("auc"))
+    auc = F.when((npos > 0) & (nneg > 0), num / (npos.cast("double") * nneg)).alias("auc")
+    if not keys:
+        return below.agg(auc)
+    return below.groupBy("_g").agg(auc).select(*[F.col(f"_g.`{k}`").alias(k) for k in keys], "auc")
 
 
 def model_compare(metrics: DataFrame, variants: Sequence[str] | None = None) -> DataFrame:

@@ -8,14 +8,15 @@ column. Parameter map from the reference's tuned values:
 reference              Spark ML
 =====================  ==========================================
 learning_rate 0.02     stepSize 0.02
-n_estimators 10000     maxIter, bounded (argument, default 100)
+n_estimators 10000     maxIter 10000 (pass fewer for a bounded run)
 max_depth 8,           maxDepth 5 (32 leaves; Spark grows level by
 num_leaves 34          level, not leaf by leaf)
 colsample_bytree       featureSubsetStrategy '0.9497036' (drawn per
                        node, not per tree)
 subsample              subsamplingRate 0.8715623
 min_split_gain         minInfoGain 0.0222415
-min_child_weight       no exact equivalent (weight fraction per node)
+min_child_weight       minWeightFractionPerNode: the weight as a share of
+                       the training rows (at most 0.49)
 reg_alpha, reg_lambda  no equivalent
 =====================  ==========================================
 
@@ -37,7 +38,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.exprs import qcol
+from riskloom.functions.exprs import conditional_value, qcol
 from riskloom.operators import prep as PR
 from riskloom.operators.assemble import union_by_name
 from riskloom.operators.sampling import exact_sample, kfold, stratified_kfold
@@ -49,6 +50,8 @@ REF_LEARNING_RATE = 0.02
 REF_COLSAMPLE = 0.9497036
 REF_SUBSAMPLE = 0.8715623
 REF_MIN_SPLIT_GAIN = 0.0222415
+REF_MIN_CHILD_WEIGHT = 39.3259775
+REF_TREES = 10000
 REF_FOLD_SEED = 1001
 REF_COST_FN = 10.0
 REF_COST_FP = 1.0
@@ -57,21 +60,25 @@ REF_COST_FP = 1.0
 @dataclass
 class GBTParams:
     step_size: float = REF_LEARNING_RATE
-    max_iter: int = 100
+    max_iter: int = REF_TREES
     max_depth: int = 5
     feature_subset: str = str(REF_COLSAMPLE)
     subsampling_rate: float = REF_SUBSAMPLE
     min_info_gain: float = REF_MIN_SPLIT_GAIN
+    min_child_weight: float = REF_MIN_CHILD_WEIGHT
     max_bins: int = 32
     seed: int = REF_FOLD_SEED
     validation_tol: float | None = None   # early stop on the validation fold when set
 
     def estimator(self, features_col="features", label_col="label", weight_col=None,
-                  validation_col=None) -> GBTClassifier:
+                  validation_col=None, n_rows: int | None = None) -> GBTClassifier:
+        """``n_rows``: training rows, for the least share of them in a node."""
         kw = dict(featuresCol=features_col, labelCol=label_col, stepSize=self.step_size,
                   maxIter=self.max_iter, maxDepth=self.max_depth,
                   featureSubsetStrategy=self.feature_subset, subsamplingRate=self.subsampling_rate,
-                  minInfoGain=self.min_info_gain, maxBins=self.max_bins, seed=self.seed,
+                  minInfoGain=self.min_info_gain,
+                  minWeightFractionPerNode=min(0.49, self.min_child_weight / n_rows) if n_rows else 0.0,
+                  maxBins=self.max_bins, seed=self.seed,
                   # the boosting state is checkpointed to the shared folder every
                   # 10 trees, so a lost executor never replays the whole ensemble
                   checkpointInterval=10)
@@ -103,32 +110,41 @@ def _importance_frame(spark, model, features, fold):
                                  "feature string, importance double, fold int")
 
 
+#: trees whose predictions are held as columns at a time
+TREE_BLOCK = 20
+
+
 def iteration_auc(model, assembled: DataFrame, label: str, every: int = 1) -> DataFrame:
     """AUC after each boosting iteration (M8, the reference's eval metric).
 
     The margin after i trees is the weighted sum of the first i trees'
     predictions (probability is a monotone function of it, so the AUC is
-    the same). Each tree adds one prediction column; the margins of all
-    iterations are stacked and one distributed AUC is computed grouped by
-    iteration. ``every`` keeps every n-th iteration only.
+    the same). Trees go in blocks: a block adds its predictions to the
+    running margin, one distributed AUC is computed grouped by iteration,
+    and the margin is written to the shared folder before the next block,
+    so the plan does not grow with the number of trees. ``every`` keeps
+    every n-th iteration (and the last).
     """
-    cur, cols = assembled.select(qcol(label), "features"), []
-    for i, tree in enumerate(model.trees):
-        t = tree.copy()
-        t.setPredictionCol(f"_tree{i}")
-        cur = t.transform(cur)
-        cols.append(f"_tree{i}")
-    weights = model.treeWeights
-    margins, acc = [], None
-    for i, c in enumerate(cols):
-        term = F.col(c) * F.lit(float(weights[i]))
-        acc = term if acc is None else acc + term
-        if (i + 1) % every == 0 or i + 1 == len(cols):
-            margins.append(F.struct(F.lit(i + 1).alias("iteration"), acc.alias("score")))
-    long = cur.select(qcol(label), F.explode(F.array(*margins)).alias("_m")) \
-        .select(qcol(label), "_m.iteration", "_m.score")
     from riskloom.operators.metrics import roc_auc
-    return roc_auc(long, label, "score", by="iteration")
+    checkpoint_dir(assembled.sparkSession)
+    margin = assembled.select(qcol(label), "features", F.lit(0.0).alias("_m"))
+    trees, weights, out = model.trees, model.treeWeights, []
+    for start in range(0, len(trees), TREE_BLOCK):
+        block = range(start, min(start + TREE_BLOCK, len(trees)))
+        cur, acc, margins = margin, F.col("_m"), []
+        for i in block:
+            t = trees[i].copy()
+            t.setPredictionCol(f"_tree{i}")
+            cur = t.transform(cur)
+            acc = acc + F.col(f"_tree{i}") * F.lit(float(weights[i]))
+            if (i + 1) % every == 0 or i + 1 == len(trees):
+                margins.append(F.struct(F.lit(i + 1).alias("iteration"), acc.alias("score")))
+        if margins:
+            long = cur.select(qcol(label), F.inline(F.array(*margins)))
+            out.append(roc_auc(long, label, "score", by="iteration"))
+        if block[-1] + 1 < len(trees):
+            margin = cur.select(qcol(label), "features", acc.alias("_m")).checkpoint(eager=True)
+    return union_by_name(out)
 
 
 def _oversample(train: DataFrame, key: str, features, label: str, k: int, seed: int,
@@ -192,7 +208,7 @@ def cv_train(df: DataFrame, key: str, features, label: str = "TARGET", k: int =
             train = _oversample(train, key, fs, label, smote_k, seed + fold, draw_back).checkpoint(eager=True)
         weight = None
         if variant == "weighted":
-            train = train.withColumn("_w", F.when(F.col(label) == 1, F.lit(pos_weight)).otherwise(F.lit(neg_weight)))
+            train = train.withColumn("_w", conditional_value(F.col(label) == 1, pos_weight, neg_weight))
             weight = "_w"
         fit_rows, val_col = train, None
         if params.validation_tol is not None:
@@ -202,7 +218,7 @@ def cv_train(df: DataFrame, key: str, features, label: str = "TARGET", k: int =
             if weight is not None:
                 vrows = vrows.withColumn(weight, F.lit(1.0))
             fit_rows = train.withColumn(val_col, F.lit(False)).unionByName(vrows.withColumn(val_col, F.lit(True)))
-        est = params.estimator(label_col=label, weight_col=weight, validation_col=val_col)
+        est = params.estimator(label_col=label, weight_col=weight, validation_col=val_col, n_rows=train.count())
         model = est.fit(_assemble(fit_rows, fs))
         scored = model.transform(_assemble(valid, fs))
         pred = scored.select(qcol(key), qcol(label), F.lit(fold).alias("fold"),

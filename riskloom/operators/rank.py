@@ -1,4 +1,4 @@
-"""Exact global positions without a single-partition window, and top-k.
+"""Exact global positions without a single-partition window.
 
 ``global_position`` numbers rows 0..n-1 in the order of a repeatable
 hash of a key and a seed (ties by key). A window with no partition
@@ -17,23 +17,18 @@ The result equals a global ``row_number() over (order by hash, key)``.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.exprs import portable_hash, qcol
 
 HASH_BITS = 32
-MAX_BUCKET_BITS = 20
 ROWS_PER_BUCKET = 2_000_000
 
 
 def bucket_bits_for(n_rows: int) -> int:
     """Bits so that a bucket holds about ``ROWS_PER_BUCKET`` rows."""
-    if n_rows <= ROWS_PER_BUCKET:
-        return 4
-    return min(MAX_BUCKET_BITS, max(4, math.ceil(math.log2(n_rows / ROWS_PER_BUCKET))))
+    return max(4, math.ceil(math.log2(max(n_rows, 1) / ROWS_PER_BUCKET)))
 
 
 def global_position(df: DataFrame, key: str, seed=0, by: str | None = None,
@@ -48,9 +43,13 @@ def global_position(df: DataFrame, key: str, seed=0, by: str | None = None,
     if bucket_bits is None:
         bucket_bits = bucket_bits_for(df.count() if n_rows is None else n_rows)
     h = hash_col if hash_col is not None else portable_hash(key, seed=seed)
-    part = [by] if by else []
+    # a struct compares equal to itself also where its field is NULL, so rows of a
+    # NULL group are numbered like any other
+    part = ["_rl_g"] if by else []
     d = (df.withColumn("_rl_h", h)
          .withColumn("_rl_b", F.shiftright(F.col("_rl_h"), HASH_BITS - bucket_bits)))
+    if by:
+        d = d.withColumn("_rl_g", F.struct(qcol(by).alias("g")))
     grp = part + ["_rl_b"]
     counts = d.groupBy(*grp).agg(F.count(F.lit(1)).alias("_rl_n"))
     w = Window.partitionBy(*part).orderBy("_rl_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -61,10 +60,4 @@ def global_position(df: DataFrame, key: str, seed=0, by: str | None = None,
     # broadcasts the offsets when they are measured small.
     out = (d.join(offsets, grp)
            .withColumn(name, (F.col("_rl_off") + F.row_number().over(wi) - 1).cast("bigint")))
-    return out.drop("_rl_h", "_rl_b", "_rl_off")
-
-
-def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
-    """First ``k`` rows by ``order`` (planned as TakeOrderedAndProject:
-    each task keeps k rows, so only k * tasks rows meet in one place)."""
-    return df.orderBy(*order).limit(k)
+    return out.drop("_rl_h", "_rl_b", "_rl_off", "_rl_g")

@@ -1,29 +1,23 @@
-"""Exact k-nearest neighbours and SMOTE oversampling, without all pairs.
-
-kNN (filter and refine)
------------------------
-Points are projected on a few random unit directions. Projection never
-increases distance, so |p(x) - p(y)| <= d(x, y).
-
-1. Cut the first projection into buckets at approximate quantiles
-   (about ``bucket_rows`` points each, whatever the density).
-2. Pass 1: each point meets the points of its own and the two adjacent
-   buckets; the k best give an upper bound r(x) on its k-th distance.
-3. Pass 2: only points whose first-pass window does not cover
-   [p(x) - r(x), p(x) + r(x)] look further: they meet the points of the
-   other buckets in that band that are within r(x) on every projection.
-4. In both passes candidate pairs are cut to the k best per (point,
-   bucket) inside the join task, so no pair list is ever shuffled or
-   gathered per point.
-
-Every point closer than r(x) lies in the band, so the result is the
-exact k nearest neighbours (ties by id). Work per point is a few buckets
-plus its band. In data of high intrinsic dimension the band can cover
-most buckets: distance work then grows with the square of the class
-size, as for any exact method, but the shuffled rows stay at k per
-point and bucket. The bucket count is capped at 65 536 (the split list
-goes through the driver and into the plan), so beyond about 4M distinct
-vectors the buckets grow instead.
+"""k-nearest neighbours (exact, or approximate by hashing) and SMOTE oversampling.
+
+kNN
+---
+``method`` is the caller's choice and never depends on the data's size:
+
+* ``'exact'`` compares every pair of distinct vectors: the work grows with
+  the square of their number. Use it for classes of up to some 100 000.
+* ``'lsh'`` compares only vectors that share a bucket in one of ``tables``
+  hash tables; a bucket is the signs of ``bits`` dot products with fixed
+  directions, which split the space around the origin. Neighbours are in
+  exact (distance, id) order among those candidates; a point may have
+  fewer than ``k``.
+
+Both walk the points of a bucket (one bucket holds all in exact mode) in
+tiles: points are dealt by a hash into blocks of about ``block_rows``, and
+a task compares one block with another, keeping the k best per point. So
+no task holds more than two blocks, however large a bucket is, and k rows
+per point and tile leave it; pairs are never rows. A vector is sent to as
+many tiles as its bucket has blocks.
 
 Repeated vectors are folded first: the search runs over distinct vectors,
 each carrying its k+1 smallest ids (a row_number limit that Spark applies
@@ -32,24 +26,24 @@ other ids of its own vector at distance 0, followed by the k smallest ids
 of each of its vector's k nearest distinct vectors, sorted by (distance,
 id) inside the row. At most k distinct vectors can contribute to a
 point's k nearest ids, so this is exact; and one vector repeated on a
-third of the rows never fills a bucket with equal projections.
+third of the rows is one point of the search.
 
 SMOTE
 -----
 Minority rows are raised to the majority count. Row i (in hash order)
 makes ``n_syn // m`` copies, plus one if i < ``n_syn % m``; copy c takes
-neighbour number ``hash(id, c) % k + 1`` and the point
+neighbour number ``hash(id, c) % n + 1`` of the row's n neighbours (k; in
+'lsh' mode those found, or the row itself if none) and the point
 ``x + u * (neighbour - x)`` with ``u = hash'(id, c) / 2**32``. Every
 choice is a hash of (id, copy, seed), so a rerun or a retried task
-gives the same rows.
+gives the same rows. Each row's neighbours are gathered next to it before
+its copies are made, so no synthetic row is ever shuffled.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-from pyspark.ml.feature import Bucketizer
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,55 +52,61 @@ from riskloom.operators.rank import global_position
 from riskloom.session import checkpoint_dir
 
 HASH_RANGE = 2 ** 32
-COPY_CHUNK = 100_000   # synthetic copies of one row generated in one task at most
+BLOCK_ROWS = 2048
+#: a parent's copies are made in at most this many pieces, dealt over the tasks
+PIECES = 16
+METHODS = ("exact", "lsh")
 
 
-# Widest vector whose pair distance is written out term by term. The
-# unrolled sum stays in whole-stage generated code; the lambda form
-# (zip_with / aggregate) is evaluated row by row, about 15x slower on
-# 64-wide vectors. Both add the terms in the same order, so the values
-# are identical. Only the per-pair distance is unrolled: projections run
-# once per point. Compiling the wide expression is a fixed cost (about
-# 1 s at 64 terms, 4 s at ~150), so it is done only when the work pays
-# for it: from UNROLL_MIN_POINTS distinct vectors (each meets a few
-# hundred candidates), or UNROLL_MIN_ROWS synthetic SMOTE rows.
-UNROLL_MAX = 1024
-UNROLL_MIN_POINTS = 10_000
-UNROLL_MIN_ROWS = 100_000
+def directions(tables: int, bits: int, dim: int, seed: int) -> np.ndarray:
+    """Fixed unit-free directions, the same wherever they are computed."""
+    return np.round(np.random.default_rng(seed).normal(size=(tables, bits, dim)), 6)
 
 
 def _dot(v, u):
-    """v . u for a direction ``u`` given as a list of floats (once per point)."""
+    """v . u, terms added in order, for a direction given as floats."""
     lits = F.array(*[F.lit(float(c)) for c in u])
     return F.aggregate(F.zip_with(v, lits, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def _dist(a, b, dim: int | None = None):
-    """Euclidean distance; ``dim`` set means every vector has that length."""
-    if dim is not None and dim <= UNROLL_MAX:
-        acc = F.lit(0.0)
-        for i in range(1, dim + 1):
-            t = F.try_element_at(a, F.lit(i)) - F.try_element_at(b, F.lit(i))
-            acc = acc + t * t
-        return F.sqrt(acc)
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)),
-                              F.lit(0.0), lambda acc, x: acc + x))
+def hash_buckets(pts: DataFrame, tables: int, bits: int, dim: int, seed: int) -> DataFrame:
+    """(id, v, t, bucket): each point once per table, with the signs of its dot products."""
+    dirs = directions(tables, bits, dim, seed)
+    codes = []
+    for t in range(tables):
+        code = F.lit(0)
+        for j in range(bits):
+            code = code + F.when(_dot(F.col("v"), dirs[t, j].tolist()) >= 0, F.lit(1 << j)).otherwise(F.lit(0))
+        codes.append(F.struct(F.lit(t).alias("t"), code.cast("int").alias("bucket")))
+    return pts.select("id", "v", F.inline(F.array(*codes)))
+
 
+def candidate_pairs(buckets: DataFrame) -> int:
+    """Ordered pairs that share a bucket, counted once per table."""
+    sizes = buckets.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("s"))
+    return sizes.agg(F.sum(F.col("s") * (F.col("s") - 1))).first()[0] or 0
 
-def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5, n_proj: int = 4, seed: int = 7,
-        bucket_rows: int | None = None) -> DataFrame:
-    """Exact k nearest neighbours within ``df``: (id, nbr_id, rank, dist)."""
+
+def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5, method: str = "exact", tables: int = 8,
+        bits: int = 8, seed: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """k nearest neighbours within ``df``: (id, nbr_id, rank, dist). All vectors have
+    the same length; rows with a missing id or vector are left out."""
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}")
     checkpoint_dir(df.sparkSession)
     pts = df.select(qcol(id_col).alias("id"), qcol(vec_col).cast("array<double>").alias("v")) \
         .where(F.col("v").isNotNull() & F.col("id").isNotNull())
     pts = pts.withColumn("h", F.xxhash64("v"))
     uniq = distinct_vectors(pts, k + 1).checkpoint(eager=True)
-    stats = uniq.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d"),
-                     F.min(F.size("v")).alias("d0"), F.max(F.size("ids")).alias("m")).first()
-    near = _knn_distinct(uniq.select(F.col("uid").alias("id"), "v"), k, n_proj, seed, bucket_rows,
-                         stats["n"], stats["d"], uniform=stats["d0"] == stats["d"])
-    if not stats["n"] or stats["m"] == 1:
-        return near   # no vector repeats: the distinct search already is the answer
+    stats = uniq.agg(F.max(F.size("v")).alias("d"), F.min(F.size("v")).alias("d0")).first()
+    if stats["d"] != stats["d0"]:
+        raise ValueError("vectors differ in length")
+    search = uniq.select(F.col("uid").alias("id"), "v")
+    if method == "lsh":
+        search = hash_buckets(search, tables, bits, stats["d"] or 0, seed)
+    else:
+        search = search.withColumn("t", F.lit(0)).withColumn("bucket", F.lit(0))
+    near = _tile_topk(search, k, block_rows)
     pair = lambda d, i: F.struct(d.alias("dist"), i.alias("nbr_id"))
     far = (near.join(uniq.select(F.col("uid").alias("nbr_id"), F.slice("ids", 1, k).alias("nids")), "nbr_id")
            .groupBy(F.col("id").alias("uid"))
@@ -135,139 +135,100 @@ def distinct_vectors(pts: DataFrame, n_ids: int) -> DataFrame:
             .groupBy("h", "v").agg(F.min("id").alias("uid"), F.array_sort(F.collect_list("id")).alias("ids")))
 
 
-def _knn_distinct(pts: DataFrame, k: int, n_proj: int, seed: int, bucket_rows: int | None,
-                  n: int, dim: int, uniform: bool = False) -> DataFrame:
-    """Filter-and-refine kNN over ``n`` (id, v) rows of dimension ``dim``
-    whose vectors are distinct (a checkpointed table: it is read by
-    several jobs). Returns the k best (id, nbr_id, rank, dist) per id."""
-    bucket_rows = bucket_rows or max(64, 8 * k)
-    if not n:
-        return pts.select("id", F.col("id").alias("nbr_id"), F.lit(0).alias("rank"),
-                          F.lit(0.0).alias("dist")).limit(0)
-    rng = np.random.default_rng(seed)
-    dirs = rng.normal(size=(n_proj, dim))
-    dirs /= np.linalg.norm(dirs, axis=1, keepdims=True)
-    fixed = dim if uniform and n >= UNROLL_MIN_POINTS else None
-    pts = pts.withColumns({f"p{j}": _dot(F.col("v"), dirs[j].tolist()) for j in range(n_proj)})
-    n_buckets = max(1, min(1 << 16, n // bucket_rows))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    qs = pts.approxQuantile("p0", probs, 1.0 / (4 * n_buckets)) if probs else []
-    inner = sorted(set(qs)) or [0.0]   # Bucketizer needs at least one inner split
-    splits = [-math.inf] + inner + [math.inf]
-    nb = len(splits) - 1
-    pts = Bucketizer(splits=splits, inputCol="p0", outputCol="bf").transform(pts) \
-        .withColumn("b", F.col("bf").cast("int")).drop("bf")
-    # the input is checkpointed by the caller; projections and bucket
-    # numbers are cheap expressions over it, recomputed by each pass
-    ys = pts.select(F.col("id").alias("nbr_id"), F.col("v").alias("nv"), F.col("b").alias("jb"),
-                    *[F.col(f"p{j}").alias(f"q{j}") for j in range(n_proj)])
-
-    # pass 1: own and adjacent buckets
-    xs = pts.withColumn("jb", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)))
-    top1 = _bucket_topk(xs, ys, F.lit(True), k, fixed)
+def _tile_topk(points: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """The k nearest (id, nbr_id, dist) of each point among those that share a bucket.
+    ``points`` is (id, v, t, bucket) with distinct vectors."""
+    id_type = dict(points.dtypes)["id"]
+    sizes = (points.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("s")).where("s > 1")
+             .select("t", "bucket", F.ceil(F.col("s") / block_rows).cast("int").alias("blocks")))
+    dealt = points.join(sizes, ["t", "bucket"]).withColumn(
+        "block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    left = dealt.select("t", "bucket", F.col("block").alias("i"), F.explode(every).alias("j"), "id", "v")
+    right = dealt.select(F.col("t").alias("t2"), F.col("bucket").alias("bucket2"), F.explode(every).alias("i2"),
+                         F.col("block").alias("j2"), F.col("id").alias("id2"), F.col("v").alias("v2"))
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"id": [], "nbr_id": [], "dist": []})
+        y = y.sort_values("id2", kind="stable")  # ties in distance go by id
+        a, b = np.stack(x["v"].to_list()), np.stack(y["v2"].to_list())
+        ids, others = x["id"].to_numpy(), y["id2"].to_numpy()
+        out_id, out_nbr, out_dist = [], [], []
+        step = max(1, (1 << 20) // len(b))
+        for at in range(0, len(a), step):
+            part = a[at:at + step]
+            total = np.zeros((len(part), len(b)))
+            for d in range(a.shape[1]):  # terms are added in order, as in SQL
+                gap = part[:, d, None] - b[None, :, d]
+                total += gap * gap
+            dist = np.sqrt(total)
+            dist[ids[at:at + step, None] == others[None, :]] = np.inf
+            order = np.argsort(dist, axis=1, kind="stable")[:, :k]
+            best = np.take_along_axis(dist, order, axis=1)
+            keep = np.isfinite(best)
+            out_id.append(np.repeat(ids[at:at + step], order.shape[1]).reshape(order.shape)[keep])
+            out_nbr.append(others[order][keep])
+            out_dist.append(best[keep])
+        return pd.DataFrame({"id": np.concatenate(out_id), "nbr_id": np.concatenate(out_nbr),
+                             "dist": np.concatenate(out_dist)})
+
+    best = left.groupBy("t", "bucket", "i", "j").cogroup(right.groupBy("t2", "bucket2", "i2", "j2")).applyInPandas(
+        compare, f"id {id_type}, nbr_id {id_type}, dist double").distinct()
     w = Window.partitionBy("id").orderBy("dist", "nbr_id")
-    top1 = top1.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-    # bound r(x) and the part of the band pass 1 did not cover
-    bound = top1.groupBy("id").agg(F.max("dist").alias("r"), F.count(F.lit(1)).alias("cnt"))
-    edges = F.array(*[F.lit(float(s)) for s in splits])
-    need = (pts.join(bound, "id", "left")
-            .withColumn("r", F.when(F.col("cnt") >= k, F.col("r")).otherwise(F.lit(math.inf)))
-            .withColumn("lo_edge", F.element_at(edges, F.greatest(F.col("b") - 1, F.lit(0)) + 1))
-            .withColumn("hi_edge", F.element_at(edges, F.least(F.col("b") + 2, F.lit(nb)) + 1))
-            .where((F.col("p0") - F.col("r") < F.col("lo_edge")) | (F.col("p0") + F.col("r") >= F.col("hi_edge")))
-            .withColumn("plo", F.col("p0") - F.col("r"))
-            .withColumn("phi", F.col("p0") + F.col("r")))
-    need = Bucketizer(splitsArray=[splits, splits], inputCols=["plo", "phi"],
-                      outputCols=["blo", "bhi"]).transform(need)
-    far = (need.withColumn("jb", F.explode(F.sequence(F.col("blo").cast("int"), F.col("bhi").cast("int"))))
-           .where((F.col("jb") < F.col("b") - 1) | (F.col("jb") > F.col("b") + 1)))
-    band = reduce_and([F.abs(F.col(f"p{j}") - F.col(f"q{j}")) <= F.col("r") for j in range(n_proj)])
-    top2 = _bucket_topk(far, ys, band, k, fixed)
-    cand = top1.select("id", "nbr_id", "dist").unionByName(top2)
-    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("id", "nbr_id", F.col("rank").cast("int").alias("rank"), "dist"))
-
-
-def _bucket_topk(xs: DataFrame, ys: DataFrame, cond, k: int, dim: int | None = None) -> DataFrame:
-    """For each (query point, bucket): the k nearest points of the bucket.
-
-    The join is shuffled on the bucket (no broadcast), and the top-k
-    window partitions by (point, bucket), which that partitioning already
-    satisfies: candidate pairs are cut inside the join task and never
-    shuffled; only k rows per point and bucket leave it. The window sorts
-    externally, so a bucket crowded with identical vectors spills instead
-    of being held in memory.
-    """
-    pairs = (xs.join(ys.hint("shuffle_hash"), "jb")
-             .where((F.col("nbr_id") != F.col("id")) & cond)
-             .select("id", "jb", "nbr_id", _dist(F.col("v"), F.col("nv"), dim).alias("dist")))
-    wb = Window.partitionBy("id", "jb").orderBy("dist", "nbr_id")
-    return (pairs.withColumn("_r", F.row_number().over(wb)).where(F.col("_r") <= k)
-            .select("id", "nbr_id", "dist"))
-
-
-def reduce_and(conds):
-    out = conds[0]
-    for c in conds[1:]:
-        out = out & c
-    return out
+    return best.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
 def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5, seed: int = 0,
-          minority=None, target_count: int | None = None) -> DataFrame:
+          minority=None, target_count: int | None = None, method: str = "exact", **knn_args) -> DataFrame:
     """Synthetic minority rows up to the majority count (``sampling_strategy='auto'``).
 
     Returns only the new rows: row_key, parent_id, copy, nbr_id, gap,
     label, vector (array<double>). Union them with the input for the
-    resampled table.
+    resampled table. Raises if the minority has no more than ``k`` rows.
+    Without ``minority`` the rarest label is found first (one aggregate
+    over labels, of which the rarest and the most frequent come back).
     """
-    per_label = df.groupBy(qcol(label_col)).agg(
-        F.count(F.lit(1)), F.max(F.size(qcol(vec_col))), F.min(F.size(qcol(vec_col)))).collect()
-    counts = {r[0]: r[1] for r in per_label}
-    sizes = {r[0]: (r[3], r[2]) for r in per_label}
+    y = qcol(label_col)
+    per_label = df.groupBy(y.alias("y")).agg(F.count(F.lit(1)).alias("n"))
     if minority is None:
-        minority = min(counts, key=lambda c: (counts[c], str(c)))
-    m = counts.get(minority, 0)
-    goal = target_count if target_count is not None else max(counts.values())
+        minority = per_label.orderBy("n", F.col("y").cast("string")).first()["y"]
+    totals = per_label.agg(F.max("n").alias("top"), F.sum(F.when(F.col("y") == F.lit(minority), F.col("n")))
+                           .alias("m")).first()
+    m = totals["m"] or 0
+    goal = target_count if target_count is not None else (totals["top"] or 0)
     n_syn = max(0, goal - m)
-    mins = df.where(qcol(label_col) == F.lit(minority)).select(
+    mins = df.where(y == F.lit(minority)).select(
         qcol(id_col).alias("id"), qcol(vec_col).cast("array<double>").alias("v"))
-    k_eff = min(k, m - 1)
-    if n_syn == 0 or k_eff < 1:
+    if n_syn == 0:
         return mins.select(F.lit("").alias("row_key"), F.col("id").alias("parent_id"),
                            F.lit(0).alias("copy"), F.col("id").alias("nbr_id"), F.lit(0.0).alias("gap"),
                            F.lit(minority).alias("label"), F.col("v").alias("vector")).limit(0)
-    nn = knn(mins, "id", "v", k_eff, seed=seed + 7)
+    if m <= k:
+        raise ValueError(f"the minority has {m} rows; {k} neighbours need more than {k}")
+    nn = knn(mins, "id", "v", k, method=method, seed=seed + 7, **knn_args)
+    vectors = mins.select(F.col("id").alias("nbr_id"), F.col("v").alias("nv"))
+    near = (nn.join(vectors, "nbr_id").groupBy("id")
+            .agg(F.array_sort(F.collect_list(F.struct("rank", "nbr_id", "nv"))).alias("near")))
     base, extra = divmod(n_syn, m)
-    pos = global_position(mins, "id", seed=seed, name="pos", n_rows=m)
-    copies = (pos.withColumn("n_copies", F.lit(base) + (F.col("pos") < extra).cast("int"))
-              .where(F.col("n_copies") > 0))
-    if base + 1 > COPY_CHUNK:
-        # extreme imbalance: one row makes many copies; cut them into chunks
-        # spread over tasks before generating them
-        copies = (copies.withColumn("chunk", F.explode(F.sequence(
-                      F.lit(0), F.floor((F.col("n_copies") - 1) / COPY_CHUNK).cast("int"))))
-                  .repartition("id", "chunk")
-                  .withColumn("copy", F.explode(F.sequence(
-                      F.col("chunk") * COPY_CHUNK + 1,
-                      F.least(F.col("n_copies"), (F.col("chunk") + 1) * COPY_CHUNK))))
-                  .drop("chunk"))
-    else:
-        copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
+    copies = (global_position(mins, "id", seed=seed, name="pos", n_rows=m)
+              .withColumn("n_copies", F.lit(base) + (F.col("pos") < extra).cast("int"))
+              .where(F.col("n_copies") > 0).join(near, "id", "left"))
+    itself = F.array(F.struct(F.lit(1).alias("rank"), F.col("id").alias("nbr_id"), F.col("v").alias("nv")))
+    copies = copies.withColumn("near", F.coalesce("near", itself))
+    # a parent's copies in pieces, so that few parents still fill many tasks; a piece
+    # holds the parent and its neighbours, and copies are made where it lands
+    pieces = min(PIECES, base + 1)
+    copies = (copies.withColumn("piece", F.explode(F.sequence(F.lit(1), F.lit(pieces))))
+              .repartition("id", "piece")
+              .where(F.col("piece") <= F.col("n_copies"))
+              .withColumn("copy", F.explode(F.sequence(F.col("piece"), F.col("n_copies"), F.lit(pieces)))))
     picks = (copies
-             .withColumn("rank", (portable_hash("id", "copy", seed=seed) % k_eff + 1).cast("int"))
-             .withColumn("gap", portable_hash("id", "copy", seed=seed + 1).cast("double") / float(HASH_RANGE)))
-    nbrs = mins.select(F.col("id").alias("nbr_id"), F.col("v").alias("nv"))
-    lo, hi = sizes.get(minority, (None, None))
-    if lo is not None and lo == hi and hi <= UNROLL_MAX and n_syn >= UNROLL_MIN_ROWS:
-        at = lambda c, i: F.try_element_at(F.col(c), F.lit(i))
-        vector = F.array(*[at("v", i) + F.col("gap") * (at("nv", i) - at("v", i)) for i in range(1, hi + 1)])
-    else:
-        vector = F.zip_with("v", "nv", lambda a, b: a + F.col("gap") * (b - a))
-    out = (picks.join(nn.select("id", "rank", "nbr_id"), ["id", "rank"])
-           .join(nbrs, "nbr_id")
-           .withColumn("vector", vector))
-    return out.select(F.concat_ws(":", F.col("id").cast("string"), F.col("copy").cast("string")).alias("row_key"),
-                      F.col("id").alias("parent_id"), F.col("copy").cast("int").alias("copy"), "nbr_id", "gap",
-                      F.lit(minority).alias("label"), "vector")
+             .withColumn("pick", (portable_hash("id", "copy", seed=seed) % F.size("near") + 1).cast("int"))
+             .withColumn("gap", portable_hash("id", "copy", seed=seed + 1).cast("double") / float(HASH_RANGE))
+             .withColumn("nbr", F.element_at("near", F.col("pick"))))
+    vector = F.zip_with("v", F.col("nbr.nv"), lambda a, b: a + F.col("gap") * (b - a))
+    return picks.select(F.concat_ws(":", F.col("id").cast("string"), F.col("copy").cast("string")).alias("row_key"),
+                        F.col("id").alias("parent_id"), F.col("copy").cast("int").alias("copy"),
+                        F.col("nbr.nbr_id").alias("nbr_id"), "gap", F.lit(minority).alias("label"),
+                        vector.alias("vector"))

@@ -106,10 +106,9 @@ CC_FUNCS = ["min", "max", "mean", "sum", "var"]
 SOURCE_COL = "_rl_source"
 
 
-def app_order_key(key: str = "SK_ID_CURR"):
-    """Numeric form of (source, key) for one-job domain discovery; keys
-    must stay below 2**40."""
-    return (F.col(SOURCE_COL).cast("bigint") * F.lit(1 << 40) + qcol(key)).cast("bigint")
+#: widest one-hot variable of these pipelines: more output columns raise (pass
+#: ``categories=`` for a wider one); the schema has a column per value
+MAX_ONE_HOT = 2000
 
 
 def _cap(df: DataFrame, num_rows: int | None) -> DataFrame:
@@ -139,7 +138,7 @@ def application_features(train: DataFrame, test: DataFrame | None = None, *,
     # rows, each by ``order_by``
     order = F.struct(F.col(SOURCE_COL), qcol(order_by)) if order_by else None
     df = factorize(df, list(factorize_cols), order_by=order, categories=categories).drop(SOURCE_COL)
-    df, _ = one_hot(df, None, nan_as_category, categories)
+    df, _ = one_hot(df, None, nan_as_category, categories, MAX_ONE_HOT)
     df = df.withColumns({c: sentinel_null(c, sentinel) for c in sentinel_cols})
     return df.withColumns({name: ieee_div(a, b) for name, (a, b) in ratios.items()})
 
@@ -165,9 +164,9 @@ def bureau_and_balance(bureau: DataFrame, bb: DataFrame, *, num_rows: int | None
     need_bb = [c for c in bb_cat if c not in doms]
     need_bu = [c for c in bu_cat if c not in doms]
     if need_bb:
-        doms.update(discover_domains(bb, need_bb))
+        doms.update(discover_domains(bb, need_bb, MAX_ONE_HOT))
     if need_bu:
-        doms.update(discover_domains(bureau, need_bu))
+        doms.update(discover_domains(bureau, need_bu, MAX_ONE_HOT))
 
     lvl1_exprs = compile_spec(bb.schema, bb_num_aggs)
     bb_share_names = []
@@ -209,7 +208,7 @@ def previous_applications(prev: DataFrame, *, num_rows: int | None = None,
     doms = dict(categories or {})
     need = [c for c in cats if c not in doms]
     if need:
-        doms.update(discover_domains(prev, need))
+        doms.update(discover_domains(prev, need, MAX_ONE_HOT))
     subs = [(p, qcol(status_col) == F.lit(v)) for p, v in subsets]
     return aggregate_spec(prev, curr_key, num_aggs, prefix, {c: doms[c] for c in cats},
                           nan_as_category, subs, max_exprs)
@@ -226,7 +225,7 @@ def pos_cash(pos: DataFrame, *, num_rows: int | None = None, nan_as_category: bo
     doms = dict(categories or {})
     need = [c for c in cats if c not in doms]
     if need:
-        doms.update(discover_domains(pos, need))
+        doms.update(discover_domains(pos, need, MAX_ONE_HOT))
     exprs = compile_spec(pos.schema, aggs, prefix)
     for c in cats:
         exprs += share_exprs(c, doms[c], prefix, nan_as_category)
@@ -259,7 +258,7 @@ def installments_payments(ins: DataFrame, *, num_rows: int | None = None,
     doms = dict(categories or {})
     need = [c for c in cats if c not in doms]
     if need:
-        doms.update(discover_domains(ins, need))
+        doms.update(discover_domains(ins, need, MAX_ONE_HOT))
     exprs = compile_spec(ins.schema, aggs, prefix)
     for c in cats:
         exprs += share_exprs(c, doms[c], prefix, nan_as_category)
@@ -276,7 +275,7 @@ def credit_card_balance(cc: DataFrame, *, num_rows: int | None = None,
     """One-hot, drop the loan id, then every function on every other
     column (flags included) per applicant, plus a row count."""
     cc = _cap(cc, num_rows)
-    cc, _ = one_hot(cc, None, nan_as_category, categories)
+    cc, _ = one_hot(cc, None, nan_as_category, categories, MAX_ONE_HOT)
     cc = cc.drop(*drop)
     spec = all_columns_spec(cc, curr_key, funcs)
     exprs = compile_spec(cc.schema, spec, prefix) + [F.count(F.lit(1)).alias(count_name)]

@@ -63,12 +63,36 @@ def compare(metric_rows: dict[str, dict]) -> DataFrame:
     return M.model_compare(union_by_name(rows), list(metric_rows))
 
 
+def best_fold(result: CVResult, label: str = "TARGET") -> int:
+    """The fold with the largest out-of-fold AUC (the first of equals)."""
+    per = M.roc_auc(result.predictions, label, "score", by="fold").where(F.col("auc").isNotNull())
+    return per.orderBy(F.desc("auc"), "fold").first()["fold"]
+
+
 def persist_run(spark, result: CVResult, metrics: dict, run_dir: str, run_id: str,
-                best: str = "last") -> None:
-    """S4 + S5: save one fold's model and preprocessing, append metrics."""
-    i = len(result.models) - 1 if best == "last" else int(best)
-    store.save_model(result.models[i], f"{run_dir}/model")
-    if result.preps[i] is not None:
-        store.save_prep(spark, result.preps[i], f"{run_dir}/preprocessing")
+                best: str = "auc", label: str = "TARGET", refit=None) -> None:
+    """S4 + S5: save a model with its preprocessing, append the metrics.
+
+    ``best``: 'auc' saves the fold with the best out-of-fold AUC, 'last' the last one (the
+    reference's choice), 'refit' what ``refit()`` returns: (model, preprocessing) fitted
+    on all rows (see ``fit_all``).
+    """
+    if best == "refit":
+        model, prep = refit()
+    else:
+        i = {"auc": lambda: best_fold(result, label), "last": lambda: len(result.models) - 1}[best]()
+        model, prep = result.models[i], result.preps[i]
+    store.save_model(model, f"{run_dir}/model")
+    if prep is not None:
+        store.save_prep(spark, prep, f"{run_dir}/preprocessing")
     vals = {"AUC": metrics["auc"].first()["auc"], "Accuracy": metrics["accuracy"].first()["accuracy"]}
     store.log_metrics(spark, f"{run_dir}/metrics", run_id, vals)
+
+
+def fit_all(df: DataFrame, features, label: str = "TARGET", params: GBTParams | None = None):
+    """(model, preprocessing) of one plain fit on every row."""
+    from pyspark.ml.feature import VectorAssembler
+    prep = PR.fit_prep(df, features)
+    rows = VectorAssembler(inputCols=prep.features, outputCol="features", handleInvalid="keep").transform(
+        PR.min_max_scale(df, prep, keep=[label])).checkpoint(eager=True)
+    return (params or GBTParams()).estimator(label_col=label, n_rows=rows.count()).fit(rows), prep

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.functions.exprs import portable_hash, portable_hash_sql
+from riskloom.functions.exprs import ieee_div, portable_hash, portable_hash_sql
 from riskloom.operators import metrics as M
 from riskloom.operators import prep as PR
 from riskloom.operators import sampling as S
@@ -137,6 +137,17 @@ def stratified_kfold(spark, sf):
     return S.stratified_kfold(t, "SK_ID_CURR", "TARGET", 5, seed=1001)
 
 
+NULL_LABEL_SQL = f"SELECT SK_ID_CURR, NULLIF(c_nationkey % 3, 2) AS y FROM ({D.APP_TRAIN_SQL}) t"
+
+
+@register("stratified_null_label", f"""SELECT SK_ID_CURR, CAST(y AS BIGINT) AS y,
+  CAST(({_pos_sql('t', 'SK_ID_CURR', 1001, 'y')}) % 5 AS INTEGER) AS fold FROM ({NULL_LABEL_SQL}) t""")
+def stratified_null_label(spark, sf):
+    """Rows whose label is missing are a class of their own: none is lost."""
+    t = D.app_train(spark, sf).select("SK_ID_CURR", F.nullif(F.col("c_nationkey") % 3, F.lit(2)).alias("y"))
+    return S.stratified_kfold(t, "SK_ID_CURR", "y", 5, seed=1001)
+
+
 # -- metrics on fixed scores ------------------------------------------------------------
 
 LABEL_SQL = "CAST(l_returnflag = 'R' AS INTEGER)"
@@ -196,6 +207,21 @@ def roc_auc(spark, sf):
     return finalize(M.roc_auc(_scored(spark, sf), "label", "score_discount", by="l_linestatus"))
 
 
+INF_SQL = f"""SELECT NULLIF(l_linestatus, 'O') AS l_linestatus, {LABEL_SQL} AS label,
+  {O.ieee_div_sql('l_discount - 0.05', 'l_tax')} AS score FROM lineitem"""
+
+
+@register("roc_auc_null_group", O.final_select(
+    _auc_sql("score", "l_linestatus", f"(SELECT * FROM ({INF_SQL}) i0 WHERE score IS NOT NULL) i"),
+    [("l_linestatus", "string"), ("auc", "double")]))
+def roc_auc_null_group(spark, sf):
+    """AUC of scores with infinities (x / 0), by a group that is missing for some rows."""
+    li = D.read(spark, sf, "lineitem").select(
+        F.nullif("l_linestatus", F.lit("O")).alias("l_linestatus"), (F.col("l_returnflag") == "R").cast("int").alias("label"),
+        ieee_div(F.col("l_discount") - 0.05, F.col("l_tax")).alias("score"))
+    return finalize(M.roc_auc(li, "label", "score", by="l_linestatus"))
+
+
 def _compare_sql():
     parts = []
     for name in SCORES:

@@ -132,7 +132,7 @@ cc AS (SELECT SK_ID_CURR, DAYS_EVENT, value, {flags} FROM ev)
 def app_sql():
     sql = f"""WITH u AS (SELECT *, 0 AS src FROM ({D.APP_TRAIN_SQL}) a UNION ALL SELECT *, 1 AS src FROM ({D.APP_TEST_SQL}) b),
 f AS (SELECT * FROM u WHERE c_mktsegment IS DISTINCT FROM 'XNA'),
-first_seen AS (SELECT c_mktsegment AS v, MIN(src * 1099511627776 + SK_ID_CURR) AS o FROM f
+first_seen AS (SELECT c_mktsegment AS v, MIN((src, SK_ID_CURR)) AS o FROM f
                WHERE c_mktsegment IS NOT NULL GROUP BY c_mktsegment),
 codes AS (SELECT v, row_number() OVER (ORDER BY o) - 1 AS code FROM first_seen)
 SELECT f.SK_ID_CURR, COALESCE(codes.code, -1) AS c_mktsegment, f.c_nationkey, f.c_acctbal, f.TARGET,
@@ -197,19 +197,17 @@ def _feature_table_sql():
 
 def feature_table(spark, sf):
     """C7 on the driver tables. The categories of every source come from
-    one job (orders and events serve two roles each but are scanned once)."""
-    from riskloom.operators.assemble import union_by_name
+    one job (orders and events serve two roles each but are scanned once);
+    the applicants' codes from a code table."""
     from riskloom.operators.encode import discover_domains_many
     train, test = D.app_train(spark, sf), D.app_test(spark, sf)
     bu, bb, ev = D.bureau(spark, sf), D.bureau_balance(spark, sf), D.events_history(spark, sf)
-    both = union_by_name([train.withColumn(C.SOURCE_COL, F.lit(0)), test.withColumn(C.SOURCE_COL, F.lit(1))])
     doms = discover_domains_many([
-        ("app", both, ["c_mktsegment"], C.app_order_key("SK_ID_CURR")),
-        ("bureau", bu, ["o_orderstatus", "o_orderpriority"], None),
-        ("bb", bb, ["l_returnflag", "l_linestatus"], None),
-        ("events", ev, ["event_type"], None),
-    ])
-    app = C.application_features(train, test, categories=doms["app"], **D.APP_SPEC)
+        ("bureau", bu, ["o_orderstatus", "o_orderpriority"]),
+        ("bb", bb, ["l_returnflag", "l_linestatus"]),
+        ("events", ev, ["event_type"]),
+    ], C.MAX_ONE_HOT)
+    app = C.application_features(train, test, **D.APP_SPEC)
     parts = [
         C.bureau_and_balance(bu, bb, categories={**doms["bureau"], **doms["bb"]}, **D.BUREAU_SPEC),
         C.previous_applications(D.previous(spark, sf), categories=doms["bureau"], **D.PREV_SPEC),
@@ -257,7 +255,7 @@ def category_share(spark, sf):
     from riskloom.operators.aggspec import aggregate, share_exprs
     from riskloom.operators.encode import discover_domains
     b = D.bureau(spark, sf)
-    doms = discover_domains(b, ["o_orderstatus", "o_orderpriority"])
+    doms = discover_domains(b, ["o_orderstatus", "o_orderpriority"], C.MAX_ONE_HOT)
     exprs = [e for c in ("o_orderstatus", "o_orderpriority") for e in share_exprs(c, doms[c], "BURO_")]
     return finalize(aggregate(b, "SK_ID_CURR", exprs))
 

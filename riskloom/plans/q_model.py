@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskloom.functions.exprs import portable_hash_sql
 from riskloom.operators import metrics as M
 from riskloom.operators.model import GBTParams, cv_train
 from riskloom.plans import driver as D
@@ -17,9 +18,11 @@ from riskloom.plans.q_features import feature_table
 from riskloom.sources import csv as CSV
 from riskloom.sources import store
 
-# Model queries keep the tree count small: they check the plumbing on
-# every round; a real run passes its own GBTParams.
-QUERY_PARAMS = GBTParams(max_iter=20)
+# Bounded runs: the model queries grow 20 trees (the check queries 3) of the default
+# 10000, so that a round's check ends; a real run passes its own GBTParams. The least
+# node weight is left out, since it is larger than a whole fold of the test tables.
+QUERY_PARAMS = GBTParams(max_iter=20, min_child_weight=0.0)
+CHECK_PARAMS = GBTParams(max_iter=3, max_depth=3, min_child_weight=0.0, min_info_gain=0.0)
 # Columns the driver label is computed from (excluded as features).
 LEAK = ["c_acctbal", "ACCTBAL_PER_NATION"]
 
@@ -30,9 +33,9 @@ def _matrix(spark, sf):
     return df, feats
 
 
-def _cv(spark, sf, variant):
+def _cv(spark, sf, variant, params=QUERY_PARAMS, **kw):
     df, feats = _matrix(spark, sf)
-    return cv_train(df, "SK_ID_CURR", feats, "TARGET", variant=variant, params=QUERY_PARAMS, parallelism=5)
+    return cv_train(df, "SK_ID_CURR", feats, "TARGET", variant=variant, params=params, parallelism=5, **kw)
 
 
 @register("gbt_cv")
@@ -89,7 +92,7 @@ def model_roundtrip(spark, sf):
     pm = fit_prep(df, feats)
     x = VectorAssembler(inputCols=pm.features, outputCol="features", handleInvalid="keep").transform(
         min_max_scale(df, pm, keep=["SK_ID_CURR", "TARGET"]))
-    model = QUERY_PARAMS.estimator(label_col="TARGET").fit(x)
+    model = QUERY_PARAMS.estimator(label_col="TARGET", n_rows=x.count()).fit(x)
     path = store.scratch_path(spark, "model")
     store.save_model(model, path + "/model")
     store.save_prep(spark, pm, path + "/prep")
@@ -101,17 +104,88 @@ def model_roundtrip(spark, sf):
     return a.join(b, "SK_ID_CURR")
 
 
-@register("csv_roundtrip", O.final_select(
-    D.BUREAU_SQL, [("SK_ID_BUREAU", "bigint"), ("SK_ID_CURR", "bigint"), ("o_orderstatus", "string"),
-                   ("o_orderpriority", "string"), ("o_totalprice", "double"), ("DAYS_ORDER", "bigint")]))
+# -- facts about the models that SQL can state (bounded runs of 3 trees) -----------------
+
+FOLD_SQL = f"""SELECT SK_ID_CURR, TARGET, CAST((row_number() OVER (ORDER BY
+  {portable_hash_sql('SK_ID_CURR', seed=1001)}, SK_ID_CURR) - 1) % 5 AS INTEGER) AS fold FROM ({D.APP_TRAIN_SQL}) t"""
+
+
+def _oof(res):
+    """Out-of-fold rows: every labelled key once, in its fold, with a usable score."""
+    return res.predictions.select(
+        "SK_ID_CURR", "TARGET", "fold", F.col("score").between(0, 1).alias("in_range"),
+        (F.col("prediction") == (F.col("score") > 0.5).cast("double")).alias("consistent"))
+
+
+for _variant in ("plain", "weighted", "smote"):
+    def _check(spark, sf, variant=_variant):
+        return _oof(_cv(spark, sf, variant, CHECK_PARAMS))
+
+    register(f"gbt_{_variant}_check", f"SELECT *, TRUE AS in_range, TRUE AS consistent FROM ({FOLD_SQL}) f")(_check)
+
+
+@register("importance_check", """SELECT CAST(i AS INTEGER) AS fold, TRUE AS sums_to_one, TRUE AS none_negative,
+  0 AS missing FROM generate_series(0, 4) g(i)""")
+def importance_check(spark, sf):
+    """Per fold: importances cover all features, are not negative and sum to one (M5)."""
+    df, feats = _matrix(spark, sf)
+    res = cv_train(df, "SK_ID_CURR", feats, "TARGET", params=CHECK_PARAMS, parallelism=5)
+    total, n = F.sum("importance"), F.count_distinct("feature")
+    return res.importances.groupBy("fold").agg(
+        (F.abs(total - 1) < 1e-6).alias("sums_to_one"), (F.min("importance") >= 0).alias("none_negative"),
+        (F.lit(len(feats)) - n).cast("int").alias("missing"))
+
+
+@register("history_check", """SELECT CAST(f AS INTEGER) AS fold, split, CAST(i AS INTEGER) AS iteration, TRUE AS finite
+FROM generate_series(0, 4) a(f), (VALUES ('train'), ('valid')) s(split), generate_series(1, 3) b(i)""")
+def history_check(spark, sf):
+    """Loss and AUC of every iteration, split and fold (M8)."""
+    h = _cv(spark, sf, "plain", CHECK_PARAMS, history=True).history
+    return h.select("fold", "split", "iteration", ((F.abs("loss") < float("inf")) & F.col("auc").between(0, 1))
+                    .alias("finite"))
+
+
+@register("model_roundtrip_check", f"SELECT SK_ID_CURR, TRUE AS equal FROM ({D.APP_TRAIN_SQL}) t")
+def model_roundtrip_check(spark, sf):
+    """A saved and loaded model scores every row as the fitted one does."""
+    return model_roundtrip(spark, sf).select("SK_ID_CURR", (F.col("score") == F.col("score_loaded")).alias("equal"))
+
+
+@register("gbt_auc_check", "SELECT CAST(i AS INTEGER) AS fold, TRUE AS equal FROM generate_series(-1, 4) g(i)")
+def gbt_auc_check(spark, sf):
+    """Our AUC of the model scores, per fold and in total, is Spark's own."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    p = _cv(spark, sf, "plain", CHECK_PARAMS).predictions.checkpoint(eager=True)
+    judge = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="TARGET", numBins=0)
+    own = [(-1, judge.evaluate(p)), *((f, judge.evaluate(p.where(F.col("fold") == f))) for f in range(5))]
+    ours = M.roc_auc(p, "TARGET", "score", by="fold").unionByName(
+        M.roc_auc(p, "TARGET", "score").select(F.lit(-1).alias("fold"), "auc"))
+    theirs = spark.createDataFrame([(f, float(a)) for f, a in own], "fold int, other double")
+    return ours.join(theirs, "fold").select("fold", (F.abs(F.col("auc") - F.col("other")) < 1e-9).alias("equal"))
+
+
+@register("debug_cap", "SELECT 8 AS n_tables, TRUE AS capped")
+def debug_cap(spark, sf):
+    """The debug row cap (S2) on every table: the applicant CSV and the seven others."""
+    path = store.scratch_path(spark, "cap")
+    names = ["customer", "orders", "lineitem", "events", "part", "supplier", "nation", "region"]
+    caps = []
+    for n in names:
+        CSV.write_csv(D.read(spark, sf, n), f"{path}/{n}")
+        back = CSV.read_csv(spark, f"{path}/{n}", num_rows=4)
+        caps.append(back.agg(F.count(F.lit(1)).alias("n")))
+    from riskloom.operators.assemble import union_by_name
+    return union_by_name(caps).agg(F.count(F.lit(1)).cast("int").alias("n_tables"), (F.max("n") <= 4).alias("capped"))
+
+
+@register("csv_roundtrip", "SELECT doc_id, CASE WHEN text IN ('', 'NA') THEN NULL ELSE text END AS text, n_chars FROM documents")
 def csv_roundtrip(spark, sf):
-    """Write the loan view as CSV (missing written as 'NA'), scan it back
-    with a schema: 'NA' and the other null tokens come back as NULL."""
-    b = D.bureau(spark, sf)
+    """Texts with quotes, commas and line breaks through the CSV sink and source, then a
+    missing cell as 'NA' (S1, S3)."""
+    docs = D.read(spark, sf, "documents").select("doc_id", "text", "n_chars")
     path = store.scratch_path(spark, "csv")
-    b.write.mode("overwrite").option("header", True).option("nullValue", "NA").csv(path)
-    back = CSV.read_csv(spark, path, b.schema)
-    return finalize(back)
+    CSV.write_csv(docs, path, null_value="NA")
+    return CSV.read_csv(spark, path, docs.schema, multi_line=True)
 
 
 @register("csv_scan", O.final_select(
@@ -119,13 +193,13 @@ def csv_roundtrip(spark, sf):
     [("SK_ID_CURR", "bigint"), ("c_mktsegment", "string"), ("c_nationkey", "bigint"), ("c_acctbal", "double"),
      ("TARGET", "double")]))
 def csv_scan(spark, sf):
-    """CSV sink then scan of the applicant table (train and test written
-    separately, read back and unioned; 'nan' cells become NULL)."""
+    """CSV sink then scan of the applicant table (train and test written separately, read
+    back and unioned): types are found in the train part, 'nan' cells are missing."""
     path = store.scratch_path(spark, "app")
-    D.app_train(spark, sf).write.mode("overwrite").option("header", True).csv(path + "/train")
+    CSV.write_csv(D.app_train(spark, sf), path + "/train")
     test = D.app_test(spark, sf)
-    test.write.mode("overwrite").option("header", True).option("nullValue", "nan").csv(path + "/test")
-    tr = CSV.read_csv(spark, path + "/train", D.app_train(spark, sf).schema)
+    CSV.write_csv(test, path + "/test", null_value="nan")
+    tr = CSV.read_csv(spark, path + "/train")
     te = CSV.read_csv(spark, path + "/test", test.schema)
     from riskloom.operators.assemble import union_by_name
     return finalize(union_by_name([tr, te]))

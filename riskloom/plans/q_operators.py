@@ -13,6 +13,7 @@ from riskloom.operators.aggspec import aggregate, compile_spec
 from riskloom.operators.encode import factorize, one_hot
 from riskloom.plans import credit as C
 from riskloom.plans import driver as D
+from riskloom.plans.credit import MAX_ONE_HOT
 from riskloom.plans import oracle as O
 from riskloom.plans.catalog import finalize, register
 from riskloom.plans.q_features import cc_features, pos_features
@@ -136,7 +137,7 @@ def one_hot_q(spark, sf):
     name column is left out, as a categorical list would)."""
     p = D.read(spark, sf, "part").select("p_partkey", F.col("p_size").cast("bigint").alias("p_size"),
                                          "p_retailprice", "p_brand", "p_type")
-    df, _ = one_hot(p, None, nan_as_category=False)
+    df, _ = one_hot(p, None, nan_as_category=False, max_values=MAX_ONE_HOT)
     return finalize(df)
 
 
@@ -155,7 +156,7 @@ def _one_hot_nan_sql(sanitized=False):
 def one_hot_nan(spark, sf):
     """One-hot with the extra ``_nan`` flag for missing values."""
     b = D.bureau(spark, sf).select("SK_ID_BUREAU", "SK_ID_CURR", "o_orderpriority")
-    df, _ = one_hot(b, ["o_orderpriority"], nan_as_category=True)
+    df, _ = one_hot(b, ["o_orderpriority"], nan_as_category=True, max_values=MAX_ONE_HOT)
     return df
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.functions.exprs import portable_hash_sql
-from riskloom.operators.smote import knn, smote
+from riskloom.operators.smote import directions, knn, smote
 from riskloom.plans import driver as D
 from riskloom.plans import oracle as O
 from riskloom.plans.catalog import finalize, register
@@ -38,7 +38,37 @@ def knn_minority(spark, sf):
     return finalize(knn(e, "vec_id", "embedding", K))
 
 
-def _smote_sql():
+# Hash tables of the approximate mode: 8 tables of 6 signs each. Their recall
+# against the exact mode is measured in the tests.
+TABLES, BITS, LSH_SEED, DIM = 8, 6, SEED + 7, 64
+
+
+def _lsh_sql(source: str) -> str:
+    """(id, nbr_id, rank, dist): the k nearest among the vectors that share a bucket."""
+    dirs = directions(TABLES, BITS, DIM, LSH_SEED)
+    dot = lambda u: ("list_reduce(list_transform(generate_series(1, len(v)), lambda i: v[i] * "
+                     f"([{', '.join(repr(float(c)) for c in u)}])[i]), lambda x, y: x + y)")
+    code = lambda t: " + ".join(
+        f"CASE WHEN {dot(dirs[t, j])} >= 0 THEN {1 << j} ELSE 0 END" for j in range(BITS))
+    hashed = " UNION ALL ".join(f"SELECT vec_id, {t} AS t, {code(t)} AS bucket FROM src" for t in range(TABLES))
+    return f"""WITH src AS ({source}), hashed AS ({hashed}),
+cand AS (SELECT DISTINCT a.vec_id AS id, b.vec_id AS nbr_id FROM hashed a JOIN hashed b
+         ON a.t = b.t AND a.bucket = b.bucket AND a.vec_id <> b.vec_id),
+pairs AS (SELECT id, nbr_id, {_dist_sql('x.v', 'z.v')} AS dist FROM cand
+          JOIN src x ON x.vec_id = id JOIN src z ON z.vec_id = nbr_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nbr_id) AS rank FROM pairs)
+SELECT id, nbr_id, CAST(rank AS INTEGER) AS rank, dist FROM ranked WHERE rank <= {K}"""
+
+
+@register("knn_lsh", O.final_select(_lsh_sql("SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"),
+                                    [("id", "bigint"), ("nbr_id", "bigint"), ("rank", "int"), ("dist", "double")]))
+def knn_lsh(spark, sf):
+    """Approximate 5 nearest neighbours among all vectors (caller-chosen hash tables)."""
+    e = D.read(spark, sf, "embeddings")
+    return finalize(knn(e, "vec_id", "embedding", K, method="lsh", tables=TABLES, bits=BITS, seed=LSH_SEED))
+
+
+def _smote_sql(lsh: bool = False):
     h_pos = portable_hash_sql("vec_id", seed=SEED)
     h_nbr = portable_hash_sql("vec_id", "copy", seed=SEED)
     h_gap = portable_hash_sql("vec_id", "copy", seed=SEED + 1)
@@ -47,11 +77,14 @@ counts AS (SELECT COUNT(*) FILTER (WHERE label = {MINORITY}) AS mi,
                   COUNT(*) FILTER (WHERE label <> {MINORITY}) AS ma FROM embeddings),
 p AS (SELECT m.*, row_number() OVER (ORDER BY {h_pos}, vec_id) - 1 AS pos FROM m),
 c AS (SELECT p.*, (counts.ma - counts.mi) // counts.mi + CAST(pos < (counts.ma - counts.mi) % counts.mi AS INTEGER)
-        AS n_copies, LEAST({K}, counts.mi - 1) AS k_eff FROM p, counts),
-cp AS (SELECT vec_id, v, k_eff, UNNEST(generate_series(1, n_copies)) AS copy FROM c WHERE n_copies > 0),
-pk AS (SELECT vec_id, v, copy, CAST({h_nbr} % k_eff + 1 AS INTEGER) AS rank,
-              CAST({h_gap} AS DOUBLE) / {2 ** 32}.0 AS gap FROM cp),
-nn AS ({KNN_SQL}),
+        AS n_copies FROM p, counts),
+cp AS (SELECT vec_id, v, UNNEST(generate_series(1, n_copies)) AS copy FROM c WHERE n_copies > 0),
+near AS ({_lsh_sql(MIN_SQL) if lsh else KNN_SQL}),
+found AS (SELECT id, COUNT(*) AS n FROM near GROUP BY id),
+nn AS (SELECT id, nbr_id, rank FROM near UNION ALL
+       SELECT vec_id, vec_id, 1 FROM m WHERE vec_id NOT IN (SELECT id FROM near)),
+pk AS (SELECT vec_id, v, copy, CAST({h_nbr} % COALESCE(n, 1) + 1 AS INTEGER) AS rank,
+              CAST({h_gap} AS DOUBLE) / {2 ** 32}.0 AS gap FROM cp LEFT JOIN found ON found.id = cp.vec_id),
 syn AS (SELECT pk.vec_id, pk.copy, nn.nbr_id, pk.gap,
           list_transform(generate_series(1, len(pk.v)), lambda i: pk.v[i] + pk.gap * (b.v[i] - pk.v[i])) AS vec
         FROM pk JOIN nn ON pk.vec_id = nn.id AND pk.rank = nn.rank JOIN m b ON b.vec_id = nn.nbr_id)
@@ -60,15 +93,27 @@ SELECT CAST(vec_id AS VARCHAR) || ':' || CAST(copy AS VARCHAR) AS row_key, vec_i
   sqrt(list_reduce(list_transform(vec, lambda x: x * x), lambda x, y: x + y)) AS vec_norm FROM syn"""
 
 
-@register("smote", O.final_select(_smote_sql(), [("row_key", "string"), ("parent_id", "bigint"), ("copy", "int"),
-                                                 ("nbr_id", "bigint"), ("gap", "double"), ("vec_sum", "double"),
-                                                 ("vec_norm", "double")]))
+SMOTE_COLS = [("row_key", "string"), ("parent_id", "bigint"), ("copy", "int"), ("nbr_id", "bigint"),
+              ("gap", "double"), ("vec_sum", "double"), ("vec_norm", "double")]
+
+
+@register("smote", O.final_select(_smote_sql(), SMOTE_COLS))
 def smote_q(spark, sf):
     """Synthetic minority rows (class 0 vs rest) up to the majority size; each row
     summarised by the sum and norm of its vector."""
+    return _summary(spark, sf)
+
+
+@register("smote_lsh", O.final_select(_smote_sql(lsh=True), SMOTE_COLS))
+def smote_lsh(spark, sf):
+    """The same with neighbours from the hash tables."""
+    return _summary(spark, sf, method="lsh", tables=TABLES, bits=BITS)
+
+
+def _summary(spark, sf, **method):
     e = D.read(spark, sf, "embeddings").withColumn("y", (F.col("label") == MINORITY).cast("int"))
-    s = smote(e, "vec_id", "embedding", "y", k=K, seed=SEED, minority=1)
+    s = smote(e, "vec_id", "embedding", "y", k=K, seed=SEED, minority=1, **method)
     agg = lambda f: F.aggregate(F.col("vector"), F.lit(0.0), f)
     return finalize(s.select("row_key", "parent_id", "copy", "nbr_id", "gap",
                              agg(lambda acc, x: acc + x).alias("vec_sum"),
-                             F.sqrt(F.aggregate(F.col("vector"), F.lit(0.0), lambda acc, x: acc + x * x)).alias("vec_norm")))
+                             F.sqrt(agg(lambda acc, x: acc + x * x)).alias("vec_norm")))

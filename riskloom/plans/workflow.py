@@ -5,7 +5,7 @@ tables -> one wide row per applicant (C1-C7). ``run(...)`` continues
 with the client extract, audit, model matrix, the three cross-validated
 experiments, the comparison table, feature ranking and persistence
 (C8-C14). Tables are read as CSV (header, inferred or given schema,
-pandas' null tokens) or parquet.
+pandas' null tokens) or parquet, as the ``fmt`` argument says.
 
 Usage::
 
@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators import metrics as M
+from riskloom.operators.assemble import union_by_name
+from riskloom.operators.encode import discover_domains_many, string_columns
 from riskloom.operators.model import GBTParams
 from riskloom.plans import credit as C
 from riskloom.plans import evaluate as EV
@@ -48,43 +50,53 @@ CLIENT_COLUMNS = ["SK_ID_CURR", "DAYS_BIRTH", "CODE_GENDER", "CNT_CHILDREN", "CN
 
 
 def read_table(spark: SparkSession, data_dir: str, name: str, schemas: dict | None = None,
-               num_rows: int | None = None) -> DataFrame:
-    base = os.path.join(data_dir, TABLES[name])
-    if os.path.exists(base + ".parquet"):
-        df = spark.read.parquet(base + ".parquet")
+               num_rows: int | None = None, fmt: str = "csv") -> DataFrame:
+    """One of TABLES from ``data_dir``, any folder that Spark reads; ``fmt``: 'csv' or 'parquet'."""
+    path = f"{data_dir.rstrip('/')}/{TABLES[name]}.{fmt}"
+    if fmt == "parquet":
+        df = spark.read.parquet(path)
         return df if num_rows is None else df.limit(num_rows)
-    return CSV.read_csv(spark, base + ".csv", (schemas or {}).get(name), num_rows=num_rows)
+    return CSV.read_csv(spark, path, (schemas or {}).get(name), num_rows=num_rows)
 
 
 def features(spark: SparkSession, data_dir: str, debug: bool = False,
-             schemas: dict | None = None) -> DataFrame:
-    """The reference's ``main(debug)``: C1, then C2-C6 left-joined, names cleaned."""
+             schemas: dict | None = None, fmt: str = "csv") -> DataFrame:
+    """The reference's ``main(debug)``: C1, then C2-C6 left-joined, names cleaned. The
+    categories of all tables come from one job; debug reads 10000 rows of each."""
     n = 10000 if debug else None
-    rd = lambda t: read_table(spark, data_dir, t, schemas, n)
-    app = C.application_features(rd("application_train"), rd("application_test"))
+    t = {name: read_table(spark, data_dir, name, schemas, n, fmt) for name in TABLES}
+    both = union_by_name([t["application_train"], t["application_test"]])
+    cats = {name: string_columns(df) for name, df in t.items() if not name.startswith("application")}
+    cats["application"] = string_columns(both, exclude=C.APP_FACTORIZE)
+    frames = {**t, "application": both}
+    doms = discover_domains_many([(name, frames[name], cols) for name, cols in cats.items()], C.MAX_ONE_HOT)
+    app = C.application_features(t["application_train"], t["application_test"], categories=doms["application"])
     parts = [
-        C.bureau_and_balance(rd("bureau"), rd("bureau_balance")),
-        C.previous_applications(rd("previous_application")),
-        C.pos_cash(rd("pos_cash")),
-        C.installments_payments(rd("installments")),
-        C.credit_card_balance(rd("credit_card")),
+        C.bureau_and_balance(t["bureau"], t["bureau_balance"],
+                             categories={**doms["bureau"], **doms["bureau_balance"]}),
+        C.previous_applications(t["previous_application"], categories=doms["previous_application"]),
+        C.pos_cash(t["pos_cash"], categories=doms["pos_cash"]),
+        C.installments_payments(t["installments"], categories=doms["installments"]),
+        C.credit_card_balance(t["credit_card"], categories=doms["credit_card"]),
     ]
     return C.feature_table(app, parts)
 
 
 def run(spark: SparkSession, data_dir: str, out_dir: str, params: GBTParams | None = None,
         variants=EV.VARIANTS, sample_fraction: float | None = 0.1, k: int = 5,
-        persist_variant: str = "smote", schemas: dict | None = None, **cv_kw) -> dict:
+        persist_variant: str = "smote", rank_variant: str = "smote", best: str = "auc",
+        schemas: dict | None = None, fmt: str = "csv", **cv_kw) -> dict:
     """Feature table (written once to ``out_dir``, cutting the
     lineage), client extract, audit, model matrix, one experiment per
-    variant, comparison, top features and the persisted run."""
+    variant, comparison, top features of ``rank_variant`` and the persisted run of
+    ``persist_variant`` (``best``: see ``evaluate.persist_run``)."""
     run_id = uuid.uuid4().hex
     ft_path = os.path.join(out_dir, "features")
-    features(spark, data_dir, schemas=schemas).write.mode("overwrite").parquet(ft_path)
+    features(spark, data_dir, schemas=schemas, fmt=fmt).write.mode("overwrite").parquet(ft_path)
     ft = spark.read.parquet(ft_path)
 
-    train = read_table(spark, data_dir, "application_train", schemas)
-    test = read_table(spark, data_dir, "application_test", schemas)
+    train = read_table(spark, data_dir, "application_train", schemas, fmt=fmt)
+    test = read_table(spark, data_dir, "application_test", schemas, fmt=fmt)
     cols = [c for c in CLIENT_COLUMNS if c in train.columns]
     extract = C.client_extract(train, test, ft, cols)
     CSV.write_csv(extract, os.path.join(out_dir, "info_clients"))
@@ -96,10 +108,11 @@ def run(spark: SparkSession, data_dir: str, out_dir: str, params: GBTParams | No
         res, m = EV.experiment(matrix, "SK_ID_CURR", feats, v, params=params, k=k, **cv_kw)
         results[v], metrics[v] = res, m
     table = EV.compare(metrics)
-    top, top_rows = M.top_features(results[variants[0]].importances, 10)
+    top, top_rows = M.top_features(results[rank_variant if rank_variant in results else variants[0]].importances, 10)
     if persist_variant in results:
         EV.persist_run(spark, results[persist_variant], metrics[persist_variant],
-                       os.path.join(out_dir, "run"), run_id)
+                       os.path.join(out_dir, "run"), run_id, best=best,
+                       refit=lambda: EV.fit_all(matrix, feats, params=params))
     return {"features": ft, "profile": profile, "null_cells": nulls, "inf_cells": infs,
             "results": results, "metrics": metrics, "comparison": table, "top_features": top,
             "top_feature_rows": top_rows, "extract": extract, "run_id": run_id}

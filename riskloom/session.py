@@ -59,14 +59,17 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder: the session's ``spark.checkpoint.dir``,
-    else (tests only) a new scratch folder registered on the context."""
+    """Shared checkpoint folder: the session's ``spark.checkpoint.dir``. Where that is
+    unset, a new scratch folder in local mode; elsewhere executors could not see one,
+    so it raises."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="riskloom-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

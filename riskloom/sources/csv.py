@@ -1,49 +1,89 @@
 """CSV scan and sink with the reference's missing-value rules.
 
-pandas reads '', 'NA', 'NULL', 'nan', 'N/A' and similar cells as
-missing. Spark's CSV reader, given an explicit schema, turns them into
-NULL in numeric columns but keeps them as text in string columns, and
-reads 'NaN' into a double NaN. ``read_csv`` fixes both, so the
-canonical missing value is NULL everywhere.
+pandas reads '', 'NA', 'NULL', 'nan', 'N/A' and similar cells as missing,
+doubles quotes inside quoted cells, and keeps a cell such as 2.0 in an
+integer column. Every cell is read as text; the null tokens become NULL,
+and only then cells are converted, so a token never decides a column's
+type. With a schema, a cell that does not convert raises; without one,
+types are found in one pass over the text: bigint, double or string (a
+date stays text, hence categorical, as in pandas).
 
-Always pass a schema at scale: inference reads the data twice.
+Always pass a schema at scale: finding types reads the data twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import (DoubleType, FloatType, IntegralType, LongType, StringType, StructField,
+                               StructType)
 
-from riskloom.functions.exprs import clean, qcol
+from riskloom.functions.exprs import qcol
 
 # Cells pandas' read_csv treats as missing by default (fixed list).
 NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
                "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+WHOLE = r"^\s*[+-]?[0-9]+\s*$"
+NUMBER = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?|inf|Infinity)\s*$"
 
 
-def normalise_nulls(df: DataFrame, tokens=NULL_TOKENS) -> DataFrame:
-    """Null tokens in string columns -> NULL; NaN in floating columns -> NULL."""
-    out = []
-    for f in df.schema.fields:
-        c = qcol(f.name)
-        if isinstance(f.dataType, StringType):
-            out.append(F.when(c.isin(list(tokens)), F.lit(None).cast("string")).otherwise(c).alias(f.name))
-        else:
-            out.append(clean(c, f.dataType).alias(f.name))
-    return df.select(*out)
+def _texts(spark: SparkSession, path: str, names, multi_line: bool) -> DataFrame:
+    """Every cell as text; quotes inside a quoted cell are doubled."""
+    r = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
+         .option("multiLine", multi_line).option("mode", "PERMISSIVE"))
+    if names is not None:
+        r = r.schema(StructType([StructField(n, StringType()) for n in names]))
+    return r.csv(path)
+
+
+def _convert(field: StructField) -> Column:
+    c = qcol(field.name)
+    t = field.dataType
+    if isinstance(t, StringType):
+        return c
+    if isinstance(t, IntegralType):
+        # 2.0 is 2; 2.5 or text is an error
+        number = c.try_cast("double")
+        out = F.coalesce(c.try_cast(t), F.when(number == F.floor(number), number.try_cast(t)))
+    elif isinstance(t, (DoubleType, FloatType)):
+        out = c.try_cast(t)
+        out = F.when(F.isnan(out), F.lit(None).cast(t)).otherwise(out)
+    else:
+        out = c.try_cast(t)
+    bad = F.concat(F.lit(f"column {field.name}: not a {t.simpleString()}: "), c)
+    return F.when(c.isNotNull() & out.isNull() & ~c.rlike("(?i)^[+-]?nan$"), F.raise_error(bad).cast(t)).otherwise(out)
+
+
+def infer(texts: DataFrame) -> StructType:
+    """bigint where every present cell is a whole number, double where all are numbers,
+    string otherwise (also where no cell is present), in one aggregate."""
+    facts = []
+    for i, n in enumerate(texts.columns):
+        c = qcol(n)
+        facts += [F.min(F.when(c.isNotNull(), c.rlike(WHOLE) & c.try_cast("bigint").isNotNull())).alias(f"w{i}"),
+                  F.min(F.when(c.isNotNull(), c.rlike(NUMBER))).alias(f"n{i}")]
+    row = texts.agg(*facts).first()
+    kind = lambda i: LongType() if row[f"w{i}"] else DoubleType() if row[f"n{i}"] else StringType()
+    return StructType([StructField(n, kind(i)) for i, n in enumerate(texts.columns)])
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
-             num_rows: int | None = None, tokens=NULL_TOKENS) -> DataFrame:
-    """Header CSV -> DataFrame (S1), optional debug row cap."""
-    r = spark.read.option("header", True).option("mode", "PERMISSIVE").option("nanValue", "NaN")
-    r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-    df = normalise_nulls(r.csv(path), tokens)
-    return df if num_rows is None else df.limit(num_rows)
-
-
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with header and no index column (S3): a directory of part
-    files written by the tasks, committed by the output committer."""
-    df.write.mode(mode).option("header", True).csv(path)
+             num_rows: int | None = None, tokens=NULL_TOKENS, multi_line: bool = False) -> DataFrame:
+    """Header CSV -> DataFrame (S1), optional debug row cap (S2). ``multi_line``: cells
+    may hold line breaks (a file is then read by one task)."""
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    texts = _texts(spark, path, None if schema is None else schema.names, multi_line)
+    if num_rows is not None:
+        texts = texts.limit(num_rows)
+    texts = texts.select(*[F.when(qcol(n).isin(list(tokens)), F.lit(None)).otherwise(qcol(n)).alias(n)
+                           for n in texts.columns])
+    types = schema if schema is not None else infer(texts)
+    return texts.select(*[_convert(f).alias(f.name) for f in types.fields])
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", null_value: str = "") -> None:
+    """CSV with header and no index column (S3): a directory of part files written by
+    the tasks. Quotes inside a cell are doubled; a missing cell is ``null_value``."""
+    (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+     .option("nullValue", null_value).option("emptyValue", "").csv(path))

@@ -19,6 +19,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/riskloom-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: the planner then knows its
+    size, and a lost executor does not recompute it."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def save_model(model, path: str) -> None:
     """Spark ML model or pipeline model, overwriting."""
     model.write().overwrite().save(path)

@@ -150,6 +150,25 @@ def test_csv_null_tokens(spark, tmp_path):
     assert rows == {1: (None, 1.5), 2: (None, None), 3: (None, None), 4: ("ok", None), 5: (None, 2.0)}
 
 
+def test_csv_cells_as_pandas_reads_them(spark, tmp_path):
+    from riskloom.sources.csv import write_csv
+    p = tmp_path / "q.csv"
+    p.write_text('k,s,x,d\n2.0,"a ""b"", c",1.5,2020-01-01\n3,"line\nbreak",NA,2020-01-02\n4,plain,,NA\n5,p,2.5,\n')
+    rows = {r.k: (r.s, r.x) for r in read_csv(spark, str(p), "k bigint, s string, x double, d string",
+                                              multi_line=True).collect()}
+    assert rows == {2: ('a "b", c', 1.5), 3: ("line\nbreak", None), 4: ("plain", None), 5: ("p", 2.5)}
+    found = read_csv(spark, str(p), multi_line=True)
+    assert dict(found.dtypes) == {"k": "double", "s": "string", "x": "double", "d": "string"}
+    bad = tmp_path / "bad.csv"
+    bad.write_text("k\n1\noops\n")
+    with pytest.raises(Exception, match="oops"):
+        read_csv(spark, str(bad), "k bigint").collect()
+    out = str(tmp_path / "out")
+    write_csv(spark.createDataFrame([(1, 'say "hi", you'), (2, None)], "k bigint, s string"), out)
+    text = "".join(f.read_text() for f in (tmp_path / "out").glob("part-*"))
+    assert '"say ""hi"", you"' in text
+
+
 def test_factorize_train_rows_before_test_rows(spark):
     s = "SK_ID_CURR bigint, CODE_GENDER string, FLAG_OWN_CAR string, FLAG_OWN_REALTY string"
     train = spark.createDataFrame([(5, "M", "N", "Y")], s)

@@ -18,7 +18,7 @@ def test_auc_exact_with_ties(spark):
     rnd = random.Random(5)
     rows = [(rnd.random() < 0.3 and 1 or 0, round(rnd.random(), 2)) for _ in range(600)]
     df = spark.createDataFrame(rows, "label int, score double")
-    got = M.roc_auc(df, "label", "score", n_buckets=16).first().auc
+    got = M.roc_auc(df, "label", "score").first().auc
     assert abs(got - brute_auc(rows)) < 1e-12
     flipped = M.roc_auc(df.withColumn("score", -F.col("score")), "label", "score").first().auc
     assert abs(flipped - (1 - got)) < 1e-12
@@ -70,3 +70,18 @@ def test_auc_skips_missing(spark):
     df = spark.createDataFrame([(1, 0.9), (0, 0.1), (1, None), (None, 0.5), (0, float("nan"))],
                                "label int, score double")
     assert M.roc_auc(df, "label", "score").first().auc == 1.0
+
+
+def test_null_groups_and_infinite_scores(spark):
+    """40 rows in, 40 out with 10 missing labels; a missing group and infinite scores count."""
+    from riskloom.operators.sampling import stratified_kfold
+    df = spark.range(40).selectExpr("id AS k", "CAST(IF(id % 4 = 0, NULL, id % 2) AS DOUBLE) AS y")
+    rows = stratified_kfold(df, "k", "y", 5).collect()
+    assert len(rows) == 40
+    sizes = [sum(r.fold == f for r in rows if r.y is None) for f in range(5)]
+    assert sizes == [2] * 5
+    inf = float("inf")
+    data = [("a", 1, 1.0), ("a", 0, -inf), ("a", 1, inf), ("a", 0, 2.0), (None, 1, 3.0), (None, 0, 1.0), (None, 0, inf)]
+    got = {r.g: r.auc for r in M.roc_auc(spark.createDataFrame(data, "g string, label int, score double"),
+                                         by="g").collect()}
+    assert got == {"a": 0.75, None: 0.5}

@@ -13,7 +13,7 @@ def _data(spark):
 
 def test_cv_variants(spark):
     df = _data(spark)
-    params = GBTParams(max_iter=3, max_depth=3)
+    params = GBTParams(max_iter=3, max_depth=3, min_child_weight=0.0)
     metrics = {}
     for variant in ("plain", "weighted", "smote"):
         res = cv_train(df, "k", ["x1", "x2"], "TARGET", k=3, variant=variant, params=params, parallelism=2)
@@ -32,7 +32,7 @@ def test_persist_run(spark):
     from riskloom.plans.evaluate import persist_run
     from riskloom.sources import store
     df = _data(spark)
-    res = cv_train(df, "k", ["x1", "x2"], "TARGET", k=2, params=GBTParams(max_iter=2, max_depth=2), history=True)
+    res = cv_train(df, "k", ["x1", "x2"], "TARGET", k=2, params=GBTParams(max_iter=2, max_depth=2, min_child_weight=0.0), history=True)
     assert res.history.where("split = 'valid'").count() == 2 * 2
     h = res.history.collect()
     assert all(r.auc is None or 0.0 <= r.auc <= 1.0 for r in h) and any(r.auc is not None for r in h)
@@ -43,11 +43,21 @@ def test_persist_run(spark):
     loaded = store.load_gbt(run_dir + "/model")
     assert loaded.getNumTrees == res.models[-1].getNumTrees
     assert store.load_prep(spark, run_dir + "/preprocessing").features == res.preps[-1].features
+    from riskloom.operators.model import REF_TREES
+    from riskloom.plans.evaluate import best_fold, fit_all
+    assert GBTParams().max_iter == REF_TREES == 10000
+    per = {r.fold: r.auc for r in evaluate(res, "k")["auc_by_fold"].collect()}
+    assert per[best_fold(res)] == max(per.values())
+    params = GBTParams(max_iter=2, max_depth=2, min_child_weight=0.0)
+    for best in ("last", "refit"):
+        persist_run(spark, res, evaluate(res, "k"), f"{run_dir}/{best}", run_id="r", best=best,
+                    refit=lambda: fit_all(df, ["x1", "x2"], params=params))
+        assert store.load_gbt(f"{run_dir}/{best}/model").getNumTrees == 2
 
 
 def test_early_stop_on_validation_fold(spark):
     df = _data(spark)
-    p = GBTParams(max_iter=30, max_depth=2, validation_tol=0.5)
+    p = GBTParams(max_iter=30, max_depth=2, validation_tol=0.5, min_child_weight=0.0)
     res = cv_train(df, "k", ["x1", "x2"], "TARGET", k=2, params=p, parallelism=2)
     assert res.predictions.count() == 400
     assert all(m.getNumTrees < 30 for m in res.models)
@@ -57,7 +67,7 @@ def test_iteration_auc_last_equals_model_auc(spark):
     from riskloom.operators import metrics as M
     from riskloom.operators.model import _assemble, iteration_auc
     df = _data(spark)
-    m = GBTParams(max_iter=4, max_depth=2).estimator(label_col="TARGET").fit(_assemble(df, ["x1", "x2"]))
+    m = GBTParams(max_iter=4, max_depth=2, min_child_weight=0.0).estimator(label_col="TARGET").fit(_assemble(df, ["x1", "x2"]))
     x = _assemble(df, ["x1", "x2"])
     per_it = {r.iteration: r.auc for r in iteration_auc(m, x, "TARGET").collect()}
     assert sorted(per_it) == [1, 2, 3, 4]

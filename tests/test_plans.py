@@ -40,20 +40,13 @@ def test_feature_table_shuffles_applicants_once(spark):
     assert len(exch) <= 6
 
 
-def test_knn_pairs_reduced_before_shuffle(spark):
-    from riskloom.operators.smote import knn
-    e = spark.read.parquet(f"{SF_CHECK}/embeddings.parquet")
-    plan = _plan(knn(e, "vec_id", "embedding", 5), "simple")
-    lines = plan.splitlines()
-    seen = 0
-    for i, l in enumerate(lines):
-        if "WindowGroupLimit [id" in l and ", jb" in l:
-            # the per-(point, bucket) top-k sits on the shuffled join, no exchange between
-            below = lines[i + 1:]
-            j = next(n for n, x in enumerate(below) if "ShuffledHashJoin" in x)
-            assert not any("Exchange" in x for x in below[:j])
-            seen += 1
-    assert seen >= 2
+def test_smote_copies_are_never_shuffled(spark):
+    from pyspark.sql import functions as F
+    from riskloom.operators.smote import smote
+    e = spark.read.parquet(f"{SF_CHECK}/embeddings.parquet").withColumn("y", (F.col("label") == 0).cast("int"))
+    lines = _plan(smote(e, "vec_id", "embedding", "y", 5, minority=1), "simple").splitlines()
+    made = next(i for i, l in enumerate(lines) if "Generate explode(sequence(piece" in l)
+    assert not any("Exchange" in l for l in lines[:made])
 
 
 def test_knn_repeated_vector_limit_runs_before_shuffle(spark):

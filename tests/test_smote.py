@@ -25,7 +25,7 @@ def test_knn_exact_uniform_and_clustered(spark):
     ids = np.arange(10, 10 + len(X))
     df = _frame(spark, X, ids)
     got = {}
-    for r in knn(df, "id", "v", k=4, bucket_rows=8).orderBy("id", "rank").collect():
+    for r in knn(df, "id", "v", k=4, block_rows=8).orderBy("id", "rank").collect():
         got.setdefault(r.id, []).append(r.nbr_id)
     assert got == brute_knn(ids, X, 4)
 
@@ -40,7 +40,7 @@ def test_knn_exact_with_repeated_vectors(spark):
     ids = rng.permutation(np.arange(1000, 1000 + len(X)))
     df = _frame(spark, X, ids)
     got, dists = {}, {}
-    for r in knn(df, "id", "v", k=5, bucket_rows=8).orderBy("id", "rank").collect():
+    for r in knn(df, "id", "v", k=5, block_rows=8).orderBy("id", "rank").collect():
         got.setdefault(r.id, []).append(r.nbr_id)
         dists.setdefault(r.id, []).append(r.dist)
     assert got == brute_knn(ids, X, 5)
@@ -64,32 +64,39 @@ def test_smote_counts_and_segments(spark):
     assert again == sorted((r.row_key, tuple(r.vector)) for r in rows)   # repeatable
 
 
-def test_smote_chunked_copies_equal_plain(spark, monkeypatch):
-    import riskloom.operators.smote as S
+def test_smote_few_parents_many_copies(spark):
     rng = np.random.default_rng(2)
-    X = rng.normal(size=(40, 2))
-    y = np.array([1] * 3 + [0] * 37)
-    df = _frame(spark, X, np.arange(40), y)
-    plain = sorted((r.row_key, r.nbr_id, r.gap) for r in smote(df, "id", "v", "y", k=2, minority=1).collect())
-    monkeypatch.setattr(S, "COPY_CHUNK", 4)
-    chunked = sorted((r.row_key, r.nbr_id, r.gap) for r in smote(df, "id", "v", "y", k=2, minority=1).collect())
-    assert len(plain) == 34 and plain == chunked
-
-
-def test_unrolled_distance_equals_lambda_form(spark, monkeypatch):
-    import riskloom.operators.smote as S
-    rng = np.random.default_rng(5)
-    X = np.vstack([rng.normal(size=(50, 4)), np.tile(rng.normal(size=4), (8, 1))])
-    ids = np.arange(len(X))
-    y = np.array([1] * 6 + [0] * 48 + [1] * 4)   # 10 minority rows, 38 synthetic
-    df = _frame(spark, X, ids, y)
-    lam = sorted(tuple(r) for r in knn(df, "id", "v", k=3, bucket_rows=8).collect())
-    syn_lam = sorted((r.row_key, tuple(r.vector)) for r in smote(df, "id", "v", "y", k=3, minority=1).collect())
-    monkeypatch.setattr(S, "UNROLL_MIN_POINTS", 0)
-    monkeypatch.setattr(S, "UNROLL_MIN_ROWS", 0)
-    assert sorted(tuple(r) for r in knn(df, "id", "v", k=3, bucket_rows=8).collect()) == lam
-    syn = sorted((r.row_key, tuple(r.vector)) for r in smote(df, "id", "v", "y", k=3, minority=1).collect())
-    assert len(syn) == 38 and syn == syn_lam
+    X = rng.normal(size=(140, 2))
+    y = np.array([1] * 3 + [0] * 137)
+    rows = smote(_frame(spark, X, np.arange(140), y), "id", "v", "y", k=2, minority=1).collect()
+    assert len(rows) == 134
+    assert sorted(r["copy"] for r in rows if r.parent_id == 0) == list(range(1, 1 + sum(r.parent_id == 0 for r in rows)))
+
+
+def test_smote_needs_more_than_k_minority_rows(spark):
+    import pytest
+    X = np.random.default_rng(2).normal(size=(40, 2))
+    df = _frame(spark, X, np.arange(40), np.array([1] * 5 + [0] * 35))
+    with pytest.raises(ValueError):
+        smote(df, "id", "v", "y", k=5, minority=1)
+
+
+def test_lsh_candidates_and_recall(spark):
+    """On the 64-wide vectors at sf0.1 the tables compare a small part of all pairs; on
+    clustered vectors they find nearly all neighbours."""
+    from riskloom.operators.smote import candidate_pairs, hash_buckets
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(
+        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    n = e.count()
+    assert candidate_pairs(hash_buckets(e, 8, 8, 64, 7)) < n * (n - 1) / 10
+    rng = np.random.default_rng(0)
+    X = np.vstack([c + 0.02 * rng.normal(size=(20, 8)) for c in rng.normal(size=(12, 8))])
+    df = _frame(spark, X, np.arange(len(X)))
+    got = {}
+    for r in knn(df, "id", "v", k=3, method="lsh", block_rows=16).collect():
+        got.setdefault(r.id, set()).add(r.nbr_id)
+    want = brute_knn(np.arange(len(X)), X, 3)
+    assert np.mean([len(got.get(i, set()) & set(w)) / 3 for i, w in want.items()]) >= 0.9
 
 
 def test_knn_matches_brute_force_on_random_repeats(spark):
@@ -106,7 +113,7 @@ def test_knn_matches_brute_force_on_random_repeats(spark):
         X = pool[rng.integers(0, len(pool), size=n)]
         ids = rng.permutation(np.arange(100, 100 + n))
         got = {}
-        for r in knn(_frame(spark, X, ids), "id", "v", k=k, bucket_rows=4).orderBy("id", "rank").collect():
+        for r in knn(_frame(spark, X, ids), "id", "v", k=k, block_rows=4).orderBy("id", "rank").collect():
             got.setdefault(r.id, []).append(r.nbr_id)
         assert got == brute_knn(ids, X, k)
 
