@@ -19,6 +19,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.session import checkpoint_dir
+from riskloom.sources.store import scratch_path
+
 SLICE_BYTES = 4 << 20
 U64 = np.uint64
 
@@ -148,28 +151,15 @@ def partitions(spark: SparkSession) -> int:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder in spark.checkpoint.dir and go on from
-    there; a folder of our own only where the session names none and runs locally."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-            named = tempfile.mkdtemp(prefix="riskloom-ckpt-")
-        sc.setCheckpointDir(named)
+    """Write ``df`` to the shared folder in spark.checkpoint.dir and go on from there."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
 def materialized(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it back: unlike
     after ``checkpoint`` the planner then knows its size."""
-    import uuid
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        checkpointed(df.sparkSession.range(1))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
