@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import partitions, stored
 
-BLOCK_WORDS = 16
+BLOCK_WORDS = 32
 #: a block: up to BLOCK_WORDS words of one line
 BLOCK = rf"[^\s]++(?:[ \t]++[^\s]++){{0,{BLOCK_WORDS - 1}}}+"
 #: cells per subtable of the base sketch, and of a group's first try and retries
@@ -74,20 +74,22 @@ def placed(digest: Column, cells: int, seed: int, **more: Column) -> Column:
           for j in range(3)], *[v.alias(n) for n, v in more.items()]))
 
 
-def here(u: Column, cell: Column) -> Column:
-    return (u["c0"] == cell) | (u["c1"] == cell) | (u["c2"] == cell)
-
-
 def xor_of(rows: Column, field: str) -> Column:
     return F.aggregate(rows, F.lit(0).cast("long"), lambda a, u: a.bitwiseXOR(u[field]))
 
 
+def cell(own: Column) -> Column:
+    return F.struct(F.size(own).alias("n"), xor_of(own, "d").alias("d"), xor_of(own, "k").alias("k"))
+
+
 def sketch(digests: Column, cells: int, seed: int) -> Column:
-    """The cells (n, d, k) of a set of digests."""
-    return bind(F.transform(digests, lambda d: placed(d, cells, seed)), lambda units: F.transform(
-        F.sequence(F.lit(0), F.lit(3 * cells - 1)),
-        lambda c: bind(F.filter(units, lambda u: here(u, c)), lambda own: F.struct(
-            F.size(own).alias("n"), xor_of(own, "d").alias("d"), xor_of(own, "k").alias("k")))))
+    """The cells (n, d, k) of a set of digests, one subtable after the other."""
+    def table(units: Column, j: int) -> Column:
+        return F.transform(F.sequence(F.lit(j * cells), F.lit((j + 1) * cells - 1)),
+                           lambda c: bind(F.filter(units, lambda u: u[f"c{j}"] == c), cell))
+
+    return bind(F.transform(digests, lambda d: placed(d, cells, seed)),
+                lambda units: F.concat(*[table(units, j) for j in range(3)]))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -97,25 +99,37 @@ def subtract(a: Column, b: Column) -> Column:
 
 def peel(difference: Column, cells: int, seed: int) -> Column:
     """(done, plus, minus): whether all cells became empty, and how many digests of the
-    first and of the second version were recovered."""
+    first and of the second version were recovered. A round that finds no single
+    digest ends the search: later rounds pass the state on."""
+
+    def without(c: Column, hit: Column) -> Column:
+        return F.when(F.size(hit) == 0, c).otherwise(F.struct(
+            (c["n"] - F.aggregate(hit, F.lit(0), lambda a, u: a + u["n"])).alias("n"),
+            c["d"].bitwiseXOR(xor_of(hit, "d")).alias("d"), c["k"].bitwiseXOR(xor_of(hit, "k")).alias("k")))
 
-    def step(state: Column, _) -> Column:
+    def taken(state: Column, own: Column, j: int) -> Column:
+        part = F.slice(state["cells"], j * cells + 1, cells)
+        return F.transform(part, lambda c, i: bind(
+            F.filter(own, lambda u: u[f"c{j}"] == i + j * cells), lambda hit: without(c, hit)))
+
+    def search(state: Column) -> Column:
         alone = F.array_distinct(F.transform(
             F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (check(c["d"]) == c["k"])),
             lambda c: placed(c["d"], cells, seed, n=c["n"])))
-        return bind(alone, lambda own: F.when(F.size(own) == 0, state).otherwise(F.struct(
-            F.transform(state["cells"], lambda c, i: bind(
-                F.filter(own, lambda u: here(u, i)), lambda hit: F.when(F.size(hit) == 0, c).otherwise(F.struct(
-                    (c["n"] - F.aggregate(hit, F.lit(0), lambda a, u: a + u["n"])).alias("n"),
-                    c["d"].bitwiseXOR(xor_of(hit, "d")).alias("d"),
-                    c["k"].bitwiseXOR(xor_of(hit, "k")).alias("k"))))).alias("cells"),
+        return bind(alone, lambda own: F.struct(
+            F.when(F.size(own) == 0, state["cells"]).otherwise(
+                F.concat(*[taken(state, own, j) for j in range(3)])).alias("cells"),
             (state["plus"] + F.size(F.filter(own, lambda u: u["n"] == 1))).alias("plus"),
-            (state["minus"] + F.size(F.filter(own, lambda u: u["n"] == -1))).alias("minus"))))
+            (state["minus"] + F.size(F.filter(own, lambda u: u["n"] == -1))).alias("minus"),
+            (F.size(own) == 0).alias("ended")))
 
-    start = F.struct(difference.alias("cells"), F.lit(0).alias("plus"), F.lit(0).alias("minus"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.struct(
-        F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["d"] == 0) & (c["k"] == 0)).alias("done"),
-        s["plus"].alias("plus"), s["minus"].alias("minus")))
+    start = F.struct(difference.alias("cells"), F.lit(0).alias("plus"), F.lit(0).alias("minus"),
+                     F.lit(False).alias("ended"))
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(ROUNDS)), start,
+        lambda state, _: F.when(state["ended"], state).otherwise(search(state)),
+        lambda s: F.struct(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["d"] == 0) & (c["k"] == 0)).alias("done"),
+                           s["plus"].alias("plus"), s["minus"].alias("minus")))
 
 
 def group_difference(a: Column, b: Column) -> Column:

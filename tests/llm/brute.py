@@ -99,7 +99,7 @@ def base_spans(text):
 
 
 def paragraphs(text):
-    return set(re.findall(r"[^ \t\n\x0b\f\r]+(?:[ \t]+[^ \t\n\x0b\f\r]+){0,15}", text))
+    return set(re.findall(r"[^ \t\n\x0b\f\r]+(?:[ \t]+[^ \t\n\x0b\f\r]+){0,31}", text))
 
 
 def likeness(a, b):
