@@ -1,8 +1,7 @@
 """riskloom: Spark-native credit-risk feature building and scoring.
 
-Plain functions from DataFrame to DataFrame. Every data step is a
-built-in Spark SQL expression or a Spark ML stage; no Python UDF sits on
-the data path.
+Plain functions from DataFrame to DataFrame: built-in Spark SQL expressions
+and Spark ML stages, and one grouped Python function for distances in kNN.
 
 Layout
 ------
@@ -11,7 +10,7 @@ sources/    CSV/parquet scans with null tokens, sinks, model and metric stores
 operators/  aggregation specs, encoding, joins, profiling, ranking,
             sampling, preprocessing, metrics, SMOTE, model training
 plans/      the composite feature pipelines and the registered query catalog
-streaming/  (empty: the workload has no streaming part)
+llm/        operators for preparing language-model training data (optional)
 """
 
 from riskloom.session import get_spark, checkpoint_dir  # noqa: F401

@@ -85,12 +85,31 @@ def share_exprs(col: str, values: Iterable[str], prefix: str = "",
     The denominator is every row of the group, missing category included.
     Named like the reference's one-hot column plus ``_MEAN``.
     """
+    return [flag_agg(cond, "mean").alias(f"{prefix}{col}_{name}{suffix}")
+            for name, cond in flag_conditions(col, values, nan_as_category)]
+
+
+def flag_conditions(col: str, values: Iterable[str], nan_as_category: bool) -> list[tuple[str, Column]]:
+    """(name, condition) of a categorical column's 0/1 flags."""
     c = qcol(col)
-    out = [F.avg(c.eqNullSafe(F.lit(v)).cast("int")).alias(f"{prefix}{col}_{v}{suffix}")
-           for v in values]
-    if nan_as_category:
-        out.append(F.avg(c.isNull().cast("int")).alias(f"{prefix}{col}_nan{suffix}"))
-    return out
+    return [(v, c.eqNullSafe(F.lit(v))) for v in values] + ([("nan", c.isNull())] if nan_as_category else [])
+
+
+def flag_agg(cond: Column, fn: str) -> Column:
+    """An aggregate of a 0/1 flag, from the number of rows where it is set and the number
+    of rows: one counter per flag, shared by all functions, and one for the group."""
+    s, n = F.count_if(cond), F.count(F.lit(1))
+    if fn == "min":
+        return (s == n).cast("int")
+    if fn == "max":
+        return (s > 0).cast("int")
+    if fn == "sum":
+        return s
+    if fn == "mean":
+        return s / n
+    if fn == "var":
+        return F.when(n > 1, s * (1 - s / n) / (n - 1))
+    raise ValueError(f"unsupported flag aggregate {fn!r}")
 
 
 def all_columns_spec(df: DataFrame, key: str, fns: Sequence[str],
@@ -137,8 +156,3 @@ def aggregate_spec(df: DataFrame, key: str, spec: Mapping[str, Sequence[str]],
     for sub_prefix, cond in subsets:
         exprs += compile_spec(df.schema, spec, sub_prefix, cond)
     return aggregate(df, key, exprs, max_exprs)
-
-
-def group_count(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Rows per group as a named column (POS_COUNT, INSTAL_COUNT, CC_COUNT)."""
-    return aggregate(df, key, [F.count(F.lit(1)).alias(name)])

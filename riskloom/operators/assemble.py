@@ -7,38 +7,12 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, NumericType, StringType
 
 from riskloom.functions.exprs import qcol
 
 NAME_PATTERN = re.compile(r"[^A-Za-z0-9_]+")
 
 
-def select_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Project a named list."""
-    return df.select(*[qcol(c) for c in cols])
-
-
-def select_except(df: DataFrame, exclude: Sequence[str]) -> DataFrame:
-    """Project every column except a list (P2); absent names are ignored."""
-    ex = set(exclude)
-    return df.select(*[qcol(c) for c in df.columns if c not in ex])
-
-
-def columns_of_kind(df: DataFrame, kind: str) -> list[str]:
-    """Column names by type (P3/P4): ``string`` or ``numeric``.
-
-    ``numeric`` leaves booleans out, like ``select_dtypes(np.number)``.
-    """
-    if kind == "string":
-        return [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
-    if kind == "numeric":
-        return [f.name for f in df.schema.fields
-                if isinstance(f.dataType, NumericType) and not isinstance(f.dataType, BooleanType)]
-    raise ValueError(kind)
-
-
 def left_join_chain(base: DataFrame, parts: Sequence[DataFrame], key: str) -> DataFrame:
     """Left outer joins of per-key roll-ups onto the base table.
 
@@ -77,10 +51,6 @@ def sanitize_names(df: DataFrame, pattern: re.Pattern = NAME_PATTERN) -> DataFra
     return df.toDF(*clean)
 
 
-def add_fold_tag(df: DataFrame, fold: int, name: str = "fold") -> DataFrame:
-    return df.withColumn(name, F.lit(fold))
-
-
 def preview(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     """First ``n`` rows in a stated order (T3, ``head``): Spark rows have
     no order of their own, so the order is an argument."""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, NumericType
 
 from riskloom.functions.exprs import INF, NEG_INF, is_floating, qcol
 
@@ -14,11 +13,6 @@ def _missing(f) -> F.Column:
     return (c.isNull() | F.isnan(c)) if is_floating(f.dataType) else c.isNull()
 
 
-def null_counts(df: DataFrame) -> DataFrame:
-    """One row: missing cells per column (A14), in one pass."""
-    return df.agg(*[F.count_if(_missing(f)).alias(f.name) for f in df.schema.fields])
-
-
 def null_count(df: DataFrame) -> DataFrame:
     """Total missing cells over the table, one row ``null_cells``."""
     terms = [F.count_if(_missing(f)) for f in df.schema.fields]
@@ -52,8 +46,3 @@ def table_shape(df: DataFrame) -> DataFrame:
     """(n_rows, n_cols) as a one-row DataFrame."""
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn(
         "n_cols", F.lit(len(df.columns)).cast("bigint"))
-
-
-def numeric_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields
-            if isinstance(f.dataType, NumericType) and not isinstance(f.dataType, BooleanType)]

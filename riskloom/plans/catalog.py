@@ -68,15 +68,8 @@ def stable_round(c: Column) -> Column:
         .otherwise(F.rint(c / step) * step)
 
 
-# Comparison rounding can be switched off (bench.py times the
-# computation itself; the rounding only serves the cross-engine check).
-ROUND_OUTPUTS = True
-
-
 def finalize(df: DataFrame) -> DataFrame:
     """Round every floating column (same bands as the SQL side)."""
-    if not ROUND_OUTPUTS:
-        return df
     return df.select(*[stable_round(qcol(f.name)).alias(f.name)
                        if isinstance(f.dataType, (DoubleType, FloatType)) else qcol(f.name)
                        for f in df.schema.fields])

@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.exprs import (clamp_zero, ieee_div, not_equal_keep_null, qcol,
                                       sentinel_null)
-from riskloom.operators.aggspec import (aggregate, aggregate_spec, all_columns_spec,
-                                        compile_spec, share_exprs)
-from riskloom.operators.assemble import left_join_chain, sanitize_names, union_by_name
+from riskloom.operators.aggspec import (agg_name, aggregate, aggregate_spec, all_columns_spec,
+                                        compile_spec, flag_agg, flag_conditions, share_exprs)
+from riskloom.operators.assemble import left_join_chain, sanitize_names, semi_join, union_by_name
 from riskloom.operators.encode import discover_domains, factorize, one_hot, string_columns
 
 # ---------------------------------------------------------------------------
@@ -273,12 +273,19 @@ def credit_card_balance(cc: DataFrame, *, num_rows: int | None = None,
                         categories: Mapping[str, Sequence[str]] | None = None,
                         max_exprs: int | None = None) -> DataFrame:
     """One-hot, drop the loan id, then every function on every other
-    column (flags included) per applicant, plus a row count."""
-    cc = _cap(cc, num_rows)
-    cc, _ = one_hot(cc, None, nan_as_category, categories, MAX_ONE_HOT)
-    cc = cc.drop(*drop)
-    spec = all_columns_spec(cc, curr_key, funcs)
-    exprs = compile_spec(cc.schema, spec, prefix) + [F.count(F.lit(1)).alias(count_name)]
+    column (flags included) per applicant, plus a row count. A flag's functions come
+    from one counter (``aggspec.flag_agg``), so no one-hot column is built."""
+    cc = _cap(cc, num_rows).drop(*drop)
+    cats = string_columns(cc)
+    doms = dict(categories or {})
+    need = [c for c in cats if c not in doms]
+    if need:
+        doms.update(discover_domains(cc, need, MAX_ONE_HOT))
+    exprs = compile_spec(cc.schema, all_columns_spec(cc, curr_key, funcs), prefix)
+    for c in cats:
+        for name, cond in flag_conditions(c, sorted(doms[c]), nan_as_category):
+            exprs += [flag_agg(cond, fn).alias(agg_name(prefix, f"{c}_{name}", fn)) for fn in funcs]
+    exprs.append(F.count(F.lit(1)).alias(count_name))
     return aggregate(cc, curr_key, exprs, max_exprs)
 
 
@@ -295,5 +302,4 @@ def client_extract(train: DataFrame, test: DataFrame | None, features: DataFrame
     """Named client columns of every applicant present in the
     feature table (a semi join; 'XNA' applicants drop out)."""
     base = union_by_name([train] + ([test] if test is not None else []))
-    base = base.select(*[qcol(c) for c in cols])
-    return base.join(features.select(qcol(key)), on=key, how="left_semi")
+    return semi_join(base.select(*[qcol(c) for c in cols]), features, key)

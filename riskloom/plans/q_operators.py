@@ -310,3 +310,10 @@ def value_counts_q(spark, sf):
 def table_shape_q(spark, sf):
     """(rows, columns) of a table."""
     return P.table_shape(D.read(spark, sf, "lineitem"))
+
+
+@register("preview", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")
+def preview_q(spark, sf):
+    """The first rows in a stated order."""
+    o = D.read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return A.preview(o.withColumn("neg", -F.col("o_totalprice")), 5, ["neg", "o_orderkey"]).drop("neg")

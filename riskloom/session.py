@@ -17,10 +17,6 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
-    # Feature roll-ups are wide aggregates (hundreds of outputs, each with
-    # a 2-3 field buffer); above 100 fields Spark stops generating code
-    # for the aggregate. Lift the limit so they stay in whole-stage codegen.
-    "spark.sql.codegen.maxFields": "1000",
 }
 
 
