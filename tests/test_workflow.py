@@ -80,7 +80,7 @@ def test_workflow_end_to_end(spark, tmp_path):
     assert {"BURO_DAYS_CREDIT_MIN", "ACTIVE_AMT_CREDIT_SUM_SUM", "PREV_APP_CREDIT_PERC_VAR", "POS_COUNT",
             "INSTAL_DPD_MEAN", "CC_AMT_BALANCE_VAR", "CC_COUNT", "PAYMENT_RATE"} <= set(ft.columns)
     out = workflow.run(spark, str(data), str(tmp_path / "out"), params=GBTParams(max_iter=2, max_depth=2, min_child_weight=0.0),
-                       sample_fraction=None, k=3, parallelism=3)
+                       sample_fraction=None, k=3, parallelism=3, smote_k=2)
     assert out["extract"].count() == n_app           # 'XNA' applicants dropped in both
     cmp = {r.metric: r for r in out["comparison"].collect()}
     assert set(cmp) == {"AUC", "accuracy"}
