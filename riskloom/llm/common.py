@@ -169,27 +169,16 @@ stored = materialized
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package once per context, as ``--py-files`` would, so
-    Python workers can import it wherever the driver was started."""
+    """In local mode, let Python workers import this package wherever the driver was
+    started. On a cluster the job is submitted with it (``--py-files`` or PYTHONPATH)."""
     sc = spark.sparkContext
-    if getattr(sc, "_riskloom_shipped", False):
-        return
-    import os
-    import tempfile
-    import zipfile
-
-    import riskloom
-    root = os.path.dirname(os.path.abspath(riskloom.__file__))
-    if os.path.isdir(root):
-        path = os.path.join(tempfile.mkdtemp(prefix="riskloom-py-"), "riskloom_package.zip")
-        with zipfile.ZipFile(path, "w") as out:
-            for folder, _, names in os.walk(root):
-                for name in names:
-                    if name.endswith(".py"):
-                        full = os.path.join(folder, name)
-                        out.write(full, os.path.join("riskloom", os.path.relpath(full, root)))
-        sc.addPyFile(path)
-    sc._riskloom_shipped = True
+    local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+    if local and not getattr(sc, "_riskloom_shipped", False):
+        import os
+
+        import riskloom
+        sc.addFile(os.path.dirname(os.path.abspath(riskloom.__file__)), recursive=True)
+        sc._riskloom_shipped = True
 
 
 class RaggedCache:

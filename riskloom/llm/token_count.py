@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import IS_SPACE, U64, RaggedCache, distinct_spans, document_of, slices, sums_by
+from riskloom.llm.common import IS_SPACE, RaggedCache, distinct_spans, document_of, slices, sums_by
 
 # The split pattern of byte-level pair vocabularies; white space is spelt
 # out as Unicode's White_Space property.
