@@ -22,7 +22,6 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from riskloom.operators import metrics as M
 from riskloom.operators.assemble import union_by_name
