@@ -10,12 +10,16 @@
    class, named by the smallest doc_id; only class representatives go on.
 3. Bands of ``ROWS`` registers are hashed. At similarity 0.8 a pair misses
    all ``BANDS`` bands with a probability of 3e-6. A bucket is never
-   expanded into pairs: each member is linked with the smallest and the
-   largest id of its bucket, found with map-side combining.
+   expanded into rows of pairs: each member is linked with the smallest and
+   the largest id of its bucket, found with map-side combining.
 4. Candidates are filtered by the collision-corrected Jaccard estimate of
    their sketches (five standard errors of slack) and confirmed on the
    full sets, in two rounds: first one candidate per document, then the
-   candidates whose ends are not in one component yet.
+   candidates whose ends are not in one component yet. A third round takes
+   the buckets that still hold several components: their members are dealt
+   into blocks, and tasks compare the full sets of one block with another's
+   and give the links that join two components there. So every two members
+   of a bucket are compared or already in one component.
 5. Components of confirmed links by alternating large-star / small-star.
 
 Sketches and texts are read from tables; no pairs, links or components are
@@ -29,6 +33,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +50,8 @@ BANDS = REGISTERS // ROWS
 SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=U64) * U64(0xA0761D6478BD642F))
 #: bits of the id bitmap that spares unneeded texts a shuffle
 BITMAP = 1 << 24
+#: members, and shingles of their sets, of a block in the third round
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 19
 SKETCH = "doc_id long, n_shingles long, set_high long, set_low long, sketch binary"
 
 
@@ -140,12 +147,16 @@ def band_keys(heads: DataFrame) -> DataFrame:
     return heads.select("doc_id", "sketch").mapInArrow(run, "key long, doc_id long")
 
 
-def candidates(heads: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b: each member of a band bucket with its ends."""
+def buckets(heads: DataFrame) -> DataFrame:
+    """(key, doc_id, low, high, size) of the members of buckets with two ids or more."""
     bands = band_keys(heads)
-    ends = (bands.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-            .where("low < high"))
-    met = bands.join(ends, "key")
+    ends = (bands.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
+                                     F.count(F.lit(1)).alias("size")).where("low < high"))
+    return bands.join(ends, "key")
+
+
+def candidates(met: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b: each member of a band bucket with its ends."""
     return (met.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("doc_id").alias("b")),
                                          F.struct(F.col("doc_id").alias("a"), F.col("high").alias("b"))))
                        .alias("p")).select("p.*").where("a < b").distinct())
@@ -174,11 +185,12 @@ def likely(pairs: DataFrame, heads: DataFrame, threshold: float) -> DataFrame:
     return met.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union on their full shingle sets."""
+def texts_of(ids: DataFrame, docs: DataFrame, make=None, schema: str = "id long, text string") -> DataFrame:
+    """(id, text) of the documents named by ``ids`` (id), and of few others; or what
+    ``make`` gives for a batch of those."""
     spark = docs.sparkSession
     slot = F.pmod(F.xxhash64("id"), F.lit(BITMAP))
-    maps = (pairs.select(F.explode(F.array("a", "b")).alias("id")).select(slot.alias("slot"))
+    maps = (ids.select(slot.alias("slot"))
             .groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("part"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits")).collect())
     bits = np.zeros(BITMAP // 8, np.uint8)  # at most 2 MB, whatever the data
@@ -191,11 +203,17 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
         for batch in batches:
             at = batch.column(2).to_numpy()
             hit = (shared.value[at >> 3] >> (at & 7)) & 1
-            yield batch.select([0, 1]).filter(pa.array(hit.astype(bool)))
+            kept = batch.select([0, 1]).filter(pa.array(hit.astype(bool)))
+            yield from make(kept) if make else [kept]
+
+    return (docs.where(F.col("doc_id").isNotNull())
+            .select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+            .select("id", "text", slot.alias("slot")).mapInArrow(wanted, schema))
 
-    texts = (docs.where(F.col("doc_id").isNotNull())
-             .select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-             .select("id", "text", slot.alias("slot")).mapInArrow(wanted, "id long, text string"))
+
+def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs with 100 * intersection >= percent * union on their full shingle sets."""
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs)
 
     def run(batches):
         for batch in batches:
@@ -213,6 +231,96 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     return met.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
+def joining_links(own: list, other: list | None, own_roots, other_roots, percent: int) -> list[tuple[int, int]]:
+    """Places (in ``own``, in ``other``) of pairs of sets that reach ``percent`` and join
+    components not joined by an earlier one; without ``other``, among ``own``."""
+    inside = other is None
+    other, other_roots = (own, own_roots) if inside else (other, other_roots)
+    sizes = np.array([len(s) for s in other])
+    edges = np.cumsum(sizes) - sizes
+    every, place = np.unique(np.concatenate(other), return_inverse=True)
+    mark = np.zeros(len(every) + 1, bool)
+    parent: dict = {}
+
+    def find(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    out = []
+    for i, held in enumerate(own):
+        apart = other_roots != own_roots[i]
+        if inside:
+            apart[:i + 1] = False
+        if not apart.any():
+            continue
+        at = np.minimum(np.searchsorted(every, held), len(every) - 1)
+        at = at[every[at] == held]
+        mark[at] = True
+        both = np.add.reduceat(mark[place], edges, dtype=np.int64)
+        mark[at] = False
+        for j in np.flatnonzero(apart & (both > 0) & (100 * both >= percent * (len(held) + sizes - both))):
+            x, y = find(own_roots[i]), find(other_roots[j])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((i, j))
+    return out
+
+
+def inner_links(met: DataFrame, roots: DataFrame, heads: DataFrame, docs: DataFrame, shingle: int,
+                percent: int) -> DataFrame:
+    """Confirmed (a, b) that join components of ``roots`` (id, root) within a bucket of
+    ``met``. The members of a bucket's most frequent component are not compared with
+    each other: they are dealt into blocks of their own, which meet the other blocks
+    only. (Buckets of three ids have no pair without an end.)"""
+    sizes = heads.groupBy(F.col("doc_id").alias("id")).agg(F.max("n_shingles").alias("n"))
+    members = checkpointed(
+        met.where("size > 3").select("key", F.col("doc_id").alias("id")).join(roots, "id", "left")
+        .join(sizes, "id").select("key", "id", F.coalesce("root", "id").alias("root"), "n"))
+    parts = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    top = F.max(F.struct("c", "root", "n"))
+    blocks = lambda c, n: F.ceil(F.greatest(c / BLOCK_ROWS, n / BLOCK_SHINGLES)).cast("int")
+    still = (parts.groupBy("key").agg(top.alias("top"), F.sum("c").alias("c"), F.sum("n").alias("n"))
+             .where("c > top.c")
+             .select("key", F.col("top.root").alias("main"), blocks(F.col("top.c"), F.col("top.n")).alias("mains"),
+                     blocks(F.col("c") - F.col("top.c"), F.col("n") - F.col("top.n")).alias("others")))
+    dealt = members.join(still, "key").select("key", "id", "root", "mains", "others",
+                                              (F.col("root") == F.col("main")).alias("is_main"))
+    deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    upto = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+    mine = deal(F.col("others"))
+    # tiles (i, j): block i of the others with their block j >= i, or with main block j - others
+    tile = lambda i, j, right: F.struct(i.alias("i"), j.alias("j"), right.alias("right"))
+    last = F.col("others") - 1
+    as_main = F.transform(upto(F.lit(0), last), lambda i: tile(
+        i, F.col("others") + deal(F.col("mains")), F.lit(True)))
+    as_other = F.concat(
+        F.transform(upto(mine, last + F.col("mains")), lambda j: tile(mine, j, F.lit(False))),
+        F.transform(upto(F.lit(0), mine - 1), lambda i: tile(i, mine, F.lit(True))))
+    tiles = checkpointed(dealt.select("key", "id", "root", F.explode(
+        F.when(F.col("is_main"), as_main).otherwise(as_other)).alias("t")).select("key", "id", "root", "t.*"))
+
+    def sets(batch):
+        for part, data, offsets in slices([batch]):
+            found = [s.tobytes() for s in shingle_sets(data, offsets, shingle)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["id", "held"])
+
+    def compare(rows: pa.Table) -> pa.Table:
+        inside = rows["i"][0].as_py() == rows["j"][0].as_py()
+        left, right = rows.filter(pc.invert(rows["right"])), rows.filter(rows["right"])
+        links = []
+        if left.num_rows and (inside or right.num_rows):
+            own, other = ([np.frombuffer(b.as_buffer(), U64) for b in t["held"]] for t in (left, right))
+            links = joining_links(own, None if inside else other, left["root"].to_numpy(), right["root"].to_numpy(),
+                                  percent)
+        ids, others = left["id"].to_numpy(), (left if inside else right)["id"].to_numpy()
+        return pa.table({"a": pa.array([ids[i] for i, _ in links], pa.int64()),
+                         "b": pa.array([others[j] for _, j in links], pa.int64())})
+
+    held = texts_of(tiles.select("id"), docs, sets, "id long, held binary").where(F.length("held") > 0)
+    return tiles.join(held, "id").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of every node of ``links`` (a, b): the least id it reaches.
     Alternating large-star and small-star steps, each written to the shared folder."""
@@ -244,9 +352,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         base.where("n_shingles > 0 and doc_id is not null").groupBy("set_high", "set_low", "n_shingles")
         .agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"),
              F.count(F.lit(1)).alias("copies")))
-    pairs = checkpointed(candidates(heads))
+    met = checkpointed(buckets(heads))
+    pairs = checkpointed(candidates(met))
     threshold = percent / 100
-    # round 1: one candidate a document; round 2: what still joins two components
+    # round 1: one candidate a document; round 2: what still joins two components;
+    # round 3: pairs without an end of their buckets, where these still hold several
     one = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = checkpointed(confirmed(checkpointed(likely(one, heads, threshold)), docs, shingle, percent))
     roots = checkpointed(components(links))
@@ -255,7 +365,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     rest = (pairs.join(one, ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left")
             .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
     more = checkpointed(confirmed(checkpointed(likely(rest, heads, threshold)), docs, shingle, percent))
-    final = components(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more))
+    edge = (F.col("root").alias("a"), F.col("id").alias("b"))
+    final = checkpointed(components(roots.select(*edge).union(more)))
+    inner = checkpointed(inner_links(met, final, heads, docs, shingle, percent))
+    if not inner.isEmpty():
+        final = components(final.select(*edge).union(inner))
     named = heads.where("copies > 1").select("set_high", "set_low", "n_shingles", F.col("doc_id").alias("head"))
     found = base.drop("sketch").join(named, ["set_high", "set_low", "n_shingles"], "left")
     head = F.coalesce("head", "doc_id")
