@@ -148,13 +148,12 @@ def learn_lexicon(sample: DataFrame, settings: Settings) -> np.ndarray:
             distinct, inverse = np.unique(keys, return_inverse=True)
             toxic = sums_by(inverse, len(distinct), label[owner])
             total = sums_by(inverse, len(distinct)).astype(float)
-            some = (toxic > 0) | (total > 1)  # words of one clean document say nothing
+            # all keys leave the slice: one that is clean here may be toxic in another
             yield pa.RecordBatch.from_arrays(
-                [pa.array(distinct[some].view(np.int64)), pa.array(toxic[some]), pa.array(total[some])],
+                [pa.array(distinct.view(np.int64)), pa.array(toxic), pa.array(total)],
                 names=["key", "toxic", "total"])
 
     toxic = sample.agg(F.sum("label")).first()[0] or 0
-    # every entry that can pass is in the result: entries left out above have no toxic row
     found = (sample.mapInArrow(run, "key long, toxic double, total double").groupBy("key")
              .agg(F.sum("toxic").alias("toxic"), F.sum("total").alias("total"))
              .where((F.col("toxic") >= max(3.0, settings.least_share * toxic)) & (F.col("key") != 0)

@@ -3,7 +3,7 @@
 import numpy as np
 from brute import near_components
 
-from riskloom.llm import near_dup
+from riskloom.llm import near_dup, toxicity
 
 
 def hot_template(groups, template, shared, own):
@@ -54,3 +54,13 @@ def test_joining_links_within_and_between_blocks():
     assert groups(inside) == groups([(a, b) for a in range(30) for b in range(a) if near(a, b)])
     between = [(a, b + 10) for a, b in near_dup.joining_links(sets[:10], sets[10:], roots[:10], roots[10:], 80)]
     assert groups(between) == groups([(a, b) for a in range(10) for b in range(10, 30) if near(a, b)])
+
+
+def test_lexicon_does_not_depend_on_the_partitions(spark):
+    """Ordinary words fall into few documents of a slice; their clean ones count all the same."""
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join([*(f"word{j}" for j in rng.integers(0, 60, 6)), *(["zork"] if i % 5 == 0 else [])]),
+             float(i % 5 == 0)) for i in range(300)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, label double")
+    one, many = (toxicity.learn_lexicon(sample.repartition(n), toxicity.Settings()) for n in (1, 200))
+    assert len(one) and one.tolist() == many.tolist()
