@@ -1,9 +1,11 @@
 """Inputs on which a shortcut would give less than the whole result."""
 
 import numpy as np
+import pytest
 from brute import near_components
 
-from riskloom.llm import near_dup, toxicity
+from riskloom.llm import lm_score, near_dup, toxicity
+from riskloom.llm.common import fold_of
 
 
 def hot_template(groups, template, shared, own):
@@ -64,3 +66,14 @@ def test_lexicon_does_not_depend_on_the_partitions(spark):
     sample = spark.createDataFrame(rows, "doc_id long, text string, label double")
     one, many = (toxicity.learn_lexicon(sample.repartition(n), toxicity.Settings()) for n in (1, 200))
     assert len(one) and one.tolist() == many.tolist()
+
+
+def test_lm_scores_are_equal_beyond_the_filter_bound(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    train = docs.where(fold_of() != 1)
+    want, got = ({(r["doc_id"], r["n_tokens"]): r for r in lm_score.score(docs, *lm_score.fit(train, s)).collect()}
+                 for s in (lm_score.Settings(), lm_score.Settings(max_filter_bytes=1000)))
+    assert want.keys() == got.keys()
+    for key, r in want.items():
+        assert got[key]["score"] == pytest.approx(r["score"], rel=1e-9)
+        assert got[key]["base_score"] == pytest.approx(r["base_score"], rel=1e-9)
