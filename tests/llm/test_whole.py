@@ -3,8 +3,9 @@
 import numpy as np
 import pytest
 from brute import near_components
+from pyspark.sql import functions as F
 
-from riskloom.llm import lm_score, near_dup, toxicity
+from riskloom.llm import fingerprint, lm_score, near_dup, pii, toxicity
 from riskloom.llm.common import fold_of
 
 
@@ -77,3 +78,36 @@ def test_lm_scores_are_equal_beyond_the_filter_bound(spark, small):
     for key, r in want.items():
         assert got[key]["score"] == pytest.approx(r["score"], rel=1e-9)
         assert got[key]["base_score"] == pytest.approx(r["base_score"], rel=1e-9)
+
+
+@pytest.mark.parametrize("step", [2, 100])
+def test_looser_pii_is_found_when_rare_and_when_frequent(spark, step):
+    rows = []
+    for i in range(400):
+        loose = f" call ({200 + i}) 555-{1000 + i} at noon" if i % step == 0 else ""
+        rows.append((i, f"write to a{i}@b.org or 300.1.1.{i % 9} on 2024-01-15 1030{loose}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pii.detect(docs, pii.fit(docs)).select("doc_id", pii.listed(pii.ALL_SPANS).alias("s"))
+    for r in got.collect():
+        text = rows[r["doc_id"]][1]
+        spans = [s.split(":") for s in r["s"].split(",")]
+        phones = [text[int(a):int(b)] for k, a, b in spans if k == "phone"]
+        assert phones == ([f"({200 + r['doc_id']}) 555-{1000 + r['doc_id']}"] if r["doc_id"] % step == 0 else [])
+
+
+def test_fingerprint_blocks_of_short_texts(spark):
+    """Half of 40 words edited: two of three blocks of 16 words differ, one is alike."""
+    words = [f"w{i}" for i in range(40)]
+    text = " ".join(words)
+    edited = " ".join(words[:20] + ["x"] * 20)
+    a, b = spark.createDataFrame([(text,), (edited,)], "t string").select(
+        fingerprint.paragraphs(F.col("t")).alias("p")).collect()
+    assert (len(a["p"]), len(b["p"]), len(set(a["p"]) & set(b["p"]))) == (3, 3, 1)
+
+
+def test_fingerprint_counts_are_not_cut(spark):
+    text = "\n".join(f"line {i}" for i in range(5000))
+    cells = fingerprint.sketch(fingerprint.paragraphs(F.lit(text)), fingerprint.BASE_CELLS, 1)
+    row = spark.range(1).select(cells.alias("c"), fingerprint.hexed(cells).alias("h")).first()
+    assert [int(x[:-32], 16) for x in row["h"].split(".")] == [c["n"] for c in row["c"]]
+    assert sum(c["n"] for c in row["c"]) == 15000
