@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import partitions, stored
 
-BLOCK_WORDS = 32
+BLOCK_WORDS = 16
 #: a block: up to BLOCK_WORDS words of one line
 BLOCK = rf"[^\s]++(?:[ \t]++[^\s]++){{0,{BLOCK_WORDS - 1}}}+"
 #: cells per subtable of the base sketch, and of a group's first try and retries
@@ -186,7 +186,8 @@ def likeness(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:
 
 def hexed(cells: Column) -> Column:
     """The cells as text: count, digests and checks in hexadecimal."""
-    digits = lambda v, n: F.lpad(F.lower(F.hex(v)), n, "0")
+    # counts of 256 and more take more than two digits: lpad would cut them
+    digits = lambda v, n: F.lpad(F.lower(F.hex(v)), F.greatest(F.lit(n), F.length(F.hex(v))), F.lit("0"))
     return F.array_join(F.transform(cells, lambda c: F.concat(
         digits(c["n"].cast("long"), 2), digits(c["d"], 16), digits(c["k"], 16))), ".")
 
