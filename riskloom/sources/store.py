@@ -27,6 +27,18 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_buckets(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """Write ``df`` to the shared folder as a table bucketed by ``keys`` and sorted by them
+    inside each bucket, and read it back: joins and aggregates on the keys with tables of
+    as many buckets need no exchange. Rows that are already dealt by the keys into as many
+    partitions (as after an aggregate or a join on them) give one file a bucket."""
+    path = scratch_path(df.sparkSession, "buckets")
+    name = f"riskloom_{path.rsplit('-', 1)[1]}"
+    (df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+     .option("path", path).saveAsTable(name))
+    return df.sparkSession.table(name)
+
+
 def save_model(model, path: str) -> None:
     """Spark ML model or pipeline model, overwriting."""
     model.write().overwrite().save(path)
