@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import (
-    exact_dedup, fingerprint, hard_negatives, lm_score, near_dup, packing, pii, quality, sp_nbest, token_count, toxicity,
+    exact_dedup, fingerprint, hard_negatives, lexical, line_dedup, lm_score, near_dup, packing, pii, quality, sp_nbest,
+    token_count, toxicity,
 )
 from riskloom.llm.common import fold_of, read_table, ship_package
 
@@ -130,3 +131,43 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
     rows = hard_negatives.integer_rows(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", label, 256)
     return hard_negatives.mine(rows, F.col("id") % 50 == 0, n_positives=5, n_negatives=3, low=50, high=95)
+
+
+TERMS_SQL = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+
+@register("op13_lexical", f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, {TERMS_SQL} AS terms FROM documents),
+d AS (SELECT r, doc_id, len(terms) AS n FROM t WHERE len(terms) > 0),
+c AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM d),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM t) GROUP BY ALL),
+q AS (SELECT item_id, term, count(*) AS k FROM
+  (SELECT item_id, unnest({TERMS_SQL}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM
+  (SELECT term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM q) GROUP BY term), c),
+s AS (SELECT item_id, doc_id, CAST(sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // l))))
+    AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN d USING (r), c GROUP BY item_id, r, doc_id),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+    doc_id, score FROM s WHERE score > 0)
+SELECT * FROM k WHERE rank <= 20""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build_index(read_table(spark, sf_dir, "documents"))
+    return lexical.search(index, read_table(spark, sf_dir, "benchmark"), k=20)
+
+
+@register("op11_line_dedup", """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, unnest(lines) AS line, unnest(generate_series(1, len(lines))) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10),
+o AS (SELECT r, count(*) AS n_lines, count(f.key) AS n_dropped,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '') AS kept
+  FROM k LEFT JOIN f USING (key) GROUP BY r)
+SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM o JOIN d USING (r)""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.drop_frequent_lines(docs, min_docs=10, min_chars=1)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
