@@ -53,7 +53,6 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", by=None)
     (per ``by`` group) with column ``auc``; NULL when a group has only
     one class.
     """
-    checkpoint_dir(df.sparkSession)
     keys = _by(by)
     y = qcol(label).cast("int")
     src = df.where(qcol(score).isNotNull() & ~F.isnan(qcol(score).cast("double")) & qcol(label).isNotNull())
@@ -61,6 +60,21 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", by=None)
     group = F.struct(*[qcol(k).alias(k) for k in keys], F.lit(0).alias("_all"))
     d = (src.groupBy(group.alias("_g"), qcol(score).cast("double").alias("_s"))
          .agg(F.count_if(y == 1).alias("_pos"), F.count_if(y == 0).alias("_neg")))
+    return _ranked_auc(d, keys)
+
+
+def auc_of_counts(counts: DataFrame, by, score: str = "score", pos: str = "pos", neg: str = "neg") -> DataFrame:
+    """``roc_auc`` of rows that are already counted: one row per (group, score) with its
+    numbers of positives and negatives."""
+    keys = _by(by)
+    group = F.struct(*[qcol(k).alias(k) for k in keys], F.lit(0).alias("_all"))
+    return _ranked_auc(counts.select(group.alias("_g"), qcol(score).cast("double").alias("_s"),
+                                     qcol(pos).alias("_pos"), qcol(neg).alias("_neg")), keys)
+
+
+def _ranked_auc(d: DataFrame, keys: list[str]) -> DataFrame:
+    """Steps 2 and 3 of ``roc_auc`` on (_g, _s, _pos, _neg)."""
+    checkpoint_dir(d.sparkSession)
     d = d.repartitionByRange("_g", "_s").withColumn("_b", F.spark_partition_id()).checkpoint(eager=True)
     totals = d.groupBy("_g", "_b").agg(F.sum("_neg").alias("_bn"))
     wb = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -39,11 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.exprs import conditional_value, qcol
+from riskloom.operators import ensemble as E
 from riskloom.operators import prep as PR
 from riskloom.operators.assemble import union_by_name
 from riskloom.operators.sampling import exact_sample, kfold, stratified_kfold
 from riskloom.operators.smote import smote
 from riskloom.session import checkpoint_dir
+from riskloom.sources.store import stored
 
 # The reference's tuned booster parameters, mapped as above.
 REF_LEARNING_RATE = 0.02
@@ -93,7 +95,7 @@ class GBTParams:
 @dataclass
 class CVResult:
     predictions: DataFrame          # key, label, fold, score, prediction
-    importances: DataFrame          # feature, importance, fold
+    importances: DataFrame          # feature, importance, splits, fold
     models: list = field(default_factory=list)
     preps: list = field(default_factory=list)
     history: DataFrame | None = None   # fold, split, iteration, loss, auc
@@ -104,47 +106,21 @@ def _assemble(df: DataFrame, features) -> DataFrame:
                            handleInvalid="keep").transform(df)
 
 
-def _importance_frame(spark, model, features, fold):
+def _importance_frame(spark, model, nodes, features, fold):
+    """Both kinds of importance: ``importance`` by gain (Spark's), ``splits`` by number of
+    splitting nodes (the reference's)."""
     imp = model.featureImportances.toArray().tolist()
-    return spark.createDataFrame([(f, float(v), fold) for f, v in zip(features, imp)],
+    gain = spark.createDataFrame([(f, float(v), fold) for f, v in zip(features, imp)],
                                  "feature string, importance double, fold int")
-
-
-#: trees whose predictions are held as columns at a time
-TREE_BLOCK = 20
+    return gain.join(E.split_counts(nodes, features), "feature").select("feature", "importance", "splits", "fold")
 
 
 def iteration_auc(model, assembled: DataFrame, label: str, every: int = 1) -> DataFrame:
-    """AUC after each boosting iteration (M8, the reference's eval metric).
-
-    The margin after i trees is the weighted sum of the first i trees'
-    predictions (probability is a monotone function of it, so the AUC is
-    the same). Trees go in blocks: a block adds its predictions to the
-    running margin, one distributed AUC is computed grouped by iteration,
-    and the margin is written to the shared folder before the next block,
-    so the plan does not grow with the number of trees. ``every`` keeps
-    every n-th iteration (and the last).
-    """
-    from riskloom.operators.metrics import roc_auc
-    checkpoint_dir(assembled.sparkSession)
-    margin = assembled.select(qcol(label), "features", F.lit(0.0).alias("_m"))
-    trees, weights, out = model.trees, model.treeWeights, []
-    for start in range(0, len(trees), TREE_BLOCK):
-        block = range(start, min(start + TREE_BLOCK, len(trees)))
-        cur, acc, margins = margin, F.col("_m"), []
-        for i in block:
-            t = trees[i].copy()
-            t.setPredictionCol(f"_tree{i}")
-            cur = t.transform(cur)
-            acc = acc + F.col(f"_tree{i}") * F.lit(float(weights[i]))
-            if (i + 1) % every == 0 or i + 1 == len(trees):
-                margins.append(F.struct(F.lit(i + 1).alias("iteration"), acc.alias("score")))
-        if margins:
-            long = cur.select(qcol(label), F.inline(F.array(*margins)))
-            out.append(roc_auc(long, label, "score", by="iteration"))
-        if block[-1] + 1 < len(trees):
-            margin = cur.select(qcol(label), "features", acc.alias("_m")).checkpoint(eager=True)
-    return union_by_name(out)
+    """AUC and loss after each boosting iteration (M8, the reference's eval metric) of one
+    model: iteration, loss, auc. The probability is a monotone function of the margin, so
+    the AUC is the same. ``every`` keeps every n-th iteration (and the last)."""
+    trees = E.Trees.of(E.written_nodes(assembled.sparkSession, model))
+    return E.iteration_metrics([({}, trees, assembled)], label, every)
 
 
 def _oversample(train: DataFrame, key: str, features, label: str, k: int, seed: int,
@@ -170,13 +146,17 @@ def cv_train(df: DataFrame, key: str, features, label: str = "TARGET", k: int =
              seed: int = REF_FOLD_SEED, variant: str = "plain", params: GBTParams | None = None,
              stratified: bool = False, fit_scope: str = "fold", pos_weight: float = REF_COST_FN,
              neg_weight: float = REF_COST_FP, smote_k: int = 5, draw_back: bool = True,
-             parallelism: int = 2, history: bool = False) -> CVResult:
+             parallelism: int = 2, history: bool = False, every: int = 1,
+             best_iteration: bool = False) -> CVResult:
     """K-fold training and out-of-fold scoring.
 
     ``variant``: 'plain' (as is), 'weighted' (row weight by label) or
     'smote' (minority oversampled inside each training fold).
     ``fit_scope``: 'fold' fits impute/scale on the training fold only;
     'all' fits them once on every row (the reference's order).
+    ``history`` evaluates every ``every``-th iteration on the training and
+    validation rows of all folds; ``best_iteration`` scores each fold with the
+    trees up to its best validation AUC (as the reference asks for), not all.
     The prepared table is checkpointed once to the shared checkpoint
     folder, so the five fits do not recompute the features and survive
     a lost executor.
@@ -223,23 +203,30 @@ def cv_train(df: DataFrame, key: str, features, label: str = "TARGET", k: int =
         scored = model.transform(_assemble(valid, fs))
         pred = scored.select(qcol(key), qcol(label), F.lit(fold).alias("fold"),
                              vector_to_array("probability")[1].alias("score"), F.col("prediction"))
-        hist = None
-        if history:
-            rows, aucs = [], []
-            for split, d in (("train", train), ("valid", valid)):
-                x = _assemble(d, fs)
-                for it, loss in enumerate(model.evaluateEachIteration(x)):
-                    rows.append((fold, it + 1, split, float(loss)))
-                aucs.append(iteration_auc(model, x, label).withColumn("fold", F.lit(fold))
-                            .withColumn("split", F.lit(split)))
-            losses = spark.createDataFrame(rows, "fold int, iteration int, split string, loss double")
-            hist = losses.join(union_by_name(aucs), ["fold", "split", "iteration"], "left")
-        return pred, _importance_frame(spark, model, fs, fold), model, pm, hist
+        nodes = E.written_nodes(spark, model)
+        parts = []
+        if history or best_iteration:
+            trees = E.Trees.of(nodes)
+            parts = [({"fold": fold, "split": split}, trees, _assemble(d, fs))
+                     for split, d in (("train", train), ("valid", valid)) if history or split == "valid"]
+        return pred, _importance_frame(spark, model, nodes, fs, fold), model, pm, parts
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         outs = list(pool.map(one, range(k)))
     preds = union_by_name([o[0] for o in outs])
     imps = union_by_name([o[1] for o in outs])
-    hists = [o[4] for o in outs if o[4] is not None]
-    return CVResult(preds, imps, [o[2] for o in outs], [o[3] for o in outs],
-                    union_by_name(hists) if hists else None)
+    parts = [p for o in outs for p in o[4]]
+    hist = None
+    if parts:
+        hist = stored(E.iteration_metrics(parts, label, every))
+    if best_iteration:
+        best = {r["fold"]: r["iteration"] for r in E.best_iterations(hist).collect()}
+        preds = union_by_name([_scored_at(trees, x, key, label, by["fold"], best.get(by["fold"]))
+                               for by, trees, x in parts if by["split"] == "valid"])
+    return CVResult(preds, imps, [o[2] for o in outs], [o[3] for o in outs], hist)
+
+
+def _scored_at(trees, rows: DataFrame, key: str, label: str, fold: int, iteration: int | None) -> DataFrame:
+    scored = E.scores_at(trees, rows, [key, label], iteration)
+    return scored.select(qcol(key), qcol(label), F.lit(fold).alias("fold"), "score",
+                         (F.col("score") > 0.5).cast("double").alias("prediction"))

@@ -6,18 +6,25 @@ kNN
 
 * ``'exact'`` compares every pair of distinct vectors: the work grows with
   the square of their number. Use it for classes of up to some 100 000.
+* ``'cells'`` puts the vectors into about sqrt(n) cells (``operators.cells``)
+  and compares each with the members of the ``probes`` cells nearest to
+  it, and of more while these hold no more than ``k`` vectors: about
+  ``probes * sqrt(n)`` candidates a point, in exact (distance, id) order.
+  The share of true neighbours among them depends on how the vectors
+  cluster; ``probes`` is the caller's, and recall can be measured against
+  ``'exact'``.
 * ``'lsh'`` compares only vectors that share a bucket in one of ``tables``
   hash tables; a bucket is the signs of ``bits`` dot products with fixed
   directions, which split the space around the origin. Neighbours are in
   exact (distance, id) order among those candidates; a point may have
   fewer than ``k``.
 
-Both walk the points of a bucket (one bucket holds all in exact mode) in
-tiles: points are dealt by a hash into blocks of about ``block_rows``, and
-a task compares one block with another, keeping the k best per point. So
-no task holds more than two blocks, however large a bucket is, and k rows
-per point and tile leave it; pairs are never rows. A vector is sent to as
-many tiles as its bucket has blocks.
+All walk the points of a bucket or cell (one bucket holds all in exact
+mode) in tiles: points are dealt by a hash into blocks of about
+``block_rows``, and a task compares one block with another, keeping the k
+best per point. So no task holds more than two blocks, however large a
+bucket is, and k rows per point and tile leave it; pairs are never rows. A
+vector is sent to as many tiles as its bucket has blocks.
 
 Repeated vectors are folded first: the search runs over distinct vectors,
 each carrying its k+1 smallest ids (a row_number limit that Spark applies
@@ -48,6 +55,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.exprs import portable_hash, qcol
+from riskloom.operators import cells as C
 from riskloom.operators.rank import global_position
 from riskloom.session import checkpoint_dir
 
@@ -55,7 +63,7 @@ HASH_RANGE = 2 ** 32
 BLOCK_ROWS = 2048
 #: a parent's copies are made in at most this many pieces, dealt over the tasks
 PIECES = 16
-METHODS = ("exact", "lsh")
+METHODS = ("exact", "lsh", "cells")
 
 
 def directions(tables: int, bits: int, dim: int, seed: int) -> np.ndarray:
@@ -88,9 +96,11 @@ def candidate_pairs(buckets: DataFrame) -> int:
 
 
 def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5, method: str = "exact", tables: int = 8,
-        bits: int = 8, seed: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
+        bits: int = 8, seed: int = 7, block_rows: int = BLOCK_ROWS, cells: int | None = None, probes: int = 25,
+        steps: int = 2) -> DataFrame:
     """k nearest neighbours within ``df``: (id, nbr_id, rank, dist). All vectors have
-    the same length; rows with a missing id or vector are left out."""
+    the same length; rows with a missing id or vector are left out. ``tables`` and
+    ``bits`` belong to 'lsh', ``cells``, ``probes`` and ``steps`` to 'cells'."""
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
     checkpoint_dir(df.sparkSession)
@@ -98,15 +108,17 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5, method: str = "exa
         .where(F.col("v").isNotNull() & F.col("id").isNotNull())
     pts = pts.withColumn("h", F.xxhash64("v"))
     uniq = distinct_vectors(pts, k + 1).checkpoint(eager=True)
-    stats = uniq.agg(F.max(F.size("v")).alias("d"), F.min(F.size("v")).alias("d0")).first()
+    stats = uniq.agg(F.max(F.size("v")).alias("d"), F.min(F.size("v")).alias("d0"), F.count(F.lit(1)).alias("n")).first()
     if stats["d"] != stats["d0"]:
         raise ValueError("vectors differ in length")
     search = uniq.select(F.col("uid").alias("id"), "v")
-    if method == "lsh":
-        search = hash_buckets(search, tables, bits, stats["d"] or 0, seed)
+    if method == "cells" and stats["n"]:
+        asking, held = searched_cells(search, stats["n"], stats["d"], k, cells, probes, steps, seed)
+        near = _tile_topk(_bucketed(asking), _bucketed(held), k, block_rows)
     else:
-        search = search.withColumn("t", F.lit(0)).withColumn("bucket", F.lit(0))
-    near = _tile_topk(search, k, block_rows)
+        search = hash_buckets(search, tables, bits, stats["d"] or 0, seed) if method == "lsh" \
+            else search.withColumn("t", F.lit(0)).withColumn("bucket", F.lit(0))
+        near = _tile_topk(search, search, k, block_rows)
     pair = lambda d, i: F.struct(d.alias("dist"), i.alias("nbr_id"))
     far = (near.join(uniq.select(F.col("uid").alias("nbr_id"), F.slice("ids", 1, k).alias("nids")), "nbr_id")
            .groupBy(F.col("id").alias("uid"))
@@ -122,6 +134,19 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5, method: str = "exa
         F.col("c.dist").alias("dist"))
 
 
+def searched_cells(points: DataFrame, n: int, dim: int, k: int, cells: int | None, probes: int, steps: int,
+                   seed: int) -> tuple[DataFrame, DataFrame]:
+    """(id, v, cell) of the cells that each point's search visits, and of its own cell."""
+    centres = C.fit_cells(points, n, dim, cells, steps, seed)
+    held = C.own_cells(points, centres).checkpoint(eager=True)
+    sizes = C.cell_sizes(held, len(centres))
+    return C.probed_cells(points, centres, sizes, probes, k + 1), held
+
+
+def _bucketed(points: DataFrame) -> DataFrame:
+    return points.select("id", "v", F.lit(0).alias("t"), F.col("cell").alias("bucket"))
+
+
 def distinct_vectors(pts: DataFrame, n_ids: int) -> DataFrame:
     """(h, v, uid, ids): each distinct vector with its ``n_ids`` smallest ids.
 
@@ -135,18 +160,30 @@ def distinct_vectors(pts: DataFrame, n_ids: int) -> DataFrame:
             .groupBy("h", "v").agg(F.min("id").alias("uid"), F.array_sort(F.collect_list("id")).alias("ids")))
 
 
-def _tile_topk(points: DataFrame, k: int, block_rows: int) -> DataFrame:
-    """The k nearest (id, nbr_id, dist) of each point among those that share a bucket.
-    ``points`` is (id, v, t, bucket) with distinct vectors."""
-    id_type = dict(points.dtypes)["id"]
-    sizes = (points.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("s")).where("s > 1")
-             .select("t", "bucket", F.ceil(F.col("s") / block_rows).cast("int").alias("blocks")))
-    dealt = points.join(sizes, ["t", "bucket"]).withColumn(
-        "block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = dealt.select("t", "bucket", F.col("block").alias("i"), F.explode(every).alias("j"), "id", "v")
-    right = dealt.select(F.col("t").alias("t2"), F.col("bucket").alias("bucket2"), F.explode(every).alias("i2"),
-                         F.col("block").alias("j2"), F.col("id").alias("id2"), F.col("v").alias("v2"))
+def _tile_topk(asking: DataFrame, held: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """The k nearest (id, nbr_id, dist) of each asking point among those held in the same
+    bucket. Both are (id, v, t, bucket) with distinct vectors in a bucket."""
+    id_type = dict(asking.dtypes)["id"]
+
+    def blocks(points, name):
+        return (points.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("s"))
+                .select("t", "bucket", F.ceil(F.col("s") / block_rows).cast("int").alias(name), "s"))
+
+    sizes = blocks(asking, "asking_blocks")
+    if asking is held:  # a point alone in its bucket meets nobody
+        sizes = sizes.where("s > 1").withColumn("held_blocks", F.col("asking_blocks"))
+    else:
+        sizes = sizes.drop("s").join(blocks(held, "held_blocks").drop("s"), ["t", "bucket"])
+
+    def dealt(points, own, other):
+        block = F.pmod(F.xxhash64("id", F.lit("block")), F.col(own)).cast("int")
+        return points.join(sizes, ["t", "bucket"]).select(
+            "t", "bucket", block.alias("own"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other"), "id", "v")
+
+    left = dealt(asking, "asking_blocks", "held_blocks").withColumnsRenamed({"own": "i", "other": "j"})
+    right = dealt(held, "held_blocks", "asking_blocks").select(
+        F.col("t").alias("t2"), F.col("bucket").alias("bucket2"), F.col("other").alias("i2"), F.col("own").alias("j2"),
+        F.col("id").alias("id2"), F.col("v").alias("v2"))
 
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
