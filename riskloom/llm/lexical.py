@@ -6,7 +6,7 @@ out as a K2-treap: rows are terms, the most frequent first, columns are
 documents by length and id, and a non-empty cell holds the impact of the
 term in the document. Each quadtree cell stores four bits (which quarters
 are not empty) and the largest impact below it, as the difference from its
-parent's; empty quarters take no space. Impacts need only the number of
+parent's; empty quarters take no space, and both are stored compressed. Impacts need only the number of
 documents and of terms, so these are counted first; a term's weight depends
 on its document frequency and is applied by the search.
 
@@ -54,7 +54,7 @@ NO_ID = (1 << 63) - 1
 #: bytes of a term: digits, ASCII letters, and everything beyond ASCII
 IS_TERM = np.zeros(256, bool)
 IS_TERM[48:58] = IS_TERM[65:91] = IS_TERM[97:123] = IS_TERM[128:] = True
-POP = np.array([bin(i).count("1") for i in range(16)], np.int64)
+POP = np.array([bin(i).count("1") for i in range(16)], np.int32)
 BELOW = np.array([0, 1, 3, 7], np.uint8)
 
 
@@ -124,7 +124,7 @@ def interleave(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
 
 def treap(paths: np.ndarray, impacts: np.ndarray, height: int):
     """(sizes, cells, maxima) of the sorted, distinct paths, the levels from the root down."""
-    levels, cells = [impacts], []
+    levels, cells = [impacts.astype(np.int32)], []
     for _ in range(height):
         parents = paths >> U64(2)
         first = np.flatnonzero(np.concatenate([[True], parents[1:] != parents[:-1]]))
@@ -133,8 +133,15 @@ def treap(paths: np.ndarray, impacts: np.ndarray, height: int):
         paths = parents[first]
     levels, cells = levels[::-1], cells[::-1]
     gaps = [levels[0]] + [np.repeat(up, POP[c]) - own for up, c, own in zip(levels, cells, levels[1:])]
-    return (np.array([len(x) for x in levels], np.int64), np.concatenate([*cells, np.zeros(0, np.uint8)]),
-            np.concatenate(gaps).astype(np.uint32))
+    return np.array([len(x) for x in levels], np.int64), np.concatenate(cells), np.concatenate(gaps)
+
+
+def packed(a: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(a).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data, n: int, dtype) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, n * np.dtype(dtype).itemsize, codec="zstd"), dtype)
 
 
 class Shard:
@@ -145,15 +152,17 @@ class Shard:
         self.terms, self.rows = np.frombuffer(terms, U64), np.frombuffer(rows, np.int32).astype(np.int64)
         sizes = np.frombuffer(sizes, np.int64)
         self.height = len(sizes) - 1
-        inner = np.frombuffer(cells, np.uint8)
+        n_inner, n_cells = int(sizes[:-1].sum()), int(sizes.sum())
+        inner = unpacked(cells, n_inner, np.uint8)
         self.cells = np.concatenate([inner, np.zeros(sizes[-1], np.uint8)])
-        self.first = sizes[0] + np.concatenate([[0], np.cumsum(POP[inner])])  # of a cell's quarters
-        self.first = np.concatenate([self.first[:-1], np.zeros(sizes[-1], np.int64)])
-        gaps, at = np.frombuffer(maxima, np.uint32).astype(np.int64), 0
-        self.maxima = gaps.copy()
-        for size, below in zip(sizes, sizes[1:]):
-            self.maxima[at + size:at + size + below] = np.repeat(
-                self.maxima[at:at + size], POP[inner[at:at + size]]) - gaps[at + size:at + size + below]
+        quarters = POP[inner]
+        self.first = np.zeros(n_cells, np.int32)  # of a cell's quarters
+        np.cumsum(quarters[:-1], out=self.first[1:n_inner])
+        self.first[:n_inner] += sizes[0].astype(np.int32)
+        self.maxima, at = unpacked(maxima, n_cells, np.int32).copy(), 0
+        for size, below in zip(sizes.tolist(), sizes[1:].tolist()):
+            own = self.maxima[at + size:at + size + below]
+            np.subtract(np.repeat(self.maxima[at:at + size], quarters[at:at + size]), own, out=own)
             at += size
         # smallest id of each range of documents, by level
         self.width = max(0, int(len(self.docs) - 1).bit_length())
@@ -253,8 +262,8 @@ def build_index(docs: DataFrame, settings: Settings = Settings()) -> Index:
         sort = np.argsort(paths)
         sizes, cells, maxima = treap(paths[sort], impact[sort], height)
         return {"docs": ids[order].tobytes(), "terms": terms.tobytes(), "rows": row.astype(np.int32).tobytes(),
-                "df": df.astype(np.int64).tobytes(), "sizes": sizes.tobytes(), "cells": cells.tobytes(),
-                "maxima": maxima.tobytes()}
+                "df": df.astype(np.int32).tobytes(), "sizes": sizes.tobytes(), "cells": packed(cells),
+                "maxima": packed(maxima)}
 
     def build(batches) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(c.split()[0], pa.binary()) for c in INDEX.split(", ")])
@@ -284,7 +293,7 @@ def _frequencies(index: Index, wanted: np.ndarray) -> dict[int, int]:
             terms_at, df_at = batch.schema.get_field_index("terms"), batch.schema.get_field_index("df")
             for i in range(batch.num_rows):
                 terms = np.frombuffer(batch.column(terms_at)[i].as_buffer(), U64)
-                df = np.frombuffer(batch.column(df_at)[i].as_buffer(), np.int64)
+                df = np.frombuffer(batch.column(df_at)[i].as_buffer(), np.int32).astype(np.int64)
                 at = np.minimum(np.searchsorted(terms, wanted), len(terms) - 1)
                 hit = terms[at] == wanted
                 yield pa.RecordBatch.from_pydict({"term": wanted[hit].view(np.int64), "df": df[at[hit]]})
