@@ -10,7 +10,10 @@ missing value:
   sample variance (one value -> NULL); inf mixing to NaN -> NULL.
 * ``sum`` of an all-missing group is 0, not NULL.
 * ``size`` counts rows (missing included); ``nunique`` counts distinct
-  non-missing values (0 for all-missing).
+  non-missing values (0 for all-missing). Spark plans a distinct count as
+  an exchange of its own; a column of small whole numbers whose span is
+  given (``spans``, see ``integer_spans``) is counted in the same aggregate
+  instead: a bit a value, or-ed before and after the one exchange.
 
 Subset aggregates (the reference filters rows, aggregates, and left
 joins the result back) are fused into the same pass: every function
@@ -40,7 +43,45 @@ def agg_name(prefix: str, col: str, fn: str) -> str:
     return f"{prefix}{col}_{fn.upper()}"
 
 
-def agg_expr(col: str, fn: str, dtype, cond: Column | None = None) -> Column:
+#: a span may take this many 64-bit words of a group's state
+MAX_WORDS = 8
+
+
+def integer_spans(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[int, int]]:
+    """{column: (least, largest)} of those columns whose values are all whole numbers and
+    lie close enough together to be counted by bits; one job for all."""
+    if not cols:
+        return {}
+    aggs = []
+    for i, c in enumerate(cols):
+        v = qcol(c).cast("double")
+        whole = F.count_if(v.isNotNull() & ((v != F.floor(v)) | F.isnan(v) | (F.abs(v) > 2.0 ** 53))) == 0
+        aggs += [F.min(v).alias(f"a{i}"), F.max(v).alias(f"b{i}"), whole.alias(f"w{i}")]
+    row = df.agg(*aggs).first()
+    out = {}
+    for i, c in enumerate(cols):
+        low, high = row[f"a{i}"], row[f"b{i}"]
+        if row[f"w{i}"] and (low is None or high - low < 64 * MAX_WORDS):
+            out[c] = (int(low or 0), int(high or 0))
+    return out
+
+
+def nunique_bits(v: Column, span: tuple[int, int]) -> Column:
+    """Distinct non-missing values of ``v``, whole numbers in ``span``; another value raises."""
+    low, high = span
+    at = (v - F.lit(low)).cast("long")
+    outside = v.isNotNull() & ~(v.between(low, high) & (v == F.floor(v)))
+    words = []
+    for first in range(0, high - low + 1, 64):
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at - F.lit(first)).cast("int"))
+        word = F.when(at.between(first, first + 63), bit)
+        if first == 0:
+            word = F.when(outside, F.raise_error(F.lit(f"a value lies outside {span}")).cast("long")).otherwise(word)
+        words.append(F.coalesce(F.bit_count(F.bit_or(word)), F.lit(0)).cast("long"))
+    return reduce(lambda a, b: a + b, words)
+
+
+def agg_expr(col: str, fn: str, dtype, cond: Column | None = None, span: tuple[int, int] | None = None) -> Column:
     """One aggregate of ``col`` with reference semantics (unaliased)."""
     c = qcol(col)
     v = c if cond is None else F.when(cond, c)
@@ -60,21 +101,22 @@ def agg_expr(col: str, fn: str, dtype, cond: Column | None = None) -> Column:
     if fn == "size":
         return F.count(F.lit(1)) if cond is None else F.when(has, F.count_if(cond))
     if fn == "nunique":
-        d = F.count_distinct(v)
+        d = F.count_distinct(v) if span is None else nunique_bits(v, span)
         return d if has is None else F.when(has, d)
     raise ValueError(f"unsupported aggregate {fn!r}; use one of {SUPPORTED}")
 
 
 def compile_spec(schema, spec: Mapping[str, Sequence[str]], prefix: str = "",
-                 cond: Column | None = None) -> list[Column]:
-    """Spec dict -> list of aliased aggregate columns, in spec order."""
+                 cond: Column | None = None, spans: Mapping[str, tuple[int, int]] | None = None) -> list[Column]:
+    """Spec dict -> list of aliased aggregate columns, in spec order. ``spans``: the spans
+    of the columns whose distinct values are counted by bits."""
     types = {f.name: f.dataType for f in schema.fields}
     out = []
     for col, fns in spec.items():
         if col not in types:
             raise KeyError(f"aggregation spec names missing column {col!r}")
         for fn in fns:
-            out.append(agg_expr(col, fn, types[col], cond).alias(agg_name(prefix, col, fn)))
+            out.append(agg_expr(col, fn, types[col], cond, (spans or {}).get(col)).alias(agg_name(prefix, col, fn)))
     return out
 
 

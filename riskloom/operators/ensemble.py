@@ -93,15 +93,14 @@ class Trees:
         weight = f.drop_duplicates("tree").sort_values("tree")["weight"].to_numpy(float)
         trees = cls(filled("feature", np.int32, 0), filled("threshold", float, 0.0), filled("left", np.int32, own),
                     filled("right", np.int32, own), filled("prediction", float, 0.0), weight, 0)
-        reached, depth = np.zeros((n_trees, 1), np.int64), 0
-        rows = np.arange(n_trees)[:, None]
-        while True:  # levels until only leaves are reached
-            down = np.concatenate([trees.left[rows, reached], trees.right[rows, reached]], axis=1)
-            down = np.unique(down, axis=1) if n_trees == 1 else down
-            if np.array_equal(np.sort(down, 1), np.sort(np.concatenate([reached, reached], 1), 1)):
-                break
-            reached, depth = down, depth + 1
-        trees.depth = depth
+        inner = trees.left != own
+        level = np.zeros((n_trees, width), bool)
+        level[:, 0] = True
+        while (level & inner).any():  # the nodes of the next level, until all are leaves
+            tree, node = np.nonzero(level & inner)
+            level = np.zeros((n_trees, width), bool)
+            level[tree, trees.left[tree, node]] = level[tree, trees.right[tree, node]] = True
+            trees.depth += 1
         return trees
 
     def margins(self, x: np.ndarray) -> np.ndarray:

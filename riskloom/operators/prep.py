@@ -15,9 +15,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from riskloom.functions.exprs import qcol, replace_inf
+from riskloom.functions.exprs import INF, NEG_INF, double_sql, is_floating, quoted
 
 DEFAULT_EXCLUDE = ("TARGET", "SK_ID_CURR", "SK_ID_BUREAU", "SK_ID_PREV", "index")
 
@@ -31,16 +30,19 @@ class PrepModel:
     hi: dict[str, float]
     dropped: list[str] = field(default_factory=list)
 
-    def impute_exprs(self):
-        return [F.coalesce(qcol(c).cast("double"), F.lit(self.mean[c])).alias(c)
-                for c in self.features]
+    def _imputed(self, c: str) -> str:
+        return f"coalesce(CAST({quoted(c)} AS DOUBLE), {double_sql(self.mean[c])})"
 
-    def scale_exprs(self, impute: bool = True):
+    def impute_exprs(self) -> list[str]:
+        return [f"{self._imputed(c)} AS {quoted(c)}" for c in self.features]
+
+    def scale_exprs(self, impute: bool = True) -> list[str]:
         out = []
         for c in self.features:
-            x = F.coalesce(qcol(c).cast("double"), F.lit(self.mean[c])) if impute else qcol(c)
+            x = self._imputed(c) if impute else quoted(c)
             rng = self.hi[c] - self.lo[c]
-            out.append(((x - F.lit(self.lo[c])) / F.lit(rng) if rng != 0 else x * 0.0).alias(c))
+            scaled = f"({x} - {double_sql(self.lo[c])}) / {double_sql(rng)}" if rng != 0 else f"{x} * 0.0D"
+            out.append(f"{scaled} AS {quoted(c)}")
         return out
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
@@ -59,21 +61,25 @@ def prepare_data(df: DataFrame, label: str = "TARGET", exclude: Sequence[str] =
     """Replace +-inf by +-``big`` in every floating column and split the
     feature list from the label/ids (``prepare_data``, X3 + P2 + P13).
     Returns the same DataFrame (ids and label kept) and the feature names."""
-    from riskloom.functions.exprs import is_floating
     ex = set(exclude) | {label}
     feats = [f.name for f in df.schema.fields if f.name not in ex]
-    out = df.withColumns({f.name: replace_inf(f.name, big) for f in df.schema.fields
-                          if is_floating(f.dataType) and f.name in set(feats)})
-    return out, feats
+    kept = set(feats)
+
+    def bounded(f):
+        c = quoted(f.name)
+        if f.name not in kept or not is_floating(f.dataType):
+            return c
+        return (f"CASE WHEN {c} = {double_sql(INF)} THEN {double_sql(big)} "
+                f"WHEN {c} = {double_sql(NEG_INF)} THEN {double_sql(-big)} ELSE {c} END AS {c}")
+
+    return df.selectExpr(*[bounded(f) for f in df.schema.fields]), feats
 
 
 def fit_prep(df: DataFrame, features: Sequence[str]) -> PrepModel:
     """Fit mean imputer and min-max scaler in one aggregate."""
-    exprs = []
-    for i, c in enumerate(features):
-        x = qcol(c).cast("double")
-        exprs += [F.avg(x).alias(f"a{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}")]
-    row = df.agg(*exprs).collect()[0] if exprs else None
+    stats = [("avg", "a"), ("min", "l"), ("max", "h")]
+    exprs = [f"{fn}(CAST({quoted(c)} AS DOUBLE)) AS {short}{i}" for i, c in enumerate(features) for fn, short in stats]
+    row = df.selectExpr(*exprs).collect()[0] if exprs else None
     keep, dropped, mean, lo, hi = [], [], {}, {}, {}
     for i, c in enumerate(features):
         if row[f"a{i}"] is None:
@@ -85,9 +91,9 @@ def fit_prep(df: DataFrame, features: Sequence[str]) -> PrepModel:
 
 
 def mean_impute(df: DataFrame, model: PrepModel, keep: Sequence[str] = ()) -> DataFrame:
-    return df.select(*[qcol(c) for c in keep], *model.impute_exprs())
+    return df.selectExpr(*[quoted(c) for c in keep], *model.impute_exprs())
 
 
 def min_max_scale(df: DataFrame, model: PrepModel, keep: Sequence[str] = (),
                   impute: bool = True) -> DataFrame:
-    return df.select(*[qcol(c) for c in keep], *model.scale_exprs(impute))
+    return df.selectExpr(*[quoted(c) for c in keep], *model.scale_exprs(impute))

@@ -11,13 +11,13 @@ from __future__ import annotations
 
 import contextvars
 import functools
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DoubleType, FloatType
 
-from riskloom.functions.exprs import qcol
+from riskloom.functions.exprs import double_sql, quoted
 from riskloom.plans import oracle as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,23 +53,20 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def stable_round(c: Column) -> Column:
-    """Snap to the magnitude band's grid (see ``oracle.rnd``)."""
-    import math
+def stable_round(c: str) -> str:
+    """SQL text that snaps a column to the magnitude band's grid (see ``oracle.rnd``)."""
+    pi, d = double_sql(math.pi), O.DIGITS
     # floor() is a bigint already; no narrowing cast, so no per-column
     # overflow-check code (wide outputs stay within a 64 KB method)
-    band = F.least(F.lit(O.E_MAX).cast("bigint"), F.greatest(F.lit(O.E_MIN).cast("bigint"),
-                   F.floor(F.log10(F.abs(c) / F.lit(math.pi)))))
-    pi = F.lit(math.pi)
-    d = O.DIGITS
-    step = F.when(band >= d, pi * F.pow(F.lit(10.0), band - d)) \
-        .otherwise(pi / F.pow(F.lit(10.0), F.lit(d) - band))
-    return F.when((c == 0) | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), c) \
-        .otherwise(F.rint(c / step) * step)
+    band = f"least({O.E_MAX}L, greatest({O.E_MIN}L, floor(log10(abs({c}) / {pi}))))"
+    step = (f"CASE WHEN {band} >= {d} THEN {pi} * pow(10.0D, {band} - {d}) "
+            f"ELSE {pi} / pow(10.0D, {d} - {band}) END")
+    return (f"CASE WHEN {c} = 0 OR isnan({c}) OR abs({c}) = {double_sql(math.inf)} THEN {c} "
+            f"ELSE rint({c} / ({step})) * ({step}) END")
 
 
 def finalize(df: DataFrame) -> DataFrame:
     """Round every floating column (same bands as the SQL side)."""
-    return df.select(*[stable_round(qcol(f.name)).alias(f.name)
-                       if isinstance(f.dataType, (DoubleType, FloatType)) else qcol(f.name)
-                       for f in df.schema.fields])
+    return df.selectExpr(*[f"{stable_round(quoted(f.name))} AS {quoted(f.name)}"
+                           if isinstance(f.dataType, (DoubleType, FloatType)) else quoted(f.name)
+                           for f in df.schema.fields])

@@ -16,6 +16,7 @@ it), then aggregate per applicant.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +24,10 @@ from pyspark.sql import functions as F
 from riskloom.functions.exprs import (clamp_zero, ieee_div, not_equal_keep_null, qcol,
                                       sentinel_null)
 from riskloom.operators.aggspec import (agg_name, aggregate, aggregate_spec, all_columns_spec,
-                                        compile_spec, flag_agg, flag_conditions, share_exprs)
+                                        compile_spec, flag_agg, flag_conditions, integer_spans, share_exprs)
 from riskloom.operators.assemble import left_join_chain, sanitize_names, semi_join, union_by_name
 from riskloom.operators.encode import discover_domains, factorize, one_hot, string_columns
+from riskloom.sources.store import stored_buckets
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for the same features:
@@ -250,16 +252,21 @@ def installments_payments(ins: DataFrame, *, num_rows: int | None = None,
                           cols: Mapping[str, str] = INS_COLUMNS,
                           aggs: Mapping[str, Sequence[str]] = INS_AGGS,
                           prefix: str = "INSTAL_", count_name: str = "INSTAL_COUNT",
-                          categories: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+                          categories: Mapping[str, Sequence[str]] | None = None,
+                          spans: Mapping[str, tuple[int, int]] | None = None) -> DataFrame:
     """Payment ratio / difference, clamped day gaps, numeric spec
-    (with ``nunique``), category shares and a row count per applicant."""
+    (with ``nunique``), category shares and a row count per applicant.
+    ``spans`` of the counted columns; without them one job finds those of
+    small whole numbers, so that the roll-up has one exchange."""
     ins = installment_columns(_cap(ins, num_rows), cols)
     cats = string_columns(ins)
     doms = dict(categories or {})
     need = [c for c in cats if c not in doms]
     if need:
         doms.update(discover_domains(ins, need, MAX_ONE_HOT))
-    exprs = compile_spec(ins.schema, aggs, prefix)
+    if spans is None:
+        spans = integer_spans(ins, [c for c, fns in aggs.items() if "nunique" in fns])
+    exprs = compile_spec(ins.schema, aggs, prefix, spans=spans)
     for c in cats:
         exprs += share_exprs(c, doms[c], prefix, nan_as_category)
     exprs.append(F.count(F.lit(1)).alias(count_name))
@@ -290,13 +297,24 @@ def credit_card_balance(cc: DataFrame, *, num_rows: int | None = None,
 
 
 def feature_table(app: DataFrame, parts: Sequence[DataFrame], key: str = "SK_ID_CURR",
-                  sanitize: bool = True) -> DataFrame:
+                  sanitize: bool = True, buckets: int | None = None) -> DataFrame:
     """C7 (``main``): left-join every per-applicant roll-up onto the
-    applicant table, then clean the column names."""
+    applicant table, then clean the column names. With ``buckets`` the
+    applicants and roll-ups are first written as tables bucketed and sorted
+    by the key, so they are computed once and the joins exchange nothing."""
+    if buckets:
+        app, *parts = bucketed_tables([app.repartition(buckets, qcol(key)), *parts], key, buckets)
     df = left_join_chain(app, parts, key)
     return sanitize_names(df) if sanitize else df
 
 
+def bucketed_tables(tables: Sequence[DataFrame], key: str, buckets: int) -> list[DataFrame]:
+    """Each table bucketed and sorted by the key; the writes run side by side. A roll-up
+    whose aggregate deals the key into as many partitions is written as it lies."""
+    with ThreadPoolExecutor(max_workers=len(tables)) as pool:
+        return list(pool.map(lambda t: stored_buckets(t, [key], buckets), tables))
+
+
 def client_extract(train: DataFrame, test: DataFrame | None, features: DataFrame,
                    cols: Sequence[str], key: str = "SK_ID_CURR") -> DataFrame:
     """Named client columns of every applicant present in the

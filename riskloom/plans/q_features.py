@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskloom.operators.aggspec import integer_spans
 from riskloom.plans import credit as C
 from riskloom.plans import driver as D
 from riskloom.plans import oracle as O
@@ -158,7 +159,9 @@ def pos_features(spark, sf):
 
 
 def ins_features(spark, sf):
-    return C.installments_payments(D.installments(spark, sf))
+    # the payments' versions are line numbers, whose span one column of one table gives
+    lines = D.read(spark, sf, "lineitem").select(F.col("l_linenumber").alias("NUM_INSTALMENT_VERSION"))
+    return C.installments_payments(D.installments(spark, sf), spans=integer_spans(lines, lines.columns))
 
 
 def cc_features(spark, sf):
@@ -195,7 +198,7 @@ def _feature_table_sql():
     return O.final_select(f"WITH {ctes}\nSELECT {', '.join(sel)} FROM app {joins}", cols)
 
 
-def feature_table(spark, sf):
+def feature_table(spark, sf, buckets=None):
     """C7 on the driver tables. The categories of every source come from
     one job (orders and events serve two roles each but are scanned once);
     the applicants' codes from a code table."""
@@ -215,12 +218,18 @@ def feature_table(spark, sf):
         ins_features(spark, sf),
         C.credit_card_balance(ev, categories=doms["events"]),
     ]
-    return C.feature_table(app, parts)
+    return C.feature_table(app, parts, buckets=buckets)
 
 
 register("feature_table", _feature_table_sql())(lambda spark, sf: finalize(feature_table(spark, sf)))
 
 
+@register("feature_table_bucketed", _feature_table_sql())
+def feature_table_bucketed(spark, sf):
+    """C7 with applicants and roll-ups written once as bucketed tables, joined without an exchange."""
+    return finalize(feature_table(spark, sf, buckets=int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 # -- single operators ---------------------------------------------------------
 
 def _subset_sql():

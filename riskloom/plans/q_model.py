@@ -4,6 +4,10 @@ tree learning is not SQL), plus the CSV and metric-store round trips
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from riskloom.functions.exprs import portable_hash_sql
@@ -28,7 +32,9 @@ LEAK = ["c_acctbal", "ACCTBAL_PER_NATION"]
 
 
 def _matrix(spark, sf):
-    ft = feature_table(spark, sf).where(F.col("TARGET").isNotNull())
+    """The labelled rows of the feature table, which all model queries read as one stored table."""
+    inputs = [f"{sf}/{t}.parquet" for t in ("customer", "orders", "lineitem", "events")]
+    ft = store.stored_once(spark, "features", inputs, lambda: feature_table(spark, sf)).where(F.col("TARGET").isNotNull())
     df, feats = model_matrix(ft, fraction=None, exclude=["TARGET", "SK_ID_CURR"] + LEAK)
     return df, feats
 
@@ -136,6 +142,43 @@ def importance_check(spark, sf):
         (F.lit(len(feats)) - n).cast("int").alias("missing"))
 
 
+@register("split_count_check", "SELECT CAST(i AS INTEGER) AS fold, TRUE AS equal, 0 AS missing FROM generate_series(0, 4) g(i)")
+def split_count_check(spark, sf):
+    """Per fold: the splits counted in the node table, a feature's number each, are those
+    of the printed trees (M5, the reference's kind of importance)."""
+    df, feats = _matrix(spark, sf)
+    res = cv_train(df, "SK_ID_CURR", feats, "TARGET", params=CHECK_PARAMS, parallelism=5)
+    printed = [(fold, pm.features[int(i)], n) for fold, (m, pm) in enumerate(zip(res.models, res.preps))
+               for i, n in Counter(re.findall(r"If \(feature (\d+) ", m.toDebugString)).items()]
+    other = spark.createDataFrame(printed, "fold int, feature string, n long")
+    both = res.importances.join(other, ["fold", "feature"], "full")
+    return both.groupBy("fold").agg(
+        F.every(F.coalesce(F.col("splits") == F.coalesce("n", F.lit(0)), F.lit(False))).alias("equal"),
+        (F.lit(len(feats)) - F.count("splits")).cast("int").alias("missing"))
+
+
+@register("early_stop_check", "SELECT CAST(i AS INTEGER) AS fold, TRUE AS stopped, TRUE AS evaluated FROM generate_series(0, 4) g(i)")
+def early_stop_check(spark, sf):
+    """Per fold: boosting ends before its last tree once the validation rows gain too little,
+    and every tree that was kept has its loss and AUC (M8)."""
+    params = replace(CHECK_PARAMS, max_iter=12, validation_tol=0.5)
+    res = _cv(spark, sf, "plain", params, history=True)
+    trees = spark.createDataFrame([(f, m.getNumTrees) for f, m in enumerate(res.models)], "fold int, trees int")
+    seen = res.history.where("split = 'valid' AND loss IS NOT NULL").groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    return trees.join(seen, "fold", "left").select("fold", (F.col("trees") < 12).alias("stopped"),
+                                                   (F.col("trees") == F.col("n")).alias("evaluated"))
+
+
+@register("best_iteration_check", "SELECT CAST(i AS INTEGER) AS fold, TRUE AS equal FROM generate_series(0, 4) g(i)")
+def best_iteration_check(spark, sf):
+    """Per fold: out-of-fold scores of the best iteration have that iteration's AUC, the
+    highest of all (the reference scores with its best iteration)."""
+    res = _cv(spark, sf, "plain", CHECK_PARAMS, history=True, best_iteration=True)
+    best = res.history.where("split = 'valid'").groupBy("fold").agg(F.max("auc").alias("best"))
+    return M.roc_auc(res.predictions, "TARGET", "score", by="fold").join(best, "fold").select(
+        "fold", (F.abs(F.col("auc") - F.col("best")) < 1e-12).alias("equal"))
+
+
 @register("history_check", """SELECT CAST(f AS INTEGER) AS fold, split, CAST(i AS INTEGER) AS iteration, TRUE AS finite
 FROM generate_series(0, 4) a(f), (VALUES ('train'), ('valid')) s(split), generate_series(1, 3) b(i)""")
 def history_check(spark, sf):

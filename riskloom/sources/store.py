@@ -39,6 +39,33 @@ def stored_buckets(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     return df.sparkSession.table(name)
 
 
+#: (application, name, state of the files) -> folder, see ``stored_once``
+_STORED: dict[tuple, str] = {}
+
+
+def files_state(spark: SparkSession, paths: list[str]) -> tuple:
+    """Path, size and time of change of every file under ``paths``."""
+    jvm, conf, out = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        found = path.getFileSystem(conf).listFiles(path, True)
+        while found.hasNext():
+            f = found.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def stored_once(spark: SparkSession, name: str, paths: list[str], build) -> DataFrame:
+    """``build()`` as a table in the shared folder, for all that need it in this
+    application; made anew when a file under ``paths``, its inputs, has changed."""
+    key = (spark.sparkContext.applicationId, name, files_state(spark, paths))
+    if key not in _STORED:
+        path = scratch_path(spark, name)
+        build().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def save_model(model, path: str) -> None:
     """Spark ML model or pipeline model, overwriting."""
     model.write().overwrite().save(path)
