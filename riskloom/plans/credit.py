@@ -27,6 +27,7 @@ from riskloom.operators.aggspec import (agg_name, aggregate, aggregate_spec, all
                                         compile_spec, flag_agg, flag_conditions, integer_spans, share_exprs)
 from riskloom.operators.assemble import left_join_chain, sanitize_names, semi_join, union_by_name
 from riskloom.operators.encode import discover_domains, factorize, one_hot, string_columns
+from riskloom.sources.csv import INPUT_ORDER
 from riskloom.sources.store import stored_buckets
 
 # ---------------------------------------------------------------------------
@@ -129,7 +130,9 @@ def application_features(train: DataFrame, test: DataFrame | None = None, *,
                          categories: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """C1 (``application_train_test``): union train and test, drop the
     excluded value keeping missing ones, factorize the binary columns,
-    one-hot the other string columns, sentinel -> NULL, ratio features."""
+    one-hot the other string columns, sentinel -> NULL, ratio features.
+    ``order_by``: a key, or ``sources.csv.INPUT_ORDER`` of tables read with
+    their order (the column does not reach the result)."""
     parts = [_cap(train, num_rows).withColumn(SOURCE_COL, F.lit(0))]
     if test is not None:
         parts.append(_cap(test, num_rows).withColumn(SOURCE_COL, F.lit(1)))
@@ -139,7 +142,7 @@ def application_features(train: DataFrame, test: DataFrame | None = None, *,
     # first appearance in the reference's row order: train rows, then test
     # rows, each by ``order_by``
     order = F.struct(F.col(SOURCE_COL), qcol(order_by)) if order_by else None
-    df = factorize(df, list(factorize_cols), order_by=order, categories=categories).drop(SOURCE_COL)
+    df = factorize(df, list(factorize_cols), order_by=order, categories=categories).drop(SOURCE_COL, INPUT_ORDER)
     df, _ = one_hot(df, None, nan_as_category, categories, MAX_ONE_HOT)
     df = df.withColumns({c: sentinel_null(c, sentinel) for c in sentinel_cols})
     return df.withColumns({name: ieee_div(a, b) for name, (a, b) in ratios.items()})

@@ -49,13 +49,18 @@ CLIENT_COLUMNS = ["SK_ID_CURR", "DAYS_BIRTH", "CODE_GENDER", "CNT_CHILDREN", "CN
 
 
 def read_table(spark: SparkSession, data_dir: str, name: str, schemas: dict | None = None,
-               num_rows: int | None = None, fmt: str = "csv") -> DataFrame:
-    """One of TABLES from ``data_dir``, any folder that Spark reads; ``fmt``: 'csv' or 'parquet'."""
+               num_rows: int | None = None, fmt: str = "csv", order: str | None = None) -> DataFrame:
+    """One of TABLES from ``data_dir``, any folder that Spark reads; ``fmt``: 'csv' or
+    'parquet'. ``num_rows`` keeps the first rows; ``order`` adds the rows' places."""
     path = f"{data_dir.rstrip('/')}/{TABLES[name]}.{fmt}"
-    if fmt == "parquet":
-        df = spark.read.parquet(path)
-        return df if num_rows is None else df.limit(num_rows)
-    return CSV.read_csv(spark, path, (schemas or {}).get(name), num_rows=num_rows)
+    if fmt != "parquet":
+        return CSV.read_csv(spark, path, (schemas or {}).get(name), num_rows=num_rows, order=order)
+    df = spark.read.parquet(path)
+    if num_rows is None and order is None:
+        return df
+    df = df.withColumn(CSV.INPUT_ORDER, CSV.input_order(parquet=True))
+    df = df if num_rows is None else df.orderBy(CSV.INPUT_ORDER).limit(num_rows)
+    return df.withColumnRenamed(CSV.INPUT_ORDER, order) if order else df.drop(CSV.INPUT_ORDER)
 
 
 def features(spark: SparkSession, data_dir: str, debug: bool = False,
@@ -63,13 +68,16 @@ def features(spark: SparkSession, data_dir: str, debug: bool = False,
     """The reference's ``main(debug)``: C1, then C2-C6 left-joined, names cleaned. The
     categories of all tables come from one job; debug reads 10000 rows of each."""
     n = 10000 if debug else None
-    t = {name: read_table(spark, data_dir, name, schemas, n, fmt) for name in TABLES}
-    both = union_by_name([t["application_train"], t["application_test"]])
+    # the applicants' codes follow the order of their files
+    t = {name: read_table(spark, data_dir, name, schemas, n, fmt,
+                          CSV.INPUT_ORDER if name.startswith("application") else None) for name in TABLES}
+    both = union_by_name([t["application_train"], t["application_test"]]).drop(CSV.INPUT_ORDER)
     cats = {name: string_columns(df) for name, df in t.items() if not name.startswith("application")}
     cats["application"] = string_columns(both, exclude=C.APP_FACTORIZE)
     frames = {**t, "application": both}
     doms = discover_domains_many([(name, frames[name], cols) for name, cols in cats.items()], C.MAX_ONE_HOT)
-    app = C.application_features(t["application_train"], t["application_test"], categories=doms["application"])
+    app = C.application_features(t["application_train"], t["application_test"], order_by=CSV.INPUT_ORDER,
+                                 categories=doms["application"])
     parts = [
         C.bureau_and_balance(t["bureau"], t["bureau_balance"],
                              categories={**doms["bureau"], **doms["bureau_balance"]}),

@@ -87,23 +87,32 @@ def load_prep(spark: SparkSession, path: str):
 
 
 METRICS_SCHEMA = "run_id string, metric string, value double, ts bigint, step bigint"
+METRICS_KEY = ["run_id", "step", "metric"]
+
+
+def _log(rows: DataFrame, path: str) -> None:
+    """Writes the rows' (run, step, metric) partitions anew and leaves all others, so a
+    step that is written twice, by a retry or on purpose, has each metric once."""
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*METRICS_KEY)
+     .parquet(path))
 
 
 def log_metrics(spark: SparkSession, path: str, run_id: str, metrics: dict[str, float],
                 step: int = 0) -> None:
-    """Append (run_id, metric, value, ts, step) rows to a parquet table."""
+    """(run_id, metric, value, ts, step) rows into a partitioned Parquet table (S5); an
+    earlier value of the same run, step and metric is replaced."""
     ts = int(time.time() * 1000)
     rows = [(run_id, k, float(v), ts, step) for k, v in metrics.items()]
-    spark.createDataFrame(rows, METRICS_SCHEMA).write.mode("append").parquet(path)
+    if rows:
+        _log(spark.createDataFrame(rows, METRICS_SCHEMA), path)
 
 
 def log_metric_frame(df: DataFrame, path: str, run_id: str, step: int = 0) -> None:
-    """Append metrics held in a (metric, value) DataFrame without
-    collecting them."""
-    (df.select(F.lit(run_id).alias("run_id"), F.col("metric"), F.col("value").cast("double").alias("value"),
-               (F.unix_timestamp() * 1000).cast("bigint").alias("ts"), F.lit(step).cast("bigint").alias("step"))
-     .write.mode("append").parquet(path))
+    """Metrics held in a (metric, value) DataFrame, without collecting them."""
+    _log(df.select(F.lit(run_id).alias("run_id"), F.col("metric"), F.col("value").cast("double").alias("value"),
+                   (F.unix_timestamp() * 1000).cast("bigint").alias("ts"), F.lit(step).cast("bigint").alias("step")), path)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(METRICS_SCHEMA).parquet(path)
+    names = [c.split()[0] for c in METRICS_SCHEMA.split(", ")]
+    return spark.read.schema(METRICS_SCHEMA).parquet(path).select(*names)
