@@ -8,16 +8,19 @@ import re
 from collections import Counter
 from dataclasses import replace
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from riskloom.functions.exprs import portable_hash_sql
 from riskloom.operators import metrics as M
 from riskloom.operators.assemble import union_by_name
 from riskloom.operators.model import GBTParams, cv_train
+from riskloom.operators.prep import fit_prep, min_max_scale
+from riskloom.operators.stages import fit_pipeline
 from riskloom.plans import driver as D
 from riskloom.plans import oracle as O
 from riskloom.plans.catalog import finalize, register
-from riskloom.plans.evaluate import model_matrix
+from riskloom.plans.evaluate import fit_all, model_matrix
 from riskloom.plans.q_eval import _auc_sql, _scored, _scored_sql
 from riskloom.plans.q_features import feature_table
 from riskloom.sources import csv as CSV
@@ -92,10 +95,8 @@ def gbt_history(spark, sf):
 def model_roundtrip(spark, sf):
     """Fit, save to the shared folder, load, score: the loaded model's
     scores next to the fitted model's."""
-    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
     df, feats = _matrix(spark, sf)
-    from riskloom.operators.prep import fit_prep, min_max_scale
     pm = fit_prep(df, feats)
     x = VectorAssembler(inputCols=pm.features, outputCol="features", handleInvalid="keep").transform(
         min_max_scale(df, pm, keep=["SK_ID_CURR", "TARGET"]))
@@ -195,6 +196,27 @@ def model_roundtrip_check(spark, sf):
     return model_roundtrip(spark, sf).select("SK_ID_CURR", (F.col("score") == F.col("score_loaded")).alias("equal"))
 
 
+@register("pipeline_roundtrip_check", f"SELECT SK_ID_CURR, TRUE AS equal, TRUE AS as_separate FROM ({D.APP_TRAIN_SQL}) t")
+def pipeline_roundtrip_check(spark, sf):
+    """Preparation and booster saved and loaded as one pipeline score every row as before
+    (E6, S4), and as the scaler and booster do that are fitted one after the other."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+    df, feats = _matrix(spark, sf)
+    fitted = fit_pipeline(df, feats, CHECK_PARAMS.estimator(label_col="TARGET"))
+    path = store.scratch_path(spark, "pipeline")
+    store.save_model(fitted, path)
+    loaded = PipelineModel.load(path)
+    alone, prep = fit_all(df, feats, params=CHECK_PARAMS)
+    x = VectorAssembler(inputCols=prep.features, outputCol="features", handleInvalid="keep").transform(
+        min_max_scale(df, prep, keep=["SK_ID_CURR"]))
+    score = lambda d, name: d.select("SK_ID_CURR", vector_to_array("probability")[1].alias(name))
+    both = score(fitted.transform(df), "a").join(score(loaded.transform(df), "b"), "SK_ID_CURR").join(
+        score(alone.transform(x), "c"), "SK_ID_CURR")
+    return both.select("SK_ID_CURR", (F.col("a") == F.col("b")).alias("equal"),
+                       (F.abs(F.col("a") - F.col("c")) < 1e-9).alias("as_separate"))
+
+
 @register("gbt_auc_check", "SELECT CAST(i AS INTEGER) AS fold, TRUE AS equal FROM generate_series(-1, 4) g(i)")
 def gbt_auc_check(spark, sf):
     """Our AUC of the model scores, per fold and in total, is Spark's own."""

@@ -17,6 +17,7 @@ from riskloom.plans.credit import MAX_ONE_HOT
 from riskloom.plans import oracle as O
 from riskloom.plans.catalog import finalize, register
 from riskloom.plans.q_features import cc_features, pos_features
+from riskloom.sources.store import stored
 
 # -- scalars and filters ------------------------------------------------------
 
@@ -299,6 +300,20 @@ def column_profile_q(spark, sf):
     return P.column_profile(_audit_table(spark, sf))
 
 
+@register("audit_observed", " UNION ALL ".join(
+    f"SELECT '{n}' AS column_name, COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE {O.q(n)} IS NOT NULL"
+    + (f" AND NOT isnan({O.q(n)})" if t == "double" else "") + ") AS non_null, "
+    + (f"COUNT(*) FILTER (WHERE isinf({O.q(n)}))" if t == "double" else "CAST(0 AS BIGINT)")
+    + f" AS infinite FROM ({AUDIT_SQL}) a" for n, t in AUDIT_COLS))
+def audit_observed(spark, sf):
+    """The audit's facts per column, gathered while the table is written (no scan of their own)."""
+    table, seen = P.observed(_audit_table(spark, sf))
+    stored(table)
+    facts = seen.observation.get
+    rows = [(f.name, facts["rows"], facts[f"c{i}"], facts.get(f"i{i}", 0)) for i, f in enumerate(seen.fields)]
+    return spark.createDataFrame(rows, "column_name string, n_rows long, non_null long, infinite long")
+
+
 @register("value_counts", """SELECT CAST(c_acctbal < 0 AS DOUBLE) AS TARGET, COUNT(*) AS n
 FROM customer WHERE c_mktsegment <> 'HOUSEHOLD' GROUP BY 1""")
 def value_counts_q(spark, sf):

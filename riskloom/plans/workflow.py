@@ -22,10 +22,12 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskloom.operators import metrics as M
 from riskloom.operators.assemble import union_by_name
 from riskloom.operators.encode import discover_domains_many, string_columns
+from riskloom.operators import profile as P
 from riskloom.operators.model import GBTParams
 from riskloom.plans import credit as C
 from riskloom.plans import evaluate as EV
@@ -94,12 +96,13 @@ def run(spark: SparkSession, data_dir: str, out_dir: str, params: GBTParams | No
         persist_variant: str = "smote", rank_variant: str = "smote", best: str = "auc",
         schemas: dict | None = None, fmt: str = "csv", **cv_kw) -> dict:
     """Feature table (written once to ``out_dir``, cutting the
-    lineage), client extract, audit, model matrix, one experiment per
+    lineage; the audit's facts are gathered by this write), client extract, audit, model matrix, one experiment per
     variant, comparison, top features of ``rank_variant`` and the persisted run of
     ``persist_variant`` (``best``: see ``evaluate.persist_run``)."""
     run_id = uuid.uuid4().hex
     ft_path = os.path.join(out_dir, "features")
-    features(spark, data_dir, schemas=schemas, fmt=fmt).write.mode("overwrite").parquet(ft_path)
+    table, seen = P.observed(features(spark, data_dir, schemas=schemas, fmt=fmt))
+    table.write.mode("overwrite").parquet(ft_path)
     ft = spark.read.parquet(ft_path)
 
     train = read_table(spark, data_dir, "application_train", schemas, fmt=fmt)
@@ -108,7 +111,9 @@ def run(spark: SparkSession, data_dir: str, out_dir: str, params: GBTParams | No
     extract = C.client_extract(train, test, ft, cols)
     CSV.write_csv(extract, os.path.join(out_dir, "info_clients"))
 
-    profile, nulls, infs, labelled, _ = EV.audit(ft)
+    # the audit was gathered by the write; the labelled rows are read back
+    profile, nulls, infs, _ = seen.frames(spark)
+    labelled = ft.where(F.col("TARGET").isNotNull())
     matrix, feats = EV.model_matrix(labelled, fraction=sample_fraction)
     results, metrics = {}, {}
     for v in variants:
