@@ -368,7 +368,7 @@ def test_quality_filter_keeps_columns(spark, small, rows):
 
 
 FAST = ["op1_lm_bloom", "op3_sp_nbest", "op4_exact_dedup", "op5_toxicity", "op6_near_dup", "op7_packing",
-        "op8_token_count", "op9_fingerprint", "op10_quality", "op2_pii"]
+        "op8_token_count", "op9_fingerprint", "op10_quality", "op2_pii", "op11_line_dedup"]
 
 
 @pytest.mark.parametrize("name", FAST)
@@ -378,7 +378,8 @@ def test_empty_tables(spark, empty, name):
 
 
 @pytest.mark.parametrize("name", ["op1_lm_bloom", "op4_exact_dedup", "op6_near_dup", "op7_packing", "op9_fingerprint",
-                                  "op8_token_count"])
+                                  "op8_token_count", "op2_pii", "op3_sp_nbest", "op5_toxicity", "op10_quality",
+                                  "op11_line_dedup"])
 def test_rows_without_id(spark, nameless, name):
     n = spark.read.parquet(f"{nameless}/documents.parquet").count()
     out = QUERIES[name](spark, nameless).collect()
