@@ -108,6 +108,27 @@ def factorize_expr(col: str, values: Sequence[str]) -> Column:
     return F.coalesce(F.try_element_at(m, qcol(col).cast("string")), F.lit(-1)).cast("bigint")
 
 
+#: this many values, of all columns together, are coded by a literal map
+MAX_LITERAL_CODES = 100
+
+
+def _first_seen(df: DataFrame, cols: Sequence[str], order_by: str | Column | None) -> DataFrame:
+    """(k, v, o): the distinct non-missing values of each column and where they appear first."""
+    pairs = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("k"), qcol(c).cast("string").alias("v"), _order_col(order_by).alias("o"))
+        for c in cols])))
+    return pairs.where(F.col("v").isNotNull()).groupBy("k", "v").agg(F.min("o").alias("o"))
+
+
+def few_values(df: DataFrame, cols: Sequence[str], order_by: str | Column | None = None) -> dict[str, list[str]] | None:
+    """Each column's values in order of their codes, by one job; None if there are more than
+    MAX_LITERAL_CODES in all."""
+    rows = _first_seen(df, cols, order_by).orderBy("k", "o", "v").limit(MAX_LITERAL_CODES + 1).collect()
+    if len(rows) > MAX_LITERAL_CODES:
+        return None
+    return {c: [r["v"] for r in rows if r["k"] == c] for c in cols}
+
+
 def code_tables(df: DataFrame, cols: Sequence[str], order_by: str | Column | None = None) -> DataFrame:
     """(k, v, code): the distinct non-missing values of each column, numbered from 0 by
     first appearance (``order_by``) and value.
@@ -116,11 +137,7 @@ def code_tables(df: DataFrame, cols: Sequence[str], order_by: str | Column | Non
     shifted by the size of the ranges before it, so no task sees all values.
     """
     checkpoint_dir(df.sparkSession)
-    pairs = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("k"), qcol(c).cast("string").alias("v"), _order_col(order_by).alias("o"))
-        for c in cols])))
-    dom = pairs.where(F.col("v").isNotNull()).groupBy("k", "v").agg(F.min("o").alias("o"))
-    ranged = (dom.repartitionByRange("k", "o", "v").withColumn("r", F.spark_partition_id())
+    ranged = (_first_seen(df, cols, order_by).repartitionByRange("k", "o", "v").withColumn("r", F.spark_partition_id())
               .checkpoint(eager=True))
     before = Window.partitionBy("k").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     shift = (ranged.groupBy("k", "r").agg(F.count(F.lit(1)).alias("n"))
@@ -135,11 +152,14 @@ def factorize(df: DataFrame, cols: Sequence[str], order_by: str | Column | None
     """Replace each column with its integer code (pandas ``factorize``).
 
     Codes follow first appearance by ``order_by`` (the reference's row order), or
-    sorted value order when it is None. Missing -> -1. Columns in ``categories`` are
-    coded by a literal map; the others by a table written to the shared folder, whose
-    known size lets the planner broadcast it or not.
+    sorted value order when it is None. Missing -> -1. Columns in ``categories``, and
+    others if they have few values in all, are coded by a literal map; else by a table
+    written to the shared folder, whose known size lets the planner broadcast it or not.
     """
     doms = dict(categories or {})
+    unknown = [c for c in cols if c not in doms]
+    if unknown:
+        doms.update(few_values(df, unknown, order_by) or {})
     known = [c for c in cols if c in doms]
     rest = [c for c in cols if c not in doms]
     out = df.withColumns({c: factorize_expr(c, doms[c]) for c in known}) if known else df

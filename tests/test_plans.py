@@ -64,3 +64,29 @@ def test_knn_repeated_vector_limit_runs_before_shuffle(spark):
     assert partial and exch and max(partial) > min(exch)   # listed below (= before) the exchange
     rows = {r.uid: r.ids for r in out.collect()}
     assert rows[1] == [1, 2, 4, 5, 7, 8]                     # the hot vector keeps its 6 smallest ids
+
+
+def test_bucketed_tables_join_without_an_exchange(spark):
+    from riskloom.plans import credit as C
+    from riskloom.sources.store import stored_buckets
+    orders = spark.read.parquet(f"{SF_CHECK}/orders.parquet")
+    app = spark.read.parquet(f"{SF_CHECK}/customer.parquet").selectExpr("c_custkey AS SK_ID_CURR", "c_acctbal")
+    parts = [orders.selectExpr("o_custkey AS SK_ID_CURR", "o_totalprice").groupBy("SK_ID_CURR").sum().toDF("SK_ID_CURR", f"a{i}", f"b{i}")
+             for i in range(2)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = C.feature_table(app, parts, buckets=8)
+        plan = _plan(joined, "simple")
+        assert "Exchange" not in plan and plan.count("SortMergeJoin") == 2
+        assert joined.count() == app.count()
+        assert sorted(map(tuple, joined.collect()), key=str) == sorted(map(tuple, C.feature_table(app, parts).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert stored_buckets(app.limit(0), ["SK_ID_CURR"], 4).count() == 0
+
+
+def test_distinct_counts_add_no_exchange(spark):
+    plan = _plan(QF.ins_features(spark, SF_CHECK), "simple")
+    import re
+    assert len(re.findall(r"Exchange hashpartitioning\(SK_ID_CURR", plan)) == 1
