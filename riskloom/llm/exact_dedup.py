@@ -34,7 +34,7 @@ FILTERS = "shard long, slots binary, occupied binary, run_ends binary, remainder
 class CountingQuotientFilter:
     """Sorted runs of remainders by slot, with counters.
 
-    ``occupied`` holds the slots in use (ascending, delta form), ``run_ends``
+    ``occupied`` holds the slots in use (ascending), ``run_ends``
     one bit per remainder, set at the last one of a slot's run; ``counters`` the
     number of times that each fingerprint was added.
     """
