@@ -16,10 +16,13 @@
    their sketches (five standard errors of slack) and confirmed on the
    full sets, in two rounds: first one candidate per document, then the
    candidates whose ends are not in one component yet. A third round takes
-   the buckets that still hold several components: their members are dealt
-   into blocks, and tasks compare the full sets of one block with another's
-   and give the links that join two components there. So every two members
-   of a bucket are compared or already in one component.
+   the members of buckets that still hold several components. Two sets of
+   at least that similarity share one of the first shingles of each, in any
+   order common to all (prefix filter; rare ones first by a table of counts of fixed size, which
+   only decides the order). Members that meet so, in different components,
+   whose sizes and places in the two sets leave room for enough common shingles, are estimated
+   and confirmed like the others. So every two members of a bucket are
+   compared, ruled out exactly or already in one component.
 5. Components of confirmed links by alternating large-star / small-star.
 
 Sketches and texts are read from tables; no pairs, links or components are
@@ -33,7 +36,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,8 +52,12 @@ BANDS = REGISTERS // ROWS
 SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=U64) * U64(0xA0761D6478BD642F))
 #: bits of the id bitmap that spares unneeded texts a shuffle
 BITMAP = 1 << 24
-#: members, and shingles of their sets, of a block in the third round
-BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 19
+#: counters of shingles that order them in the third round
+COUNTERS = 1 << 20
+#: rows of a block of the third round
+BLOCK_ROWS = 1024
+#: a bucket's rows are dealt over so many keys of a join
+SALTS = 8
 SKETCH = "doc_id long, n_shingles long, set_high long, set_low long, sketch binary"
 
 
@@ -152,7 +158,14 @@ def buckets(heads: DataFrame) -> DataFrame:
     bands = band_keys(heads)
     ends = (bands.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
                                      F.count(F.lit(1)).alias("size")).where("low < high"))
-    return bands.join(ends, "key")
+    return with_bucket(bands, ends, "doc_id")
+
+
+def with_bucket(members: DataFrame, of: DataFrame, id_column: str) -> DataFrame:
+    """``members`` joined with one row per key (``of``); a key's members are dealt over ``SALTS`` join keys."""
+    salted = of.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = members.withColumn("_salt", F.pmod(F.xxhash64(id_column), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, ["key", "_salt"]).drop("_salt")
 
 
 def candidates(met: DataFrame) -> DataFrame:
@@ -231,94 +244,115 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     return met.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def joining_links(own: list, other: list | None, own_roots, other_roots, percent: int) -> list[tuple[int, int]]:
-    """Places (in ``own``, in ``other``) of pairs of sets that reach ``percent`` and join
-    components not joined by an earlier one; without ``other``, among ``own``."""
-    inside = other is None
-    other, other_roots = (own, own_roots) if inside else (other, other_roots)
-    sizes = np.array([len(s) for s in other])
-    edges = np.cumsum(sizes) - sizes
-    every, place = np.unique(np.concatenate(other), return_inverse=True)
-    mark = np.zeros(len(every) + 1, bool)
-    parent: dict = {}
+def counted(held: DataFrame) -> np.ndarray:
+    """How many sets hold the shingles of each counter: one array of ``COUNTERS`` numbers."""
 
-    def find(x):
-        while parent.get(x, x) != x:
-            x = parent[x]
-        return x
-
-    out = []
-    for i, held in enumerate(own):
-        apart = other_roots != own_roots[i]
-        if inside:
-            apart[:i + 1] = False
-        if not apart.any():
-            continue
-        at = np.minimum(np.searchsorted(every, held), len(every) - 1)
-        at = at[every[at] == held]
-        mark[at] = True
-        both = np.add.reduceat(mark[place], edges, dtype=np.int64)
-        mark[at] = False
-        for j in np.flatnonzero(apart & (both > 0) & (100 * both >= percent * (len(held) + sizes - both))):
-            x, y = find(own_roots[i]), find(other_roots[j])
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                out.append((i, j))
+    def run(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                own = np.frombuffer(b"".join(batch.column(0).to_pylist()), U64)
+                total += np.bincount((own % U64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(total[slot])], names=["slot", "c"])
+
+    found = (held.select("held").mapInArrow(run, "slot long, c long")
+             .groupBy("slot").agg(F.sum("c").alias("c")).toArrow())  # at most COUNTERS rows, whatever the data
+    out = np.zeros(COUNTERS, np.int64)
+    out[found["slot"].to_numpy()] = found["c"].to_numpy()
     return out
 
 
-def inner_links(met: DataFrame, roots: DataFrame, heads: DataFrame, docs: DataFrame, shingle: int,
-                percent: int) -> DataFrame:
-    """Confirmed (a, b) that join components of ``roots`` (id, root) within a bucket of
-    ``met``. The members of a bucket's most frequent component are not compared with
-    each other: they are dealt into blocks of their own, which meet the other blocks
-    only. (Buckets of three ids have no pair without an end.)"""
-    sizes = heads.groupBy(F.col("doc_id").alias("id")).agg(F.max("n_shingles").alias("n"))
+def prefix(held: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The first shingles of a set, rare ones first, one of which every set that reaches
+    ``percent`` shares; and how many of them are enough for partners of no smaller size."""
+    n = len(held)
+    order = np.lexsort((held, counts[(held % U64(COUNTERS)).astype(np.int64)]))
+    return held[order[:n - -(-percent * n // 100) + 1]], n - -(-2 * percent * n // (100 + percent)) + 1
+
+
+def prefixes(held: DataFrame, counts, percent: int) -> DataFrame:
+    """(shingle, id, root, n, place, first) of each set's prefix; first: within its shorter one."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for k, own in enumerate(batch.column(2)):
+                own = np.frombuffer(own.as_buffer(), U64)
+                head, short = prefix(own, counts.value, percent)
+                place = np.arange(len(head))
+                out.append((head.view(np.int64), np.full(len(head), k), np.full(len(head), len(own)), place, place < short))
+            if out:
+                shingle, row, n, place, first = (np.concatenate(c) for c in zip(*out))
+                ids, roots = (batch.column(c).take(pa.array(row)) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shingle), ids, roots, pa.array(n, pa.int64()), pa.array(place, pa.int64()),
+                     pa.array(first)], names=["shingle", "id", "root", "n", "place", "first"])
+
+    return held.select("id", "root", "held").mapInArrow(
+        run, "shingle long, id long, root long, n long, place long, first boolean")
+
+
+def meeting(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b), a < b, of different roots that share a shingle of their prefixes
+    (rows of ``prefixes``) and can still reach ``percent`` from there on. A shingle's rows
+    of its most frequent root are not compared with each other; rows are dealt into blocks,
+    and the join's keys are pairs of blocks."""
+    parts = rows.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c"), F.count_if("first").alias("f"))
+    top = F.max(F.struct("c", "f", "root"))
+    blocks = lambda c: F.ceil(c / BLOCK_ROWS).cast("int")
+    shared = (parts.groupBy("shingle").agg(top.alias("top"), F.sum("c").alias("c"), F.sum("f").alias("f"))
+              .where("c > top.c and f > 0")
+              .select("shingle", F.col("top.root").alias("main"),
+                      blocks(F.col("f") - F.col("top.f")).alias("i0"), blocks(F.col("c")).alias("j0"),
+                      blocks(F.col("top.f")).alias("i1"), blocks(F.col("c") - F.col("top.c")).alias("j1")))
+    dealt = checkpointed(with_bucket(rows.withColumnRenamed("shingle", "key"),
+                                     shared.withColumnRenamed("shingle", "key"), "id"))
+    is_main = F.col("root") == F.col("main")
+    deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    # tiles of kind 0: first rows of other roots with all rows; of kind 1: those of the main root with the others
+    tile = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    as_left = F.when(is_main, F.transform(upto(F.col("j1")), lambda j: tile(1, deal(F.col("i1")), j))).otherwise(
+        F.transform(upto(F.col("j0")), lambda j: tile(0, deal(F.col("i0")), j)))
+    with_others = F.transform(upto(F.col("i0")), lambda i: tile(0, i, deal(F.col("j0"))))
+    as_right = F.when(is_main, with_others).otherwise(
+        F.concat(with_others, F.transform(upto(F.col("i1")), lambda i: tile(1, i, deal(F.col("j1"))))))
+
+    def side(df: DataFrame, tiles, mark: str) -> DataFrame:
+        return df.select("key", F.explode(tiles).alias("t"),
+                         *[F.col(c).alias(f"{c}_{mark}") for c in ("id", "root", "n", "place")])
+
+    left, right = side(dealt.where("first"), as_left, "l"), side(dealt, as_right, "r")
+    room = (100 + percent) * F.least(F.expr("n_l - place_l"), F.expr("n_r - place_r"))
+    return (left.join(right, ["key", "t"])
+            .where("root_l <> root_r and (n_l < n_r or (n_l = n_r and id_l < id_r))")
+            .where((100 * F.col("n_l") >= percent * F.col("n_r")) & (room >= percent * F.expr("n_l + n_r")))
+            .select(F.least("id_l", "id_r").alias("a"), F.greatest("id_l", "id_r").alias("b")).distinct())
+
+
+def inner_pairs(met: DataFrame, roots: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame | None:
+    """Pairs (a, b) of members of buckets of ``met`` that hold several components of ``roots``
+    (id, root): all that reach ``percent`` and are in different ones are among them; None: no
+    such bucket. (Buckets of three ids have no pair without an end.)"""
     members = checkpointed(
         met.where("size > 3").select("key", F.col("doc_id").alias("id")).join(roots, "id", "left")
-        .join(sizes, "id").select("key", "id", F.coalesce("root", "id").alias("root"), "n"))
-    parts = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
-    top = F.max(F.struct("c", "root", "n"))
-    blocks = lambda c, n: F.ceil(F.greatest(c / BLOCK_ROWS, n / BLOCK_SHINGLES)).cast("int")
-    still = (parts.groupBy("key").agg(top.alias("top"), F.sum("c").alias("c"), F.sum("n").alias("n"))
-             .where("c > top.c")
-             .select("key", F.col("top.root").alias("main"), blocks(F.col("top.c"), F.col("top.n")).alias("mains"),
-                     blocks(F.col("c") - F.col("top.c"), F.col("n") - F.col("top.n")).alias("others")))
-    dealt = members.join(still, "key").select("key", "id", "root", "mains", "others",
-                                              (F.col("root") == F.col("main")).alias("is_main"))
-    deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    upto = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
-    mine = deal(F.col("others"))
-    # tiles (i, j): block i of the others with their block j >= i, or with main block j - others
-    tile = lambda i, j, right: F.struct(i.alias("i"), j.alias("j"), right.alias("right"))
-    last = F.col("others") - 1
-    as_main = F.transform(upto(F.lit(0), last), lambda i: tile(
-        i, F.col("others") + deal(F.col("mains")), F.lit(True)))
-    as_other = F.concat(
-        F.transform(upto(mine, last + F.col("mains")), lambda j: tile(mine, j, F.lit(False))),
-        F.transform(upto(F.lit(0), mine - 1), lambda i: tile(i, mine, F.lit(True))))
-    tiles = checkpointed(dealt.select("key", "id", "root", F.explode(
-        F.when(F.col("is_main"), as_main).otherwise(as_other)).alias("t")).select("key", "id", "root", "t.*"))
+        .select("key", "id", F.coalesce("root", "id").alias("root")))
+    still = (members.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+             .where("least < most").select("key"))
+    ids = checkpointed(with_bucket(members, still, "id").select("id", "root").distinct())
+    if ids.isEmpty():
+        return None
 
     def sets(batch):
         for part, data, offsets in slices([batch]):
             found = [s.tobytes() for s in shingle_sets(data, offsets, shingle)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["id", "held"])
 
-    def compare(rows: pa.Table) -> pa.Table:
-        inside = rows["i"][0].as_py() == rows["j"][0].as_py()
-        left, right = rows.filter(pc.invert(rows["right"])), rows.filter(rows["right"])
-        links = []
-        if left.num_rows and (inside or right.num_rows):
-            own, other = ([np.frombuffer(b.as_buffer(), U64) for b in t["held"]] for t in (left, right))
-            links = joining_links(own, None if inside else other, left["root"].to_numpy(), right["root"].to_numpy(),
-                                  percent)
-        ids, others = left["id"].to_numpy(), (left if inside else right)["id"].to_numpy()
-        return pa.table({"a": pa.array([ids[i] for i, _ in links], pa.int64()),
-                         "b": pa.array([others[j] for _, j in links], pa.int64())})
-
-    held = texts_of(tiles.select("id"), docs, sets, "id long, held binary").where(F.length("held") > 0)
-    return tiles.join(held, "id").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    held = checkpointed(ids.join(texts_of(ids, docs, sets, "id long, held binary")
+                                 .where(F.length("held") > 0), "id"))
+    counts = docs.sparkSession.sparkContext.broadcast(counted(held))  # 8 MB, whatever the data
+    return meeting(checkpointed(prefixes(held, counts, percent)), percent)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -367,9 +401,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     more = checkpointed(confirmed(checkpointed(likely(rest, heads, threshold)), docs, shingle, percent))
     edge = (F.col("root").alias("a"), F.col("id").alias("b"))
     final = checkpointed(components(roots.select(*edge).union(more)))
-    inner = checkpointed(inner_links(met, final, heads, docs, shingle, percent))
-    if not inner.isEmpty():
-        final = components(final.select(*edge).union(inner))
+    inner = inner_pairs(met, final, docs, shingle, percent)
+    if inner is not None:  # pairs with an end of a bucket are known by now
+        inner = checkpointed(inner.join(pairs, ["a", "b"], "left_anti"))
+        links = checkpointed(confirmed(checkpointed(likely(inner, heads, threshold)), docs, shingle, percent))
+        if not links.isEmpty():
+            final = components(final.select(*edge).union(links))
     named = heads.where("copies > 1").select("set_high", "set_low", "n_shingles", F.col("doc_id").alias("head"))
     found = base.drop("sketch").join(named, ["set_high", "set_low", "n_shingles"], "left")
     head = F.coalesce("head", "doc_id")

@@ -27,36 +27,50 @@ def test_near_dedup_hot_template(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
-def test_joining_links_within_and_between_blocks():
+def met_pairs(spark, sets, roots):
+    rows = [(i, int(r), s.tobytes()) for i, (s, r) in enumerate(zip(sets, roots))]
+    held = spark.createDataFrame(rows, "id long, root long, held binary")
+    counts = spark.sparkContext.broadcast(near_dup.counted(held))
+    found = near_dup.meeting(near_dup.prefixes(held, counts, 80), 80).collect()
+    assert len({tuple(r) for r in found}) == len(found)
+    return {tuple(r) for r in found}
+
+
+def near_sets(a, b):
+    both = len(np.intersect1d(a, b))
+    return 100 * both >= 80 * (len(a) + len(b) - both)
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_meeting_loses_no_pair_of_other_components(spark, monkeypatch, block):
+    """Sets of many sizes around one base; a third has one root, the rest have roots of their own."""
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", block)
     rng = np.random.default_rng(1)
-    base = np.unique(rng.integers(0, 1 << 60, 60).astype(np.uint64))
-    sets = [np.sort(np.concatenate([base[rng.permutation(60)[:n]], np.unique(rng.integers(0, 1 << 60, 4).astype(np.uint64))]))
-            for n in rng.integers(45, 60, 30)]
-    roots = np.arange(30)
-    roots[20:] = 20
-
-    def groups(pairs):
-        parent = list(roots)
-
-        def find(x):
-            while parent[x] != x:
-                x = parent[x]
-            return x
-
-        for a, b in pairs:
-            x, y = find(a), find(b)
-            parent[max(x, y)] = min(x, y)
-        return [find(i) for i in range(30)]
-
-    def near(a, b):
-        both = len(np.intersect1d(sets[a], sets[b]))
-        return 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both)
-
-    inside = near_dup.joining_links(sets, None, roots, None, 80)
-    assert all(near(a, b) and roots[a] != roots[b] for a, b in inside)
-    assert groups(inside) == groups([(a, b) for a in range(30) for b in range(a) if near(a, b)])
-    between = [(a, b + 10) for a, b in near_dup.joining_links(sets[:10], sets[10:], roots[:10], roots[10:], 80)]
-    assert groups(between) == groups([(a, b) for a in range(10) for b in range(10, 30) if near(a, b)])
+    fresh = lambda n: np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
+    base = fresh(60)
+    sets = [np.sort(np.concatenate([base[rng.permutation(len(base))[:n]], fresh(4)])) for n in rng.integers(40, 60, 45)]
+    sets += [sets[3][:1], sets[3][:1], sets[4][:5], sets[4][:6]]
+    roots = np.arange(len(sets))
+    roots[20:40] = 20
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if roots[a] != roots[b] and near_sets(sets[a], sets[b])}
+    got = met_pairs(spark, sets, roots)
+    assert len(want) > 20 and want <= got
+    assert all(roots[a] != roots[b] for a, b in got)
+
+
+@pytest.mark.parametrize("groups", [200, 1600])
+def test_meeting_of_a_hot_template_grows_with_its_members(spark, groups):
+    """All members share a template and are just below the bound; only a group's two reach it."""
+    rng = np.random.default_rng(3)
+    fresh = lambda n: rng.integers(0, 1 << 60, n).astype(np.uint64)
+    template = fresh(200)
+    sets = []
+    for _ in range(groups):
+        shared = fresh(20)
+        sets += [np.unique(np.concatenate([template, shared, fresh(10)])) for _ in range(2)]
+    assert near_sets(sets[0], sets[1]) and not near_sets(sets[0], sets[2])
+    got = met_pairs(spark, sets, np.arange(2 * groups))
+    assert got == {(2 * g, 2 * g + 1) for g in range(groups)}
 
 
 def test_lexicon_does_not_depend_on_the_partitions(spark):
