@@ -163,6 +163,32 @@ def test_nbest_order_against_all_segmentations():
             assert [(table.score(c), ids[::-1]) for c, ids in want] == [(s, tuple(i.tolist())) for s, i in best]
 
 
+@pytest.mark.parametrize("n", [1, 2, 4, 9])
+def test_nbest_of_parts_together_equals_one_by_one(n):
+    """The batched search and the heap agree: ties, unknown characters, long parts, one character."""
+    import public_tokenizers
+    table = sp_nbest.PieceTable(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(n)
+    texts = ["".join(rng.choice(list("▁abetinorsé日🙂."), size)) for size in [*range(1, 25), 60, 69, 300]]
+    texts += ["a" * 50, "▁" * 9, "lll", "🙂🙂", "▁the"]
+    lists = sp_nbest.PartLists(table, texts, n)
+    for p, text in enumerate(texts):
+        want = table.n_best(text, n)
+        assert lists.of(p) == want, text
+        assert lists.units[p] == want[0][0] // table.STEP
+        assert tuple(lists.pool[lists.at[lists.row[p]]:lists.at[lists.row[p] + 1]].tolist()) == want[0][1][::-1]
+        assert lists.loss[p] == (float(want[1][0] - want[0][0]) if len(want) > 1 else np.inf)
+
+
+def test_nbest_does_not_depend_on_earlier_calls():
+    """Another N in the same process starts anew."""
+    import public_tokenizers
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    data = np.frombuffer(b"the cat sat", np.uint8)
+    counts = [len(next(iter(sp_nbest.segment_slice(data, np.array([0, 11]), path, n)))) for n in (1, 3, 2)]
+    assert counts == [1, 3, 2]
+
+
 def test_nbest_rows(results, rows):
     text = dict(rows)
     for r in results("op3_sp_nbest"):
