@@ -4,15 +4,15 @@ A document's strength is linear in its features; the probability that one
 is preferred to another is the logistic function of the difference of
 their strengths. Preference pairs join preferred with other labelled
 documents that fall into the same slot of a salted hash, so there are no
-more pairs than ``pairs_per_row`` times the sampled rows in expectation,
+more pairs than ``pairs_per_row`` times the labelled rows in expectation,
 and no cross join. The weights minimise the logistic loss on feature
 differences (no intercept). The cut is a quantile of the training rows'
 strengths, at the share of labels 0; it is placed at ``cut_score``, so
 score = logistic(strength - cut + logit(cut_score)).
 
-Fitting uses at most ``max_rows`` labelled rows, those of the smallest id
-hash; scoring reads all rows and whole texts. Labels, lang, source and
-doc_id are never features. Edge cases: null and empty texts have the
+Fitting uses all labelled rows (a caller may set ``max_rows``: those of the
+smallest id hash); scoring reads all rows and whole texts. Labels, lang,
+source and doc_id are never features. Edge cases: null and empty texts have the
 features of an empty text and get a score like any other; labels that are
 null are ignored; rows of a doc_id with several labels count as their
 largest; with labels of one kind only every score is 0.5; repeated rows
@@ -21,22 +21,29 @@ get equal scores; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import checkpointed, slices, stored
 from riskloom.llm.features import shape_features
 
 
+#: rows of (id, label) that are broadcast
+BROADCAST_IDS = 4_000_000
+#: bytes of text whose features are computed together
+SLICE = 1 << 20
+
+
 @dataclass(frozen=True)
 class Settings:
-    max_rows: int = 12_000
+    max_rows: int | None = None
     pairs_per_row: int = 4
     cut_score: float = 0.3
     penalty: float = 1e-4
@@ -61,22 +68,23 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(self.strength(rows) - self.cut + shift, -500, 500)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """doc_id, text, label of at most ``max_rows`` labelled documents."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int | None = None) -> DataFrame:
+    """doc_id, text, label of the labelled documents, all or at most ``max_rows``."""
     ids = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-           .groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
-           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-           .withColumnRenamed("doc_id", "_id"))
-    # at most max_rows ids: a bounded broadcast
-    return (docs.select("doc_id", "text").join(F.broadcast(stored(ids)), F.col("doc_id") == F.col("_id"))
-            .select("doc_id", "text", "label"))
+           .groupBy("doc_id").agg(F.max(label).cast("double").alias("label")))
+    if max_rows is not None:
+        ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    ids = stored(ids.withColumnRenamed("doc_id", "_id"))
+    # up to a bound the ids go to the texts; beyond it both are shuffled
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+    return docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
 
 
 def featured(rows: DataFrame, compute) -> DataFrame:
     """doc_id, label and ``compute``'s features as an array."""
 
     def run(batches):
-        for part, data, offsets in slices(batches):
+        for part, data, offsets in slices(batches, limit=SLICE):
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(2), pa.array(list(compute(data, offsets)), pa.list_(pa.float64()))],
                 names=["doc_id", "label", "x"])
@@ -117,10 +125,35 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", settings: Se
     weights = learner.fit(checkpointed(data)).coefficients.toArray()
     ranking = Ranking(center, scale, weights, 0.0, settings.cut_score)
     strengths = score_with(rows.select("doc_id", F.lit(None).cast("string").alias("text"), "x"), ranking)
-    ranking.cut = strengths.agg(F.percentile("strength", low / n)).first()[0]
+    ranking.cut = quantile(strengths, "strength", low / n)
     return ranking
 
 
+def quantile(rows: DataFrame, column: str, share: float) -> float:
+    """Exact quantile between the two nearest values, as ``percentile`` gives it, without all
+    values in one task: values are counted, dealt into ranges, and only the ranges that hold
+    the two places are numbered."""
+    counts = checkpointed(rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v"))
+                          .agg(F.count(F.lit(1)).alias("n")).repartitionByRange("v")
+                          .withColumn("part", F.spark_partition_id()))
+    parts = counts.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
+    place = (sum(r["n"] for r in parts) - 1) * share
+
+    def value(at: int) -> float:
+        before = 0
+        for r in parts:
+            if before + r["n"] > at:
+                break
+            before += r["n"]
+        upto = F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+        return (counts.where(F.col("part") == r["part"]).withColumn("upto", upto + before)
+                .where(F.col("upto") > at).agg(F.min("v")).first()[0])
+
+    low, high = math.floor(place), math.ceil(place)
+    below = value(low)
+    return below if low == high else (high - place) * below + (place - low) * value(high)
+
+
 def score_with(rows: DataFrame, ranking: Ranking) -> DataFrame:
     """Strengths of rows that already hold their features."""
 
@@ -137,7 +170,7 @@ def score(docs: DataFrame, ranking: Ranking) -> DataFrame:
     """doc_id and score of every row."""
 
     def run(batches):
-        for part, data, offsets in slices(batches):
+        for part, data, offsets in slices(batches, limit=SLICE):
             values = ranking.score(shape_features(data, offsets)) if len(ranking.weights) > 1 \
                 else np.full(part.num_rows, ranking.cut_score)
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(values)],
@@ -151,7 +184,7 @@ def keep_good(docs: DataFrame, ranking: Ranking) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part, data, offsets in slices([batch]):
+            for part, data, offsets in slices([batch], limit=SLICE):
                 values = ranking.score(shape_features(data, offsets)) if len(ranking.weights) > 1 \
                     else np.full(part.num_rows, ranking.cut_score)
                 yield part.filter(pa.array(values >= ranking.cut_score))

@@ -5,14 +5,14 @@ are to words of the second person, capitals, punctuation, obfuscation
 (letters mixed with digits or symbols inside a word) and length. One
 lexicon is a list of insults (a parameter); the other is learned from the
 training rows: words and word beginnings that occur in at least
-``least_share`` of the toxic sample and whose toxic documents are at least
+``least_share`` of the toxic rows and whose toxic documents are at least
 ``purity`` of all that have them. Words are compared in lower case with
 common look-alikes (0 1 3 4 5 7 @ $) read as letters.
 
 Trees are fitted on one part of the training rows and calibrated by
 isotonic regression on the other, so a score is the share of label 1 at
-that margin. Fitting uses at most ``max_rows`` labelled rows, those of the
-smallest id hash; scoring reads all rows and whole texts.
+that margin. Fitting uses all labelled rows (a caller may set ``max_rows``:
+those of the smallest id hash); scoring reads all rows and whole texts.
 
 Edge cases: null and empty texts have the features of an empty text; null
 labels are ignored and several labels of a doc_id count as their largest;
@@ -56,11 +56,13 @@ for _shape, _letter in zip(b"013457@$", b"oieastas"):
 #: byte lengths of the word beginnings that may enter the learned lexicon
 BEGINNINGS = (4, 5, 6, 8)
 NEAR = 6
+#: rows of a task when trees are fitted
+FIT_ROWS = 20_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    max_rows: int = 12_000
+    max_rows: int | None = None
     least_share: float = 0.015
     purity: float = 0.9
     trees: int = 20
@@ -201,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Sett
     learner = GBTClassifier(featuresCol="features", labelCol="label", maxDepth=settings.depth,
                             maxIter=settings.trees, seed=7, cacheNodeIds=False)
     detector.trees = learner.fit(checkpointed(grow.select("label", array_to_vector("x").alias("features")))
-                                 .coalesce(4))
+                                 .coalesce(max(4, rows.count() // FIT_ROWS)))
     held = margins(tune, detector.trees)
     if held.isEmpty():
         held = margins(grow, detector.trees)

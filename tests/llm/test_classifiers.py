@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskloom.llm import quality, toxicity
@@ -48,6 +49,31 @@ def test_ranking_weights_minimise_the_pair_loss(spark, tables):
         assert got[d] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -500, 500))), abs=1e-9)
 
 
+def test_all_labelled_rows_teach(spark):
+    """More than 12 000 labelled rows, of which the last ones by id hash alone are long."""
+    n = 13_000
+    ids = spark.range(n).withColumn("r", F.row_number().over(Window.orderBy(F.xxhash64("id"), "id")))
+    rows = ids.select(F.col("id").alias("doc_id"), (F.col("r") % 2).alias("quality"), (F.col("r") % 2).alias("toxic"),
+                      F.when((F.col("r") > 12_000) & (F.col("r") % 2 == 1), "late word").otherwise("a b c d").alias("text")).cache()
+    assert quality.labelled_sample(rows, rows, "quality").count() == n
+    assert quality.labelled_sample(rows, rows, "quality", 100).count() == 100
+    model = quality.fit(rows.select("doc_id", "text"), rows)
+    got = {r["doc_id"]: r["score"] for r in quality.score(
+        spark.createDataFrame([(1, "late word"), (2, "a b c d")], "doc_id long, text string"), model).collect()}
+    assert got[1] > 0.5 > got[2]
+    settings = toxicity.Settings(least_share=0.01)
+    sample = quality.labelled_sample(rows, rows, "toxic", settings.max_rows)
+    assert int(toxicity.plain_keys(["late"])[0]) in set(toxicity.learn_lexicon(sample, settings).tolist())
+
+
+def test_quantile_is_the_exact_percentile(spark):
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.normal(size=500).round(1), np.full(300, 0.25), rng.normal(size=7)])
+    rows = spark.createDataFrame([(float(v),) for v in values], "x double").repartition(7)
+    for share in (0.0, 0.013, 0.25, 0.5, 0.77, 1.0):
+        assert quality.quantile(rows, "x", share) == rows.agg(F.percentile("x", share)).first()[0]
+
+
 def words_of(text):
     """The operator's words of a text, look-alike characters read as letters."""
     data = np.frombuffer(text.encode(), np.uint8)
