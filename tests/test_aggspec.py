@@ -75,3 +75,15 @@ def test_fused_subset_equals_filter_group_join(spark, rows):
     for ra, rb in zip(a, b):
         for va, vb in zip(ra, rb):
             assert (va is None and vb is None) or abs(va - vb) < 1e-9
+
+
+def test_dealt_rows_are_aggregated_after_the_one_exchange(spark):
+    from riskloom.plans.credit import credit_card_balance
+    rows = spark.createDataFrame([(k, float(v), c) for k, v, c in
+                                  [(1, 2, "a"), (1, 5, "b"), (2, 1, None), (1, 2, "a"), (2, 4, "b")]] + [(None, 1.0, "a")],
+                                 "SK_ID_CURR bigint, x double, c string").repartition(3)
+    wide = credit_card_balance(rows, drop=[], categories={"c": ["a", "b"]})
+    plan = wide._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan[plan.index("Exchange"):]  # the rows are shuffled, not their partial aggregates
+    got = {r["SK_ID_CURR"]: r for r in wide.collect()}
+    assert set(got) == {1, 2} and got[1]["CC_x_SUM"] == 9.0 and got[2]["CC_c_nan_SUM"] == 1 and got[1]["CC_COUNT"] == 3
