@@ -29,7 +29,6 @@ result.
 from __future__ import annotations
 
 import functools
-import hashlib
 import heapq
 import itertools
 import zlib
@@ -45,8 +44,10 @@ SPACE = "▁"
 LONGEST = 128
 #: bytes of text whose distinct parts are found together, and parts that are searched together
 SLICE, BLOCK = 8 << 20, 1 << 14
-RESULT = ("doc_id long, n_chars long, n_best int, scores array<double>, n_pieces array<long>, "
-          "ids_crc32 array<long>, round_trip boolean, decoded_sha256 string")
+#: bytes of text whose segmentations make one result batch
+OUTPUT = 1 << 20
+RESULT = ("doc_id long, n_chars long, n_best int, scores array<double>, n_pieces array<long>, ids_crc32 array<long>, "
+          "ids array<array<int>>, decoded array<string>, restored array<boolean>")
 
 
 class PieceTable:
@@ -459,23 +460,44 @@ def segment_slice(data, offsets, path: str, n: int):
 
 
 def n_best(docs: DataFrame, vocabulary: str, n: int = 4) -> DataFrame:
-    """Per document the scores, lengths and id checksums of its n best segmentations,
-    and the digest of the best one's decoding; round_trip: it is the text again."""
+    """Per document its n best segmentations, best first: scores, ids with their number and
+    checksum, and the text that each decodes to; restored: it is the text again."""
 
     def run(batches):
         for part, data, offsets in slices(batches, limit=SLICE):
-            table = _table(vocabulary)
-            rows = []
+            table, out = _table(vocabulary), Segmentations()
             found = segment_slice(data, offsets, vocabulary, n)
             for doc_id, a, b, best in zip(part.column(0).to_pylist(), offsets[:-1], offsets[1:], found):
-                text = data[a:b].tobytes().decode()
-                decoded = table.decode(best[0][1].tolist())
-                rows.append((doc_id, len(text), len(best), [s for s, _ in best], [len(i) for _, i in best],
-                             [zlib.crc32(np.ascontiguousarray(i, "<u4").tobytes()) for _, i in best],
-                             decoded == text, hashlib.sha256(decoded.encode()).hexdigest()))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int64()),
-                     pa.list_(pa.int64()), pa.bool_(), pa.string()]
-            names = [c.split()[0] for c in RESULT.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                out.add(doc_id, data[a:b].tobytes().decode(), best, table)
+                if out.size >= OUTPUT:
+                    yield out.batch()
+                    out = Segmentations()
+            if out.rows:
+                yield out.batch()
 
     return docs.select("doc_id", "text").mapInArrow(run, RESULT)
+
+
+class Segmentations:
+    """Rows of a result batch."""
+
+    def __init__(self):
+        self.rows, self.ids, self.size = [], [], 0
+
+    def add(self, doc_id, text: str, best, table: PieceTable) -> None:
+        decoded = [table.decode(ids.tolist()) for _, ids in best]
+        own = [np.ascontiguousarray(ids, "<u4") for _, ids in best]
+        self.rows.append((doc_id, len(text), len(best), [s for s, _ in best], [len(i) for i in own],
+                          [zlib.crc32(i.tobytes()) for i in own], decoded, [d == text for d in decoded]))
+        self.ids += own
+        self.size += len(text)
+
+    def batch(self) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int64()),
+                 pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.bool_())]
+        columns = [pa.array(c, t) for c, t in zip(zip(*self.rows), kinds)]
+        ends = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        each = pa.ListArray.from_arrays(ends([len(i) for i in self.ids]),
+                                        pa.array(np.concatenate(self.ids).astype(np.int32)))
+        columns.insert(6, pa.ListArray.from_arrays(ends([r[2] for r in self.rows]), each))
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in RESULT.split(", ")])

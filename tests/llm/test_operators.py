@@ -212,6 +212,29 @@ def test_nbest_rows(results, rows):
             assert r["round_trip"] and r["decoded_sha256"] == sha(t), r["doc_id"]
 
 
+def test_nbest_gives_every_segmentation_and_its_text(spark):
+    """All n best ones with their ids and decoded texts, not only checksums and the best one's text."""
+    import zlib
+
+    import public_tokenizers
+    texts = ["to be or not", "x\ny é 日本🙂", "", None, "the ▁mark", "a" * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    table = sp_nbest.PieceTable(path)
+    for r in sp_nbest.n_best(docs, path, n=4).collect():
+        text = texts[r["doc_id"]] or ""
+        assert r["n_best"] == len(r["ids"]) == len(r["decoded"]) == len(r["restored"]) == (4 if text else 1)
+        assert r["n_pieces"] == [len(i) for i in r["ids"]] and len({tuple(i) for i in r["ids"]}) == r["n_best"]
+        assert r["ids_crc32"] == [zlib.crc32(np.array(i, "<u4").tobytes()) for i in r["ids"]]
+        assert r["decoded"] == [table.decode(i) for i in r["ids"]] == [text.replace("▁", " ")] * r["n_best"]
+        assert r["restored"] == ["▁" not in text] * r["n_best"]
+
+
+def test_nbest_query_digests_every_decoding(results, rows):
+    for r in results("op3_sp_nbest"):
+        assert len(r["decoded_sha256s"]) == r["n_best"] and r["decoded_sha256s"][0] == r["decoded_sha256"]
+
+
 def test_exact_dedup(results, rows):
     groups = exact_groups(rows)
     text = dict(rows)
