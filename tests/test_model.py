@@ -74,3 +74,34 @@ def test_iteration_auc_last_equals_model_auc(spark):
     from pyspark.ml.functions import vector_to_array
     p = m.transform(x).withColumn("score", vector_to_array("probability")[1])
     assert abs(per_it[4] - M.roc_auc(p, "TARGET", "score").first().auc) < 1e-12
+
+
+def test_preparations_of_all_folds_by_one_aggregate(spark):
+    """``fit_preps`` gives every fold what ``fit_prep`` gives on the rows outside it: missing
+    values, NaN, a column that only one fold holds, a column without any value."""
+    from riskloom.operators.prep import fit_prep, fit_preps
+    nan = float("nan")
+    rows = [(i % 3, float(i * i % 7), None if i % 4 else i / 3, nan if i == 4 else i * 0.5, 1.5 if i % 3 == 1 else None, None)
+            for i in range(20)]
+    df = spark.createDataFrame(rows, "fold int, a double, b double, c double, d double, e double")
+    feats = ["a", "b", "c", "d", "e"]
+    preps, n = fit_preps(df, feats, "fold", range(4))
+    for f in range(4):
+        own = df.where(f"fold <> {f}")
+        want = fit_prep(own, feats)
+        assert n[f] == own.count() and preps[f].features == want.features and preps[f].dropped == want.dropped
+        for part in ("mean", "lo", "hi"):
+            for c, v in getattr(want, part).items():
+                assert getattr(preps[f], part)[c] == pytest.approx(v, rel=1e-12, nan_ok=True), (f, part, c)
+
+
+def test_vectors_are_made_once_a_fold(spark, monkeypatch):
+    """The fit, the scores and the history of a fold read the same stored vectors."""
+    from riskloom.operators import model as MD
+    rows = [(i, float(i % 2), float(i % 5), float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, y double, a double, b double")
+    made, assemble = [], MD._assemble
+    monkeypatch.setattr(MD, "_assemble", lambda d, f: made.append(1) or assemble(d, f))
+    params = MD.GBTParams(max_iter=1, max_depth=2, min_child_weight=0.0)
+    res = MD.cv_train(df, "k", ["a", "b"], "y", k=2, params=params, history=True)
+    assert len(made) == 2 and res.predictions.count() == 40 and res.history.count() == 4
