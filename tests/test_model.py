@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators.model import GBTParams, cv_train
