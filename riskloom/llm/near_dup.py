@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import (
-    U64, checkpointed, document_of, mix, slices, span_hashes, text_bytes, word_spans,
+    U64, checkpointed, document_of, mix, shuffles_released, slices, span_hashes, text_bytes, word_spans,
 )
 
 BUCKET_BITS = 8
@@ -203,9 +203,10 @@ def texts_of(ids: DataFrame, docs: DataFrame, make=None, schema: str = "id long,
     ``make`` gives for a batch of those."""
     spark = docs.sparkSession
     slot = F.pmod(F.xxhash64("id"), F.lit(BITMAP))
-    maps = (ids.select(slot.alias("slot"))
-            .groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("part"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits")).collect())
+    with shuffles_released(spark):
+        maps = (ids.select(slot.alias("slot"))
+                .groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("part"))
+                .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits")).collect())
     bits = np.zeros(BITMAP // 8, np.uint8)  # at most 2 MB, whatever the data
     for row in maps:
         held = np.frombuffer(row["bits"], np.uint8)
@@ -357,26 +358,24 @@ def inner_pairs(met: DataFrame, roots: DataFrame, docs: DataFrame, shingle: int,
 
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of every node of ``links`` (a, b): the least id it reaches.
-    Alternating large-star and small-star steps, each written to the shared folder."""
+    Alternating large-star and small-star steps, each written to the shared folder, until
+    every node has larger neighbours only or a single, smaller one: then all are stars
+    around their least ids."""
     edges = checkpointed(links.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-                         .where("lo < hi").distinct())
+                         .where("lo < hi"))
     while True:
-        # large star: larger neighbours of a node go to its least neighbour
         both = edges.select(F.col("hi").alias("n"), F.col("lo").alias("m")).union(edges.select("lo", "hi"))
-        least = both.groupBy("n").agg(F.min("m").alias("m0")).select("n", F.least("n", "m0").alias("root"))
-        large = (both.where("m > n").join(least, "n")
-                 .select(F.col("root").alias("lo"), F.col("m").alias("hi")).where("lo < hi").distinct())
+        nodes = checkpointed(both.groupBy("n").agg(F.min("m").alias("least"), F.max("m").alias("most")))
+        roots = nodes.select("n", F.least("n", "least").alias("root"))
+        if nodes.where("least < n and least < most").isEmpty():
+            return roots.withColumnRenamed("n", "id")
+        # large star: larger neighbours of a node go to its least neighbour
+        large = both.where("m > n").join(roots, "n").select(F.col("root").alias("lo"), F.col("m").alias("hi"))
         # small star: smaller neighbours and the node itself go to the least of them
         floor = large.groupBy("hi").agg(F.min("lo").alias("root"))
-        small = (large.join(floor, "hi").select(F.col("root").alias("lo"), F.col("lo").alias("x"), "hi")
-                 .select("lo", F.explode(F.array("x", "hi")).alias("hi")).where("lo < hi").distinct())
-        fresh = checkpointed(small)
-        changed = (fresh.join(edges, ["lo", "hi"], "left_anti").limit(1).count()
-                   + edges.join(fresh, ["lo", "hi"], "left_anti").limit(1).count())
-        edges = fresh
-        if not changed:
-            return edges.select(F.col("hi").alias("id"), F.col("lo").alias("root")).union(
-                edges.select("lo", "lo").distinct())
+        edges = checkpointed(
+            large.join(floor, "hi").select(F.col("root").alias("lo"), F.col("lo").alias("x"), "hi")
+            .select("lo", F.explode(F.array("x", "hi")).alias("hi")).where("lo < hi").distinct())
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

@@ -1,7 +1,14 @@
 """The pipeline's stages, one after the other, against plain versions."""
 
+import time
+
 import corpus_pipeline
+import pytest
 from brute import base_spans, exact_groups, near_components
+from pyspark.sql import functions as F
+
+from riskloom.llm import near_dup
+from riskloom.llm.common import RELEASE, checkpointed, materialized
 
 
 def test_stages(spark, small, rows):
@@ -39,3 +46,40 @@ def test_stages(spark, small, rows):
 def test_run_equals_the_stages(spark, small):
     out = corpus_pipeline.run(spark, small)
     assert out.count() > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+def shuffle_files(spark):
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    found = blocks.getAllBlocks()
+    return {n for i in range(found.size()) if (n := found.apply(i).name()).startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("write", [checkpointed, materialized])
+def test_written_steps_leave_no_shuffle_files(spark, write):
+    """They go when the step is written, not when the driver next collects its garbage."""
+    rows = spark.range(1000).withColumn("k", F.col("id") % 7)
+    step = rows.groupBy("k").count().join(rows.repartition(3, "id"), "k")  # planned before it is written
+    before, setting = shuffle_files(spark), spark.conf.get(RELEASE, "false")
+    out = write(step)
+    for _ in range(50):
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+    assert spark.conf.get(RELEASE, "false") == setting
+    assert out.count() == 1000 and sorted(out.collect()) == sorted(step.collect())
+
+
+@pytest.mark.parametrize("links, written", [
+    ([], 2), ([(5, 1), (1, 9), (1, 9), (4, 4), (7, 3)], 2), ([(i, i + 1) for i in range(40)], 20)])
+def test_components_end_when_all_are_stars(spark, monkeypatch, links, written):
+    """Links that are stars already take no step: they are written and looked at once."""
+    calls = []
+    monkeypatch.setattr(near_dup, "checkpointed", lambda df: calls.append(1) or checkpointed(df))
+    got = near_dup.components(spark.createDataFrame(links, "a long, b long")).collect()
+    want = {}
+    for a, b in sorted((min(p), max(p)) for p in links if p[0] != p[1]):
+        old, new = want.get(b, b), want.get(a, a)
+        want |= {a: new, b: new} | {k: min(old, new) for k, v in want.items() if v in (old, new)}
+    assert sorted((r["id"], r["root"]) for r in got) == sorted(want.items())
+    assert len(calls) <= written
