@@ -45,15 +45,15 @@ BLOCK = rf"[^\s]++(?:[ \t]++[^\s]++){{0,{BLOCK_WORDS - 1}}}+"
 BASE_CELLS = 8
 TRIES = ((8, 11), (32, 12), (128, 13))
 GROUP = 8
-SUPER = 16 * GROUP
 ROUNDS = 10
 #: histogram cells of the id ranges
 HISTOGRAM = 1 << 14
 
 
 def bind(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` evaluated once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    """``use(value)`` with ``value`` evaluated once. An empty fold hands its start on as it
+    is, where ``transform`` would copy each result with all that it holds."""
+    return F.aggregate(F.array(), value, lambda v, _: v, use)
 
 
 def check(digest: Column) -> Column:
@@ -66,110 +66,138 @@ def paragraphs(text: Column) -> Column:
                                         lambda b: F.xxhash64(b)))
 
 
-def placed(digest: Column, cells: int, seed: int, **more: Column) -> Column:
+def placed(digest: Column, cells: Column | int, seed: Column | int, **more: Column) -> Column:
     """A digest with its check hash and the number of its cell in each subtable."""
-    return bind(F.xxhash64(digest, F.lit(seed)), lambda h: F.struct(
-        digest.alias("d"), check(digest).alias("k"),
-        *[(F.pmod(F.shiftrightunsigned(h, 20 * j), F.lit(cells)) + j * cells).cast("int").alias(f"c{j}")
-          for j in range(3)], *[v.alias(n) for n, v in more.items()]))
+    cells, seed = (v if isinstance(v, Column) else F.lit(v).cast("long") for v in (cells, seed))
+    return bind(F.xxhash64(digest, seed.cast("int")), lambda h: F.struct(
+        digest.alias("d"), check(digest).alias("k"), F.pmod(h, cells).alias("c0"),
+        (F.pmod(F.shiftrightunsigned(h, 20), cells) + cells).alias("c1"),
+        (F.pmod(F.shiftrightunsigned(h, 40), cells) + cells * 2).alias("c2"), *[v.alias(n) for n, v in more.items()]))
 
 
 def xor_of(rows: Column, field: str) -> Column:
     return F.aggregate(rows, F.lit(0).cast("long"), lambda a, u: a.bitwiseXOR(u[field]))
 
 
-def cell(own: Column) -> Column:
-    return F.struct(F.size(own).alias("n"), xor_of(own, "d").alias("d"), xor_of(own, "k").alias("k"))
+def cell(own: Column, number: Column, n: Column) -> Column:
+    return F.struct(number.alias("i"), n.alias("n"), xor_of(own, "d").alias("d"), xor_of(own, "k").alias("k"))
 
 
 def sketch(digests: Column, cells: int, seed: int) -> Column:
-    """The cells (n, d, k) of a set of digests, one subtable after the other."""
+    """The cells (i, n, d, k) of a set of digests, one subtable after the other."""
     def table(units: Column, j: int) -> Column:
-        return F.transform(F.sequence(F.lit(j * cells), F.lit((j + 1) * cells - 1)),
-                           lambda c: bind(F.filter(units, lambda u: u[f"c{j}"] == c), cell))
+        return F.transform(F.sequence(F.lit(j * cells).cast("long"), F.lit((j + 1) * cells - 1).cast("long")), lambda c:
+                           bind(F.filter(units, lambda u: u[f"c{j}"] == c), lambda own: cell(own, c, F.size(own))))
 
     return bind(F.transform(digests, lambda d: placed(d, cells, seed)),
                 lambda units: F.concat(*[table(units, j) for j in range(3)]))
 
 
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct(
-        (x["n"] - y["n"]).alias("n"), x["d"].bitwiseXOR(y["d"]).alias("d"), x["k"].bitwiseXOR(y["k"]).alias("k")))
+def occupied(cells: Column) -> Column:
+    return F.filter(cells, lambda c: (c["n"] != 0) | (c["d"] != 0) | (c["k"] != 0))
 
 
-def peel(difference: Column, cells: int, seed: int) -> Column:
+def subtract(a: Column, b: Column, cells: int) -> list[Column]:
+    """The cells of the difference that are not empty, by subtable."""
+    return [occupied(F.zip_with(F.slice(a, j * cells + 1, cells), F.slice(b, j * cells + 1, cells), lambda x, y: F.struct(
+        x["i"].alias("i"), (x["n"] - y["n"]).alias("n"), x["d"].bitwiseXOR(y["d"]).alias("d"),
+        x["k"].bitwiseXOR(y["k"]).alias("k")))) for j in range(3)]
+
+
+def total(rows: Column) -> Column:
+    return F.aggregate(rows, F.lit(0), lambda a, u: a + u["n"])
+
+
+def signed_sketch(units: Column) -> list[Column]:
+    """``subtract`` of the sketches of two sets: one's digests (as ``placed``) have n = 1 and
+    are added, the other's have n = -1 and are taken away."""
+    def table(j: int) -> Column:
+        return occupied(F.transform(F.array_distinct(F.transform(units, lambda u: u[f"c{j}"])), lambda c: bind(
+            F.filter(units, lambda u: u[f"c{j}"] == c), lambda own: cell(own, c, total(own)))))
+
+    return [table(j) for j in range(3)]
+
+
+def peel(difference: list[Column], cells: Column | int, seed: Column | int) -> Column:
     """(done, plus, minus): whether all cells became empty, and how many digests of the
-    first and of the second version were recovered. A round that finds no single
-    digest ends the search: later rounds pass the state on."""
+    first and of the second version were recovered. Cells that become empty leave. A round
+    that finds no single digest ends the search: later rounds pass the state on."""
 
     def without(c: Column, hit: Column) -> Column:
         return F.when(F.size(hit) == 0, c).otherwise(F.struct(
-            (c["n"] - F.aggregate(hit, F.lit(0), lambda a, u: a + u["n"])).alias("n"),
+            c["i"].alias("i"), (c["n"] - total(hit)).alias("n"),
             c["d"].bitwiseXOR(xor_of(hit, "d")).alias("d"), c["k"].bitwiseXOR(xor_of(hit, "k")).alias("k")))
 
-    def taken(state: Column, own: Column, j: int) -> Column:
-        part = F.slice(state["cells"], j * cells + 1, cells)
-        return F.transform(part, lambda c, i: bind(
-            F.filter(own, lambda u: u[f"c{j}"] == i + j * cells), lambda hit: without(c, hit)))
-
-    def search(state: Column) -> Column:
-        alone = F.array_distinct(F.transform(
-            F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (check(c["d"]) == c["k"])),
-            lambda c: placed(c["d"], cells, seed, n=c["n"])))
-        return bind(alone, lambda own: F.struct(
-            F.when(F.size(own) == 0, state["cells"]).otherwise(
-                F.concat(*[taken(state, own, j) for j in range(3)])).alias("cells"),
-            (state["plus"] + F.size(F.filter(own, lambda u: u["n"] == 1))).alias("plus"),
-            (state["minus"] + F.size(F.filter(own, lambda u: u["n"] == -1))).alias("minus"),
-            (F.size(own) == 0).alias("ended")))
+    def alone(state: Column, n: int) -> Column:
+        found = F.filter(F.concat(*[state[f"t{j}"] for j in range(3)]),
+                         lambda c: (c["n"] == n) & (check(c["d"]) == c["k"]))
+        return F.transform(F.array_distinct(F.transform(found, lambda c: c["d"])),
+                           lambda d: placed(d, cells, seed, n=F.lit(n)))
 
-    start = F.struct(difference.alias("cells"), F.lit(0).alias("plus"), F.lit(0).alias("minus"),
-                     F.lit(False).alias("ended"))
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(ROUNDS)), start,
-        lambda state, _: F.when(state["ended"], state).otherwise(search(state)),
-        lambda s: F.struct(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["d"] == 0) & (c["k"] == 0)).alias("done"),
-                           s["plus"].alias("plus"), s["minus"].alias("minus")))
+    def taken(state: Column, own: Column, j: int) -> Column:
+        return occupied(F.transform(state[f"t{j}"], lambda c: bind(
+            F.filter(own, lambda u: u[f"c{j}"] == c["i"]), lambda hit: without(c, hit))))
 
+    def search(state: Column, own: Column) -> Column:
+        return F.struct(
+            *[taken(state, own, j).alias(f"t{j}") for j in range(3)],
+            (state["plus"] + F.size(F.filter(own, lambda u: u["n"] == 1))).alias("plus"),
+            (state["minus"] + F.size(F.filter(own, lambda u: u["n"] == -1))).alias("minus"), F.lit(False).alias("ended"))
 
-def group_difference(a: Column, b: Column) -> Column:
-    """(done, plus, minus) of two small sets, retrying larger on failure."""
-    last = F.struct(F.lit(True).alias("done"), F.size(F.array_except(a, b)).alias("plus"),
-                    F.size(F.array_except(b, a)).alias("minus"))
-    for cells, seed in reversed(TRIES):
-        last = _try(a, b, cells, seed, last)
-    return last
+    def ended(state: Column) -> Column:
+        return F.struct(*[state[f].alias(f) for f in ("t0", "t1", "t2", "plus", "minus")], F.lit(True).alias("ended"))
 
+    def empty(state: Column) -> Column:
+        return F.size(state["t0"]) + F.size(state["t1"]) + F.size(state["t2"]) == 0
 
-def _try(a: Column, b: Column, cells: int, seed: int, otherwise: Column) -> Column:
-    first = peel(subtract(sketch(a, cells, seed), sketch(b, cells, seed)), cells, seed)
-    return bind(first, lambda r: F.when(r["done"], r).otherwise(otherwise))
+    start = F.struct(*[t.alias(f"t{j}") for j, t in enumerate(difference)], F.lit(0).alias("plus"),
+                     F.lit(0).alias("minus"), F.lit(False).alias("ended"))
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(ROUNDS)), start,
+        lambda state, _: F.when(state["ended"] | empty(state), state).otherwise(bind(
+            F.concat(alone(state, 1), alone(state, -1)),
+            lambda own: F.when(F.size(own) == 0, ended(state)).otherwise(search(state, own)))),
+        lambda s: F.struct(empty(s).alias("done"), s["plus"].alias("plus"), s["minus"].alias("minus")))
+
+
+def group_difference(signed: Column) -> Column:
+    """(done, plus, minus) of two small sets, retrying larger on failure; ``signed`` holds the
+    first one's digests (d) with n = 1 and the second one's with n = -1."""
+    def side(n: int) -> Column:
+        return F.transform(F.filter(signed, lambda u: u["n"] == n), lambda u: u["d"])
+
+    def tried(cells: Column, seed: Column) -> Column:
+        return bind(F.transform(signed, lambda u: placed(u["d"], cells, seed, n=u["n"])),
+                    lambda units: peel(signed_sketch(units), cells, seed))
+
+    as_they_are = F.struct(F.lit(True).alias("done"), F.size(F.array_except(side(1), side(-1))).alias("plus"),
+                           F.size(F.array_except(side(-1), side(1))).alias("minus"))
+    tries = F.array(*[F.struct(F.lit(c).cast("long").alias("cells"), F.lit(s).cast("long").alias("seed"))
+                      for c, s in TRIES])
+    return F.aggregate(
+        tries, F.struct(F.lit(False).alias("done"), F.lit(0).alias("plus"), F.lit(0).alias("minus")),
+        lambda r, t: F.when(r["done"], r).otherwise(tried(t["cells"], t["seed"])),
+        lambda r: F.when(r["done"], r).otherwise(as_they_are))
 
 
 def dealt_difference(a: Column, b: Column) -> Column:
-    """(done, plus, minus) of two sets of any size: dealt into groups first, in two
-    steps so that the work stays close to linear."""
-    slot = lambda d: F.shiftrightunsigned(F.xxhash64(d, F.lit(7)), 8)
-    total = F.size(a) + F.size(b)
-    supers = F.ceil(total / SUPER).cast("int")
-    per = F.least(F.lit(SUPER // GROUP), F.ceil(total / GROUP).cast("int"))
-
-    def part(n: Column, width: Column, by) -> tuple:
-        pick = lambda rows: F.filter(rows, lambda d: F.pmod(by(d), width) == n)
-        return pick(a), pick(b)
-
-    def one(pair: Column, width: Column, sup: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), width - 1), lambda g: bind(
-            F.struct(F.filter(pair["a"], lambda d: F.pmod(F.floor(slot(d) / sup), width) == g).alias("a"),
-                     F.filter(pair["b"], lambda d: F.pmod(F.floor(slot(d) / sup), width) == g).alias("b")),
-            lambda p: group_difference(p["a"], p["b"])))
-
-    def every(n: Column, sup: Column, width: Column) -> Column:
-        left, right = part(n, sup, slot)
-        return bind(F.struct(left.alias("a"), right.alias("b")), lambda pair: one(pair, width, sup))
-
-    results = bind(F.struct(supers.alias("s"), per.alias("w")), lambda z: F.flatten(F.transform(
-        F.sequence(F.lit(0), z["s"] - 1), lambda n: every(n, z["s"], z["w"]))))
+    """(done, plus, minus) of two sets of any size: dealt into groups first, in two steps of
+    about as many parts, so that n digests take some n times the root of n / GROUP tests."""
+    groups = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / GROUP))
+    steps = bind(F.ceil(F.sqrt(groups)), lambda s: F.struct(s.alias("s"), F.ceil(groups / s).alias("w")))
+
+    def dealt(rows: Column, n: int, z: Column) -> Column:
+        return F.transform(rows, lambda d: bind(F.shiftrightunsigned(F.xxhash64(d, F.lit(7)), 8), lambda h: F.struct(
+            d.alias("d"), F.lit(n).alias("n"), F.pmod(h, z["s"]).alias("s"),
+            F.pmod(F.shiftrightunsigned(h, 28), z["w"]).alias("w"))))
+
+    def parts(rows: Column, step: str, z: Column, use) -> Column:
+        return F.transform(F.sequence(F.lit(0).cast("long"), z[step] - 1), lambda i: bind(
+            F.filter(rows, lambda u: u[step] == i), use))
+
+    results = bind(steps, lambda z: bind(
+        F.concat(dealt(a, 1, z), dealt(b, -1, z)), lambda rows: F.flatten(parts(
+            rows, "s", z, lambda part: parts(part, "w", z, group_difference)))))
     return F.aggregate(
         results, F.struct(F.lit(True).alias("done"), F.lit(0).alias("plus"), F.lit(0).alias("minus")),
         lambda s, r: F.struct((s["done"] & r["done"]).alias("done"), (s["plus"] + r["plus"]).alias("plus"),
@@ -178,7 +206,7 @@ def dealt_difference(a: Column, b: Column) -> Column:
 
 def likeness(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:
     """Jaccard likeness of two paragraph sets from their sketches; base first."""
-    base = peel(subtract(base_a, base_b), BASE_CELLS, 1)
+    base = peel(subtract(base_a, base_b, BASE_CELLS), BASE_CELLS, 1)
     found = bind(base, lambda r: F.when(r["done"], r).otherwise(dealt_difference(a, b)))
     return bind(found, lambda r: F.when(F.size(a) + r["minus"] == 0, F.lit(1.0)).otherwise(
         (F.size(a) - r["plus"]) / (F.size(a) + r["minus"])))

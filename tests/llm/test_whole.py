@@ -125,3 +125,28 @@ def test_fingerprint_counts_are_not_cut(spark):
     row = spark.range(1).select(cells.alias("c"), fingerprint.hexed(cells).alias("h")).first()
     assert [int(x[:-32], 16) for x in row["h"].split(".")] == [c["n"] for c in row["c"]]
     assert sum(c["n"] for c in row["c"]) == 15000
+
+
+def digest_sets(spark, pairs):
+    return spark.createDataFrame([(i, sorted(a), sorted(b)) for i, (a, b) in enumerate(pairs)],
+                                 "i int, a array<long>, b array<long>")
+
+
+def test_fingerprint_difference_holds_only_what_differs(spark):
+    """Equal digests leave no cell to peel: one of three subtables' cells a differing digest."""
+    rows = digest_sets(spark, [({1, 2, 3}, {1, 2, 3}), ({1, 2, 3}, {2, 3}), (set(), set())])
+    a, b = (fingerprint.sketch(F.col(c), fingerprint.BASE_CELLS, 1) for c in "ab")
+    left = fingerprint.subtract(a, b, fingerprint.BASE_CELLS)
+    got = rows.select("i", *[c.alias(f"t{j}") for j, c in enumerate(left)]).orderBy("i").collect()
+    assert [[len(r[f"t{j}"]) for j in range(3)] for r in got] == [[0, 0, 0], [1, 1, 1], [0, 0, 0]]
+
+
+@pytest.mark.parametrize("tries", [fingerprint.TRIES, ((1, 11), (2, 12))])
+def test_fingerprint_differences_are_exact(spark, monkeypatch, tries):
+    """Dealt sets of any size against Python's sets, also when sketches are too small."""
+    monkeypatch.setattr(fingerprint, "TRIES", tries)
+    pairs = [({d * 7919 for d in range(n)}, {d * 7919 for d in range(lo, lo + m)})
+             for n, m, lo in [(0, 0, 0), (1, 0, 0), (0, 5, 0), (9, 9, 0), (20, 20, 10), (60, 40, 55), (700, 900, 300)]]
+    got = digest_sets(spark, pairs).select("i", fingerprint.dealt_difference(F.col("a"), F.col("b")).alias("r"))
+    assert {r["i"]: (r["r"]["done"], r["r"]["plus"], r["r"]["minus"]) for r in got.collect()} == {
+        i: (True, len(a - b), len(b - a)) for i, (a, b) in enumerate(pairs)}
