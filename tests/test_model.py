@@ -106,3 +106,30 @@ def test_vectors_are_made_once_a_fold(spark, monkeypatch):
     params = MD.GBTParams(max_iter=1, max_depth=2, min_child_weight=0.0)
     res = MD.cv_train(df, "k", ["a", "b"], "y", k=2, params=params, history=True)
     assert len(made) == 2 and res.predictions.count() == 40 and res.history.count() == 4
+
+
+def test_oversampled_rows_are_filtered_where_they_are(spark, monkeypatch):
+    """The rows drawn back after SMOTE are those of the exact sample over all of them; the new
+    rows outside it are not made, and the table's own rows are neither shuffled nor written.
+    Keys may repeat at the end of the sample."""
+    from riskloom.operators import model as MD
+    from riskloom.operators.sampling import exact_sample
+    from riskloom.operators.smote import smote
+    written, vectors = [], MD._vectors
+    monkeypatch.setattr(MD, "_vectors", lambda *a: written.append(vectors(*a)) or written[-1])
+    for n_keys in (90, 25):
+        rows = [(i % n_keys, float(i % 9 == 0), i * 0.5, float(i * i % 31)) for i in range(90)]
+        df = spark.createDataFrame(rows, "k long, y double, a double, b double")
+        vec = df.select(F.col("k").cast("string").alias("_rk"), F.col("y").cast("int").alias("_y"), F.array("a", "b").alias("_v"))
+        if n_keys == 90:
+            syn = smote(vec, "_rk", "_v", "_y", k=2, seed=3, minority=1)
+            every = vec.unionByName(syn.selectExpr("concat('syn:', row_key) AS _rk", "label AS _y", "vector AS _v"))
+            want = sorted((float(r._y), *r._v) for r in exact_sample(every, "_rk", 90, seed=42).collect())
+        own, new = MD._oversample(df, "k", ["a", "b"], "y", 2, 3, 90, True)
+        got = [(r.y, *r.features.toArray().tolist()) for d in (own, new) for r in d.collect()]
+        assert len(got) == 90 and 0 < new.count() < 70 and sum(1 for r in got if r[0] == 1.0) > 10
+        if n_keys == 90:
+            assert sorted(got) == want and written[0].count() == new.count()
+        assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+    own, new = MD._oversample(df, "k", ["a", "b"], "y", 2, 3, 90, False)
+    assert own.count() == 90 and new.count() == 70

@@ -40,3 +40,19 @@ def test_samples(spark):
     a = sorted(r.k for r in hash_sample(df.repartition(7), "k", 0.1).collect())
     b = sorted(r.k for r in hash_sample(df, "k", 0.1).collect())
     assert a == b   # repeatable whatever the partitioning
+
+
+def test_hash_cut_is_where_the_exact_sample_ends(spark):
+    """Counts of keys alone find the cut: rows before it and those taken at it are the sample's,
+    with repeated and missing keys, and where the hashes of many rows share their high bits."""
+    from riskloom.operators.sampling import hash_cut
+    rows = [(f"k{i % 40}" if i % 9 else None, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, i long").cache()
+    for n in (1, 7, 33, 150, 299, 300):
+        cut = hash_cut(df, "k", n, seed=5)
+        before, at = df.where(cut.before("k")), df.where(cut.at("k"))
+        assert at.count() == cut.held and before.count() + cut.taken == n and 0 < cut.taken <= cut.held
+        want = sorted(str(r.k) for r in exact_sample(df, "k", n, seed=5).collect())
+        assert want == sorted([str(r.k) for r in before.collect()] + [str(r.k) for r in at.limit(cut.taken).collect()])
+    assert hash_cut(df, "k", 301, seed=5) is None
+    assert hash_cut(df.where("i < 0"), "k", 5) is None

@@ -142,3 +142,37 @@ def test_nearest_is_that_of_all_distances():
     middle = time.process_time()
     _plain_nearest(big[:600], big, none[:600], 5)
     assert middle - start < time.process_time() - middle  # a fifth of the rows, and still slower
+
+
+def test_exact_search_does_not_send_vectors_to_tiles(spark, monkeypatch):
+    """Blocks go to the points by broadcast: with 15 blocks no vector is shuffled 15 times."""
+    from riskloom.operators import smote as SM
+    monkeypatch.setattr(SM, "_tile_topk", None)  # the search by tiles is not for 'exact'
+    X = np.vstack([np.random.default_rng(8).normal(size=(110, 3)), np.ones((4, 3))])
+    ids = [f"p{i:03d}" for i in range(len(X))]
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in zip(ids, X)], "id string, v array<double>")
+    got = {}
+    for r in knn(df, "id", "v", k=3, block_rows=8).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.nbr_id)
+    assert got == brute_knn(ids, X, 3)
+
+
+def test_pieces_of_many_parents_are_not_shuffled(spark, monkeypatch):
+    """Enough parents fill the tasks, so a parent and its neighbours are not copied once a piece
+    for a shuffle; the new rows are the same ones, and those that are not kept are not made."""
+    from riskloom.operators import smote as SM
+    X = np.random.default_rng(4).normal(size=(90, 3))
+    df = _frame(spark, X, np.arange(90), np.array([1] * 20 + [0] * 70))
+
+    def made(**kw):
+        out = smote(df, "id", "v", "y", k=3, seed=4, minority=1, **kw)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        return "RepartitionByExpression" in plan, sorted((r.row_key, r.nbr_id, tuple(r.vector)) for r in out.collect())
+
+    spread, rows = made()
+    monkeypatch.setattr(SM, "PIECE_ROWS", 20)
+    there, same = made()
+    assert spread and not there and same == rows and len(rows) == 50
+    assert made(keep=lambda k: k.endswith(":1"))[1] == [r for r in rows if r[0].endswith(":1")]
+    keys = SM.synthetic_keys(df, "id", "y", seed=4, minority=1)
+    assert sorted(r.row_key for r in keys.collect()) == [r[0] for r in rows]
