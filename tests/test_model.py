@@ -133,3 +133,13 @@ def test_oversampled_rows_are_filtered_where_they_are(spark, monkeypatch):
         assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
     own, new = MD._oversample(df, "k", ["a", "b"], "y", 2, 3, 90, False)
     assert own.count() == 90 and new.count() == 70
+
+
+def test_trees_split_where_the_gain_is_small(spark):
+    """The reference's least gain is a sum over a node's rows, Spark's a mean: a label that
+    hardly depends on its feature still gives trees, as in the cost-weighted variant."""
+    assert GBTParams().estimator(n_rows=2000).getMinInfoGain() == GBTParams().min_info_gain / 2000
+    df = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") % 10).cast("double").alias("x"))
+    df = df.withColumn("TARGET", (F.pmod(F.xxhash64("k"), F.lit(100)) < 8 + F.col("x")).cast("double"))
+    res = cv_train(df, "k", ["x"], "TARGET", k=2, variant="weighted", params=GBTParams(max_iter=3, max_depth=2, min_child_weight=0.0))
+    assert all(t.numNodes > 1 for m in res.models for t in m.trees)
