@@ -176,3 +176,8 @@ def test_pieces_of_many_parents_are_not_shuffled(spark, monkeypatch):
     assert made(keep=lambda k: k.endswith(":1"))[1] == [r for r in rows if r[0].endswith(":1")]
     keys = SM.synthetic_keys(df, "id", "y", seed=4, minority=1)
     assert sorted(r.row_key for r in keys.collect()) == [r[0] for r in rows]
+
+
+def test_exact_search_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "id bigint, v array<double>")
+    assert knn(df, "id", "v", k=3).count() == 0
